@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillwork.functions.numbers import round_binary
+
 # Characters counted as white space, and line terminators.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
@@ -310,7 +312,7 @@ PRICE_OUT = {
 def token_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     """Unknown models cost nothing."""
     rate_in, rate_out = map_lookup(model, PRICE_IN, 0.0), map_lookup(model, PRICE_OUT, 0.0)
-    return F.round(tokens_in / 1000 * rate_in + tokens_out / 1000 * rate_out, 6)
+    return round_binary(tokens_in / 1000 * rate_in + tokens_out / 1000 * rate_out, 6)
 
 
 def line_jaccard(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillwork.functions.numbers import round_binary
+
 # Thresholds of the frame checks.
 QUESTION_SCORE = 0.55
 DUPLICATE_MAD = 0.012
@@ -42,7 +44,7 @@ def slide_score(text_boxes: Column, uniformity: Column, saturation: Column) -> C
     text = F.least(text_boxes / 60.0, F.lit(1.0))
     background = clip((uniformity - 0.30) / 0.50)
     grey = 1.0 - F.least(saturation * 2.2, F.lit(1.0))
-    return F.round(clip(0.35 * text + 0.45 * background + 0.20 * grey), 4)
+    return round_binary(clip(0.35 * text + 0.45 * background + 0.20 * grey), 4)
 
 
 def is_question_score(score: Column, threshold: float = QUESTION_SCORE) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.numbers import round_binary, steady_mean
 from quillwork.functions.text import normalise_ws_lower, strip
 from quillwork.operators.ordered import number_rows
 
@@ -118,13 +119,13 @@ def line_confidence(
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return lines.groupBy(*keys).agg(
         strip(text).alias("text"),
-        F.coalesce(F.round(F.avg("score"), 4), F.lit(0.0)).alias("confidence"),
+        F.coalesce(round_binary(steady_mean(F.col("score")), 4), F.lit(0.0)).alias("confidence"),
     )
 
 
 def overall_completion(modules: DataFrame, pct: str = "completion") -> tuple[DataFrame, DataFrame]:
     """(rounded mean completion, 0 without modules; modules below 100)."""
-    mean = modules.agg(F.coalesce(F.bround(F.avg(pct)), F.lit(0)).cast("long").alias("overall"))
+    mean = modules.agg(F.coalesce(F.bround(F.avg(pct)), F.lit(0.0)).cast("long").alias("overall"))
     return mean, modules.filter(F.col(pct) < 100)
 
 
@@ -175,7 +176,7 @@ def cross_source_support(facts: DataFrame, keys: Sequence[str] = ("session_id",)
     claim = normalise_ws_lower(F.col("value")).alias("claim")
     return facts.groupBy(*keys, "category", claim).agg(
         F.countDistinct("source_label").alias("sources"),
-        F.avg("confidence").alias("confidence"),
+        steady_mean(F.col("confidence")).alias("confidence"),
     )
 
 

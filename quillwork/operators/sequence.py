@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.numbers import round_binary, steady_mean
 from quillwork.functions.text import (
     clean_lines,
     is_subset,
@@ -76,9 +77,9 @@ def first_seen_lines(
 def _blend_parts() -> list[Column]:
     alone = F.count(F.lit(1)) == 1
     return [
-        F.avg("ocr_confidence").alias("__o"),
-        F.avg("question_score").alias("__f"),
-        F.when(alone, 1.0).otherwise(F.avg("similarity")).alias("__m"),
+        steady_mean(F.col("ocr_confidence")).alias("__o"),
+        steady_mean(F.col("question_score")).alias("__f"),
+        F.when(alone, 1.0).otherwise(steady_mean(F.col("similarity"))).alias("__m"),
     ]
 
 
@@ -86,10 +87,10 @@ def _blend_columns() -> list[Column]:
     o, f, m = F.col("__o"), F.col("__f"), F.col("__m")
     a, b, c = WEIGHTS
     return [
-        F.round(o, 4).alias("ocr_confidence"),
-        F.round(f, 4).alias("frame_confidence"),
-        F.round(m, 4).alias("merge_confidence"),
-        F.round(a * o + b * f + c * m, 4).alias("overall_confidence"),
+        round_binary(o, 4).alias("ocr_confidence"),
+        round_binary(f, 4).alias("frame_confidence"),
+        round_binary(m, 4).alias("merge_confidence"),
+        round_binary(a * o + b * f + c * m, 4).alias("overall_confidence"),
     ]
 
 
@@ -272,13 +273,13 @@ def sample_fixed_interval(
     if interval:
         step = F.lit(float(interval) if interval > 0 else MIN_INTERVAL)
         picked = _first_per_bucket(rows, F.floor(F.col(ts) / step))
-        return picked.withColumn(out, F.round(F.col("__bucket") * step, 2)).drop("__bucket")
+        return picked.withColumn(out, round_binary(F.col("__bucket") * step, 2)).drop("__bucket")
     cap = float(max_frames or MAX_FRAMES)
     length = rows.df.groupBy(*rows.keys).agg(F.max(ts).alias("__length"))
     step = F.greatest(F.lit(MIN_INTERVAL), F.col("__length") / cap)
     widened = rows.with_df(rows.df.join(length.withColumn("__step", step), list(rows.keys)))
     picked = _first_per_bucket(widened, F.floor(F.col(ts) / F.col("__step")))
-    stamp = F.round(F.col("__bucket") * F.col("__step"), 2)
+    stamp = round_binary(F.col("__bucket") * F.col("__step"), 2)
     return picked.withColumn(out, stamp).drop("__bucket", "__step", "__length")
 
 
