@@ -59,6 +59,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     heads = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in needed)
+    if sql.lstrip().startswith("WITH "):
+        return f"WITH RECURSIVE {heads},\n{sql.lstrip().removeprefix('WITH ')}"
     return f"WITH RECURSIVE {heads}\n{sql}"
 
 

@@ -1 +1,282 @@
-"""Queries."""
+"""L: the compositions a user calls."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from queries.aggregates import COMMITS_SQL, NOISE_SQL
+from queries.base import query, rounded
+from queries.joins import LOCAL
+from queries.views import SIGNATURE_LIMIT
+from quillwork.operators.aggregates import counts_per
+from quillwork.operators.documents import heading_tree, running_header_detection
+from quillwork.operators.sequence import change_scores
+from quillwork.plans.catalog import refresh_catalog, sync_catalog
+from quillwork.plans.documents import assemble_document, layout_to_elements, map_document
+from quillwork.plans.frames import SelectOptions, analyze_frames, classify_frames, select_frames
+from quillwork.plans.governance import commit_summary, corpus_health, doc_index
+from quillwork.plans.research import consensus_prompt, research_session
+
+
+@query(
+    "l1_analyze_frames",
+    f"""SELECT job_id, frame_start, text, source, {rounded("overall", 4)} AS overall_confidence FROM (
+      SELECT job_id, frame_start, text, 'auto' AS source, overall FROM auto_questions
+      UNION ALL SELECT job_id, 0, ocr_text, 'manual', 1.0::DOUBLE FROM frames WHERE index = 0)""",
+)
+def _(t):
+    fresh, _ = analyze_frames(t.frames, t.questions.drop("id"))
+    return fresh.select("job_id", "frame_start", "text", "source", "overall_confidence")
+
+
+@query(
+    "l2_classify_frames",
+    """SELECT job_id, count(*) AS frames, count(*) FILTER (trim(ocr_text) <> '') AS classified
+    FROM frames WHERE NOT is_duplicate GROUP BY ALL""",
+)
+def _(t):
+    return classify_frames(t.frames.df)[1]
+
+
+def _select(t, strategy: str):
+    rows = t.signatures.columns(
+        ocr_text=F.concat(F.lit("slide "), F.floor(F.col("pos") / 3).cast("string")), sharpness=F.col("sharpness") * 3
+    )
+    options = SelectOptions(
+        interval=2.0, scene_threshold=0.14, sampling_fps=1.0, max_frames=12, duplicate_limit=SIGNATURE_LIMIT
+    )
+    return select_frames(change_scores(rows), strategy, options).select("label", "pos", "vec_id")
+
+
+@query("l3_select_frames_hybrid")
+def _(t):
+    return _select(t, "hybrid")
+
+
+@query("l3_select_frames_scene")
+def _(t):
+    return _select(t, "scene_detection")
+
+
+@query("l3_select_frames_text")
+def _(t):
+    return _select(t, "ocr_text_change")
+
+
+@query("l3_select_frames_fixed")
+def _(t):
+    return _select(t, "fixed_interval")
+
+
+@query(
+    "l4_layout_to_elements",
+    """SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page, y0, turn, oi) - 1 AS order_index,
+      page, element_type, level, text FROM (
+      SELECT document_id, page, y0, 0 AS turn, order_index AS oi, 'table' AS element_type, NULL::BIGINT AS level, '' AS text
+        FROM spans WHERE kind = 'table'
+      UNION ALL SELECT document_id, page, y0, 2, order_index, 'figure', NULL, '' FROM spans WHERE kind = 'figure'
+      UNION ALL SELECT document_id, page, y0, 1, order_index,
+        CASE WHEN lv IS NOT NULL AND length(text) <= 200 THEN 'heading' ELSE 'paragraph' END,
+        CASE WHEN length(text) <= 200 THEN lv END, text
+      FROM (SELECT p.*, l.lv FROM (SELECT *, round_even(size, 0)::BIGINT AS sz FROM spans WHERE kind NOT IN ('table', 'figure')) p
+        LEFT JOIN (SELECT document_id, sz, dense_rank() OVER (PARTITION BY document_id ORDER BY sz DESC) AS lv FROM (
+          SELECT DISTINCT document_id, round_even(size, 0)::BIGINT AS sz FROM open_spans WHERE size >= body + 1.0)) l
+          USING (document_id, sz)
+        WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind = 'table' AND b.document_id = p.document_id
+          AND b.page = p.page AND (p.y0 + p.y1) / 2 BETWEEN b.y0 AND b.y1)))""",
+)
+def _(t):
+    spans = t.spans
+    kind = F.col("element_type")
+    elements, _ = layout_to_elements(
+        spans.filter(~kind.isin("table", "figure")), spans.filter(kind == "table"), spans.filter(kind == "figure")
+    )
+    return elements.df.select("document_id", "order_index", "page", "element_type", "level", "text")
+
+
+@query(
+    "l5_map_document",
+    "SELECT document_id, id, parent_id, node_type, title, content, depth, page, path FROM nodes",
+)
+def _(t):
+    return t.nodes.drop("level")
+
+
+@query(
+    "l5_map_document_by_bookmarks",
+    """SELECT document_id, node_type, count(*) AS n, max(depth) AS depth, sum(page)::BIGINT AS pages FROM (
+      SELECT document_id, 'root' AS node_type, 0 AS depth, 0 AS page FROM titles
+      UNION ALL SELECT document_id, 'section', 1, page FROM bookmarks
+      UNION ALL SELECT document_id, kind, 1 + (EXISTS (SELECT 1 FROM bookmarks b
+          WHERE b.document_id = e.document_id AND b.page <= e.page))::INTEGER, page
+        FROM elements e WHERE kind <> 'heading')
+    GROUP BY document_id, node_type""",
+)
+def _(t):
+    flat = t.elements.filter(F.col("element_type") != "heading")
+    marks = t.bookmarks.withColumn("order_index", F.floor(F.col("order_index") / 10).cast("long")).drop("id")
+    nodes = map_document(flat, t.titles, marks)
+    return nodes.groupBy("document_id", "node_type").agg(
+        F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.sum("page").alias("pages")
+    )
+
+
+@query("l6_assemble_blocks")
+def _(t):
+    _, blocks, _ = assemble_document(t.elements)
+    ids = F.array_join(F.col("source_element_ids").cast("array<string>"), ",").alias("source_ids")
+    return blocks.select("document_id", "order_index", "block_type", "section_id", "page", "text", "caption", ids)
+
+
+@query(
+    "l6_assemble_counts",
+    f"""SELECT document_id, count(*) FILTER (is_noise) AS dropped_noise,
+      count(*) FILTER (NOT is_noise AND element_type = 'heading') + 1 AS sections FROM ({NOISE_SQL}) GROUP BY ALL""",
+)
+def _(t):
+    _, _, counts = assemble_document(t.elements)
+    return counts.select("document_id", "dropped_noise", "sections")
+
+
+@query("l6_section_pages")
+def _(t):
+    sections, _, _ = assemble_document(t.elements)
+    return sections.select("document_id", "section_id", "parent_id", "page_start", "page_end")
+
+
+def _reader():
+    """A stand-in model that reads facts off the prompt and fails on some sources."""
+
+    def answer(row: dict) -> tuple[str, int, int]:
+        prompt = row["user_prompt"]
+        body = prompt.split("Extracted text:\n", 1)[1].split("\n", 1)[-1]
+        if len(body) % 5 == 0:
+            raise ValueError("refused")
+        facts = [{"category": "length", "value": str(len(body) % 7), "confidence": 0.5}, "stray"]
+        return "```json\n" + json.dumps({"facts": facts, "entities": []}) + "\n```", len(body), 2
+
+    return answer
+
+
+def _research(t):
+    sources = t.conversations.select(
+        (F.col("conv_id") % 20).alias("session_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("document_id"),
+        F.col("role").alias("title"), F.lit("turn").alias("document_type"), F.col("text").alias("transcript"),
+        F.lit("").alias("subtitles"), F.lit("").alias("screen"),
+    )
+    return research_session(sources, _reader, "gpt-4o", backoff=0.0)
+
+
+FACTS_OF_TURNS = """SELECT conv_id % 20 AS session_id, conv_id * 100 + turn AS document_id, role,
+      length(substr('=== TRANSCRIPT (AUDIO) ===' || chr(10) || text, 1, 24000)) - 27 AS n FROM conversations"""
+
+
+@query(
+    "l7_research_session",
+    f"""SELECT session_id, 'length' AS category, (n % 7)::VARCHAR AS claim,
+      count(DISTINCT 'Source ' || document_id::VARCHAR || ': ' || role) AS sources, 0.5::DOUBLE AS confidence
+    FROM ({FACTS_OF_TURNS}) WHERE n % 5 <> 0 GROUP BY session_id, n % 7""",
+)
+def _(t):
+    return _research(t).support
+
+
+@query(
+    "l7_research_status",
+    f"""SELECT session_id, count(*) AS calls, count(*) FILTER (n % 5 <> 0) AS succeeded,
+      CASE WHEN count(*) FILTER (n % 5 <> 0) > 0 THEN 'COMPLETED' ELSE 'FAILED' END AS session_status
+    FROM ({FACTS_OF_TURNS}) GROUP BY ALL""",
+)
+def _(t):
+    return _research(t).status
+
+
+@query(
+    "l7_consensus_prompt",
+    """SELECT session_id, 'Research topic: reading' || chr(10) || chr(10) || substr(string_agg(block, chr(10) || chr(10)
+        ORDER BY document_id), 1, 24000) AS user_prompt FROM (
+      SELECT session_id, document_id, '--- ' || source_label || ' ---' || chr(10) || 'Summary: ' || value || chr(10)
+        || 'Key facts:' || chr(10) || '- [' || category || '] ' || value AS block FROM facts) GROUP BY ALL""",
+)
+def _(t):
+    summaries = t.facts.select("session_id", "document_id", "source_label", F.col("value").alias("summary"))
+    return consensus_prompt(t.facts, summaries, F.lit("reading")).select("session_id", "user_prompt")
+
+
+@query(
+    "l8_sync_catalog",
+    """SELECT book_code, coalesce(s.title, b.title) AS title,
+      CASE WHEN b.book_code IS NULL THEN 'available' ELSE b.status END AS status,
+      coalesce(b.downloaded, false) AS downloaded,
+      CASE WHEN s.book_code IS NOT NULL THEN 'today' ELSE 'before' END AS last_checked
+    FROM shelf b FULL JOIN scanned s USING (book_code)""",
+)
+def _(t):
+    shelf = t.shelf.withColumn("last_checked", F.lit("before"))
+    table, _ = sync_catalog(shelf, t.scanned, F.lit("today"), ("class_level", "subject", "title"))
+    return table.select("book_code", "title", "status", "downloaded", "last_checked")
+
+
+@query(
+    "l8_refresh_catalog",
+    """SELECT b.book_code, CASE WHEN b.downloaded AND s.version_hash <> b.version_hash
+      THEN 'update_available' ELSE b.status END AS status FROM shelf b LEFT JOIN scanned s USING (book_code)""",
+)
+def _(t):
+    return refresh_catalog(t.shelf, t.scanned).select("book_code", "status")
+
+
+@query(
+    "l9_corpus_health",
+    f"""WITH files AS (SELECT doc_id, 'site/p' || doc_id::VARCHAR || '.html' AS path, n_chars * 1024 AS size, text FROM documents)
+    SELECT 'large' AS "check", path AS target, format('{{:.1f}} MB', size / (1024.0 * 1024.0)) AS detail, 'warning' AS severity
+      FROM files WHERE size > 5 * 1024 * 1024
+    UNION ALL SELECT 'duplicate', f, 'identical to: ' || path, 'warning' FROM (
+      SELECT path, min(path) OVER (PARTITION BY text) AS f FROM files) WHERE path <> f
+    UNION ALL SELECT 'broken-link', path, 'missing target: ' || link, 'error' FROM links WHERE {LOCAL}
+    UNION ALL SELECT 'missing-doc', n, 'no documentation found for module', 'warning' FROM (
+      SELECT DISTINCT p_name AS n FROM part) WHERE NOT EXISTS (SELECT 1 FROM files WHERE contains(path, lower(n)))
+    UNION ALL SELECT 'orphan', path, 'not linked from any document', 'info' FROM files""",
+)
+def _(t):
+    path = F.concat(F.lit("site/p"), F.col("doc_id").cast("string"), F.lit(".html"))
+    files = t.documents.select(path.alias("path"), (F.col("n_chars") * 1024).alias("size"), "text")
+    modules = t.part.select(F.col("p_name").alias("name")).distinct()
+    local = t.links.filter((F.col("link") != "") & ~F.col("link").rlike("^(http://|https://|mailto:)"))
+    return corpus_health(files, local.select("path", "link"), modules)
+
+
+@query(
+    "l10_commit_summary",
+    f"""SELECT seq, section, '- ' || CASE WHEN scope <> '' THEN '**' || scope || '**: ' ELSE '' END || summary
+      || ' (' || commit_hash || ')' AS line FROM ({COMMITS_SQL})""",
+)
+def _(t):
+    return commit_summary(t.commits).select("seq", "section", "line")
+
+
+@query(
+    "l11_doc_index",
+    """SELECT CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Platform' END AS module, 'Doc ' || source AS document,
+      CASE WHEN doc_id % 2 = 0 THEN lang || '/' ELSE '' END || doc_id::VARCHAR || '.md' AS path, '' AS version,
+      CASE WHEN doc_id % 2 = 0 THEN 'Draft' ELSE 'Final' END AS status, '' AS owner, '' AS updated_date FROM documents""",
+)
+def _(t):
+    even = F.col("doc_id") % 2 == 0
+    relative = F.concat(F.when(even, F.concat("lang", F.lit("/"))).otherwise(""), F.col("doc_id").cast("string"), F.lit(".md"))
+    head = F.when(even, "").otherwise("---\nstatus: Final\n---\n")
+    text = F.concat(head, F.lit("# Doc "), "source", F.lit("\n"), "text")
+    docs = t.documents.select(relative.alias("path"), relative.alias("relative"), text.alias("text"))
+    return doc_index(docs)
+
+
+@query(
+    "l6_section_block_counts",
+    f"""SELECT document_id, element_type, count(*) AS n FROM ({NOISE_SQL}) WHERE NOT is_noise GROUP BY ALL""",
+)
+def section_block_counts(t):
+    """Sections and blocks per document once running headers are removed."""
+    marked = t.elements.with_df(running_header_detection(t.elements.df)).filter(~F.col("is_noise"))
+    return counts_per(heading_tree(marked).df, "document_id", "element_type")

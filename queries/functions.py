@@ -1 +1,421 @@
-"""Queries."""
+"""I: scalar functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from queries.aggregates import COMMITS_SQL
+from queries.base import query, rounded
+from queries.joins import COST
+from quillwork.functions import text as fn
+from quillwork.functions import vectors as vec
+from quillwork.functions.classify import classify_content
+from quillwork.functions.json import lenient_json, text_field
+from quillwork.plans.governance import classify_commits
+from quillwork.plans.research import analyze_prompt
+
+FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query("i1_normalise_ws_lower", f"SELECT doc_id, lower({FLAT}) AS norm FROM documents")
+def _(t):
+    return t.documents.select("doc_id", fn.normalise_ws_lower(F.col("text")).alias("norm"))
+
+
+@query(
+    "i2_snippet",
+    f"SELECT doc_id, substr({FLAT}, 1, 90) || CASE WHEN length({FLAT}) > 90 THEN '…' ELSE '' END AS snippet FROM documents",
+)
+def _(t):
+    return t.documents.select("doc_id", fn.snippet(F.col("text")).alias("snippet"))
+
+
+@query(
+    "i3_truncate",
+    "SELECT doc_id, substr(text, 1, 24000) AS analysed, substr(text, 1, 400) AS title FROM documents",
+)
+def _(t):
+    text = F.col("text")
+    return t.documents.select("doc_id", fn.truncate(text).alias("analysed"), fn.truncate(text, 400).alias("title"))
+
+
+@query(
+    "i4_slugify",
+    """SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'),
+      '[^a-z0-9]+', '-', 'g'), '-'), ''), 'rule') AS slug FROM part""",
+)
+def _(t):
+    label = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return t.part.select("p_partkey", fn.slugify(label).alias("slug"))
+
+
+@query(
+    "i5_clean_lines",
+    """SELECT doc_id, string_agg(trim(line), chr(10) ORDER BY line_no) AS kept,
+      count(DISTINCT lower(trim(line))) AS distinct_lines FROM lines WHERE trim(line) <> '' GROUP BY ALL""",
+)
+def _(t):
+    text = F.col("text")
+    return t.documents.select(
+        "doc_id", F.array_join(fn.clean_lines(text), "\n").alias("kept"),
+        F.size(fn.line_set(text)).cast("long").alias("distinct_lines"),
+    )
+
+
+OPTION = r"^\s*(\(?[A-Da-d][).]|[1-4][).])\s+\S"
+
+
+@query(
+    "i6_is_option_line",
+    f"""SELECT doc_id, line_no, regexp_matches(CASE line_no % 3 WHEN 0 THEN '(A) ' WHEN 1 THEN '2. ' ELSE '' END || line,
+      '{OPTION}') AS is_option FROM lines""",
+)
+def _(t):
+    mark = F.when(F.col("line_no") % 3 == 0, "(A) ").when(F.col("line_no") % 3 == 1, "2. ").otherwise("")
+    line = F.concat(mark, "line")
+    return t.lines.select("doc_id", "line_no", fn.is_option_line(line).alias("is_option"))
+
+
+@query(
+    "i7_classify_content",
+    r"""SELECT doc_id, line_no, concat_ws(',',
+      CASE WHEN headed AND NOT prose THEN 'heading' END,
+      CASE WHEN NOT (headed OR question OR diagram OR tab) OR prose THEN 'paragraph' END,
+      CASE WHEN question THEN 'question' END, CASE WHEN opt THEN 'options' END, CASE WHEN diagram THEN 'diagram' END,
+      CASE WHEN tab THEN 'table' END) AS tags
+    FROM (SELECT *, short AND (upper(l) = l AND lower(l) <> l OR n <= 5 OR (lower(l) <> upper(l)
+          AND NOT regexp_matches(l, '[\p{Lu}\p{Ll}]\p{Lu}') AND NOT regexp_matches(l, '(^|[^\p{Lu}\p{Ll}])\p{Ll}')))
+        AS headed,
+        (short AND (upper(l) = l AND lower(l) <> l OR n <= 5 OR (lower(l) <> upper(l)
+          AND NOT regexp_matches(l, '[\p{Lu}\p{Ll}]\p{Lu}') AND NOT regexp_matches(l, '(^|[^\p{Lu}\p{Ll}])\p{Ll}')))
+          OR diagram) AND NOT question AND NOT tab AND n >= 12 AS prose
+      FROM (SELECT *, n <= 8 AND NOT regexp_matches(l, '[.?!:;]$') AND NOT question AND NOT diagram AND NOT tab AS short
+        FROM (SELECT doc_id, line_no, trim(line) AS l, len(regexp_split_to_array(trim(line), '\s+')) AS n,
+            regexp_matches(trim(line), '(?i)^(q\s*[.\d):\-]|question\b|(who|what|why|when|where|which|how|whose|whom)\b)')
+              OR trim(line) LIKE '%?' OR opt AS question, opt,
+            NOT opt AND regexp_matches(trim(line), '(?i)^(fig(ure)?|diagram|image|photo|plate|chart|graph|illustration)\b') AS diagram,
+            NOT opt AND regexp_matches(trim(line), '(?i)^table\b[\s.:\-]*\d') AS tab
+          FROM (SELECT *, regexp_matches(trim(line), '^\s*(\(?[A-Da-d][).]|[1-4][).])\s+\S') AS opt FROM lines
+            WHERE trim(line) <> ''))))""",
+)
+def _(t):
+    lines = t.lines.filter(fn.strip(F.col("line")) != "")
+    tagged = classify_content(lines, "line")
+    return tagged.select("doc_id", "line_no", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "i7_classify_questions",
+    """SELECT doc_id, line_no, 'question,options,answer' AS tags FROM lines WHERE trim(line) <> ''""",
+)
+def _(t):
+    """Each line as a multiple-choice card: stem, two options, answer."""
+    lines = t.lines.filter(fn.strip(F.col("line")) != "")
+    card = F.concat(F.lit("(A) "), "line", F.lit("\n(B) none of these\nAnswer: (A)"))
+    tagged = classify_content(lines.withColumn("card", card), "card")
+    return tagged.select("doc_id", "line_no", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "i8_line_kinds",
+    r"""SELECT document_id, order_index,
+      regexp_matches(text, '(?i)^(fig(ure)?|table|image|photo|plate|chart|diagram|exhibit)\b[\s.:\-]*\d') AS caption,
+      regexp_matches(text, '(?i)^\s*example\b') AS example,
+      regexp_matches(text, '(?i)^\s*(exercises?|questions|problems)\b') AS exercise,
+      regexp_matches(text, '(?i)^\s*(page\s*)?[ivxlcdm\d]{1,6}\s*$') AS page_number FROM elements""",
+)
+def _(t):
+    text = F.col("text")
+    return t.elements.df.select(
+        "document_id", "order_index", fn.is_caption(text).alias("caption"), fn.is_example(text).alias("example"),
+        fn.is_exercise(text).alias("exercise"), fn.is_page_number(text).alias("page_number"),
+    )
+
+
+@query("i9_parse_conventional_commit", COMMITS_SQL)
+def _(t):
+    return classify_commits(t.commits)
+
+
+@query(
+    "i10_frontmatter",
+    "SELECT p_partkey, p_type AS title, p_brand AS module, 2 AS keys FROM part",
+)
+def _(t):
+    page = F.concat(
+        F.lit("---\nTitle: "), "p_name", F.lit('\nmodule : "'), "p_brand", F.lit('"\nnot a pair\ntitle: '), "p_type",
+        F.lit("\n---\n# Heading\n"),
+    )
+    meta = t.part.select("p_partkey", fn.frontmatter(page).alias("m"))
+    return meta.select(
+        "p_partkey", F.col("m.title").alias("title"), F.col("m.module").alias("module"), F.size("m").alias("keys")
+    )
+
+
+@query(
+    "i11_doc_title",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Head ' || p_type ELSE 'part-' || p_partkey::VARCHAR END AS title,
+      CASE WHEN p_partkey % 3 = 0 THEN 'Named' WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Platform' END AS module FROM part""",
+)
+def _(t):
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("part-"), key.cast("string"), F.lit(".md"))
+    relative = F.when(key % 2 == 0, F.concat("p_brand", F.lit("/"), name)).otherwise(name)
+    text = (
+        F.when(key % 3 == 0, F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\nmodule: Named\n---\n# Other\n")))
+        .when(key % 3 == 1, F.concat(F.lit("intro\n# Head "), "p_type", F.lit("\n# Later\n")))
+        .otherwise("no heading here")
+    )
+    rows = t.part.select("p_partkey", relative.alias("path"), text.alias("text"))
+    return rows.select(
+        "p_partkey", fn.doc_title(F.col("text"), F.col("path")).alias("title"),
+        fn.infer_module(F.col("text"), F.col("path")).alias("module"),
+    )
+
+
+@query(
+    "i12_adr_fields",
+    """SELECT p_partkey AS number, CASE WHEN p_partkey % 2 = 0 THEN 'Use ' || p_name ELSE replace(p_name, '-', ' ') END AS title,
+      CASE WHEN p_partkey % 2 = 0 THEN 'Accepted' ELSE 'Proposed' END AS status,
+      CASE WHEN p_partkey % 2 = 0 THEN '2024-01-02' ELSE '' END AS date FROM part""",
+)
+def _(t):
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("adr/ADR-"), F.lpad(key.cast("string"), 9, "0"), F.lit("-"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".md"))
+    full = F.concat(F.lit("# ADR-7: Use "), "p_name", F.lit("\n| Status | Accepted |\n| Date | 2024-01-02 |\n"))
+    text = F.when(key % 2 == 0, full).otherwise("nothing to see")
+    return t.part.select(fn.adr_fields(path, text).alias("a")).select("a.*")
+
+
+@query(
+    "i13_link_targets",
+    "SELECT page_id, count(*) AS n, string_agg(link, ' ' ORDER BY link) AS targets FROM links GROUP BY ALL",
+)
+def _(t):
+    href = F.array_sort(fn.html_links(F.col("html")))
+    rows = t.pages.select("page_id", F.size(href).cast("long").alias("n"), F.array_join(href, " ").alias("targets"))
+    return rows.filter("n > 0")
+
+
+@query(
+    "i13_markdown_links",
+    "SELECT doc_id, 'docs/' || source || '.md,' || lang AS targets FROM documents",
+)
+def _(t):
+    body = F.concat(
+        F.lit("see [one](docs/"), "source", F.lit(".md#part) and [two]( "), "lang", F.lit(" ), not (this) "), "text"
+    )
+    return t.documents.select("doc_id", F.array_join(fn.markdown_links(body), ",").alias("targets"))
+
+
+@query(
+    "i15_path_parts",
+    r"""SELECT page_id, string_split(url, '/')[-1] AS name, regexp_replace(string_split(url, '/')[-1], '(.)\.[^.]+$', '\1') AS stem,
+      lower(regexp_extract(string_split(url, '/')[-1], '^.+(\.[^.]+)$', 1)) AS suffix FROM pages""",
+)
+def _(t):
+    url = F.col("url")
+    return t.pages.select(
+        "page_id", fn.basename(url).alias("name"), fn.stem(url).alias("stem"), fn.suffix(url).alias("suffix")
+    )
+
+
+@query(
+    "i16_book_codes",
+    """SELECT p_partkey, p_partkey::VARCHAR AS part, CASE p_size % 4 WHEN 0 THEN 'English' WHEN 1 THEN 'Hindi'
+      WHEN 2 THEN 'Urdu' ELSE 'Other' END AS language, 'Class ' || CASE p_size % 3 WHEN 0 THEN 'IX' WHEN 1 THEN 'XI & XII'
+      ELSE '14' END AS label FROM part""",
+)
+def _(t):
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ehux"]), (F.col("p_size") % 4 + 1).cast("int"))
+    code = F.concat(F.lit("k"), letter, F.lit("ab"), F.col("p_partkey").cast("string"))
+    level = F.element_at(F.array(F.lit("9"), F.lit("13"), F.lit("14")), (F.col("p_size") % 3 + 1).cast("int"))
+    return t.part.select(
+        "p_partkey", fn.trailing_digits(code).alias("part"), fn.language_of_code(code).alias("language"),
+        fn.class_label(level).alias("label"),
+    )
+
+
+@query(
+    "i17_short_hash",
+    "SELECT doc_id, substr(sha256(text), 1, 16) AS h16, substr(sha256(text), 1, 32) AS h32, substr(sha1(text), 1, 16) AS s16 FROM documents",
+)
+def _(t):
+    text = F.col("text")
+    return t.documents.select(
+        "doc_id", fn.short_hash(text).alias("h16"), fn.short_hash(text, length=32).alias("h32"),
+        fn.short_hash(text, "sha1").alias("s16"),
+    )
+
+
+@query(
+    "i18_lenient_json",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type ELSE '' END AS kind,
+      event_id % 4 = 3 AS nothing FROM events""",
+)
+def _(t):
+    plain = F.concat(F.lit('{"kind": "'), "event_type", F.lit('"}'))
+    answer = (
+        F.when(F.col("event_id") % 4 == 0, plain)
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("Sure:\n"), plain, F.lit("\nDone.")))
+        .when(F.col("event_id") % 4 == 2, F.lit('{"other": 1}'))
+        .otherwise("no { json")
+    )
+    v = lenient_json(answer)
+    rows = t.events.select("event_id", v.alias("v"))
+    return rows.select(
+        "event_id", text_field(F.col("v"), "kind").alias("kind"), (F.to_json("v") == "{}").alias("nothing")
+    )
+
+
+@query(
+    "i19_word_count",
+    "SELECT doc_id, len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS words, length(text) AS chars FROM documents",
+)
+def _(t):
+    text = F.col("text")
+    return t.documents.select(
+        "doc_id", fn.word_count(text).cast("long").alias("words"), fn.char_count(text).cast("long").alias("chars")
+    )
+
+
+@query(
+    "i20_estimate_frames",
+    """SELECT job_id, index, greatest(0, round_even(timestamp * CASE index % 3 WHEN 0 THEN 10 WHEN 1 THEN 24 ELSE 30 END, 0))::BIGINT
+      AS estimated FROM frames""",
+)
+def _(t):
+    i = F.col("index")
+    sampling = F.when(i % 3 == 0, 10.0).when(i % 3 == 1, 0.0)
+    source = F.when(i % 3 != 2, 24.0).otherwise(0.0)
+    return t.frames.df.select(
+        "job_id", "index", fn.estimate_frames(F.col("timestamp"), sampling, source).alias("estimated")
+    )
+
+
+@query(
+    "i21_token_cost",
+    f"SELECT model, count(*) AS calls, sum(({rounded(COST, 6)})::DECIMAL(20, 6))::DOUBLE AS total_cost FROM model_runs GROUP BY ALL",
+)
+def _(t):
+    cost = fn.token_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
+    return t.model_runs.groupBy("model").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(cost.cast("decimal(20,6)")).cast("double").alias("total_cost")
+    )
+
+
+@query(
+    "i22_slide_score",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {rounded("s", 4)} AS score, {rounded("s", 4)} >= 0.55 AS is_question FROM (
+      SELECT *, least(greatest(0.35::DOUBLE * least(l_quantity / 60.0::DOUBLE, 1.0::DOUBLE)
+          + 0.45::DOUBLE * least(greatest((l_discount * 8 - 0.30::DOUBLE) / 0.50::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)
+          + 0.20::DOUBLE * (1.0::DOUBLE - least(l_tax * 5 * 2.2::DOUBLE, 1.0::DOUBLE)), 0.0::DOUBLE), 1.0::DOUBLE) AS s
+      FROM lineitem)""",
+)
+def _(t):
+    score = vec.slide_score(F.col("l_quantity"), F.col("l_discount") * 8, F.col("l_tax") * 5)
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"))
+    return rows.withColumn("is_question", vec.is_question_score(F.col("score")))
+
+
+@query(
+    "i23_vector_mad",
+    """SELECT a.vec_id, round(list_sum(list_transform(generate_series(1, 64), lambda i:
+      abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) / 64, 9) AS mad
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
+def _(t):
+    rows = t.embeddings.select("vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    mad = F.round(vec.vector_mad(F.col("embedding"), F.col("next")), 9)
+    return rows.join(after, "vec_id").select("vec_id", mad.alias("mad"))
+
+
+@query(
+    "i24_dhash",
+    """SELECT vec_id, string_agg(d, '' ORDER BY j) AS dhash FROM (
+      SELECT vec_id, i // 4 AS j, format('{:x}', sum(bit * (8 >> (i % 4)))::BIGINT) AS d FROM (
+        SELECT vec_id, i, CASE WHEN embedding[i // 7 * 8 + i % 7 + 2] > embedding[i // 7 * 8 + i % 7 + 1]
+          THEN 1 ELSE 0 END AS bit FROM embeddings, generate_series(0, 55) g(i))
+      GROUP BY ALL) GROUP BY ALL""",
+)
+def _(t):
+    return t.embeddings.select("vec_id", vec.dhash(F.col("embedding"), rows=8, cols=8).alias("dhash"))
+
+
+def _gray(c):
+    return F.transform(c, lambda x: F.least(F.greatest(F.floor(x * 200 + 128), F.lit(0)), F.lit(255)).cast("int"))
+
+
+@query(
+    "i25_image_features",
+    """SELECT vec_id, round(stddev_pop(g), 6) AS pixel_std FROM (
+      SELECT vec_id, least(greatest(floor(unnest(embedding)::DOUBLE * 200 + 128), 0), 255)::DOUBLE AS g FROM embeddings)
+    GROUP BY ALL""",
+)
+def _(t):
+    gray = t.embeddings.select("vec_id", _gray(F.col("embedding").cast("array<double>")).alias("gray"))
+    return gray.select("vec_id", F.round(vec.pixel_std(F.col("gray"), 8), 6).alias("pixel_std"))
+
+
+@query("i25_sharpness_and_uniformity")
+def _(t):
+    gray = t.embeddings.select("vec_id", _gray(F.col("embedding").cast("array<double>")).alias("gray"))
+    return gray.select(
+        "vec_id", vec.laplacian_var(F.col("gray"), 8).alias("sharpness"),
+        vec.bg_uniformity(F.col("gray"), 8).alias("uniformity"),
+    )
+
+
+@query(
+    "i26_formats",
+    """SELECT job_id, index, (floor(timestamp / 60)::BIGINT)::VARCHAR || ':' ||
+        lpad((floor(timestamp)::BIGINT % 60)::VARCHAR, 2, '0') AS mmss,
+      CASE WHEN index % 2 = 0 THEN '2024-01-' || lpad((index % 28 + 1)::VARCHAR, 2, '0') ELSE 'soon' END AS day FROM frames""",
+)
+def _(t):
+    i = F.col("index")
+    raw = F.when(i % 2 == 0, F.concat(F.lit("202401"), F.lpad((i % 28 + 1).cast("string"), 2, "0"))).otherwise("soon")
+    return t.frames.df.select(
+        "job_id", "index", fn.format_mmss(F.col("timestamp")).alias("mmss"), fn.format_yyyymmdd(raw).alias("day")
+    )
+
+
+@query(
+    "i27_confidence_band",
+    """SELECT document_id, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band,
+      (floor(confidence * 100 + 0.5)::BIGINT)::VARCHAR || '%' AS shown FROM facts""",
+)
+def _(t):
+    c = F.col("confidence")
+    return t.facts.select("document_id", fn.confidence_band(c).alias("band"), fn.percent(c).alias("shown"))
+
+
+@query(
+    "i29_leaf_title",
+    "SELECT document_id, id, title FROM nodes WHERE node_type NOT IN ('root', 'section')",
+)
+def _(t):
+    leaves = t.elements.df.filter("element_type <> 'heading'")
+    title = fn.leaf_title(F.col("element_type"), F.col("text"), F.col("dim_a"), F.col("dim_b"))
+    return leaves.select("document_id", "id", title.alias("title"))
+
+
+@query(
+    "i30_prompt_text",
+    """SELECT conv_id, turn, 'Source title: ' || role || chr(10) || 'Source type: turn' || chr(10) || chr(10)
+      || 'Extracted text:' || chr(10) || substr(text, 1, 24000) AS prompt FROM conversations""",
+)
+def _(t):
+    prompt = analyze_prompt(F.col("role"), F.lit("turn"), F.col("text"))
+    return t.conversations.select("conv_id", "turn", prompt.alias("prompt"))
+
+
+@query(
+    "i31_change_signature",
+    """SELECT book_code, CASE WHEN file_size % 7 = 0 THEN '' ELSE substr(sha1(file_size::VARCHAR || '|' || title), 1, 16) END AS signature
+    FROM books""",
+)
+def _(t):
+    size = F.when(F.col("file_size") % 7 != 0, F.col("file_size"))
+    return t.books.select("book_code", fn.change_signature(size, F.col("title")).alias("signature"))

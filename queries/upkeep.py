@@ -142,12 +142,12 @@ def _(t):
 @query(
     "b6_replace_by_key",
     """SELECT document_id, order_index, text FROM elements WHERE document_id % 4 <> 0
-    UNION ALL SELECT document_id, order_index, upper(text) FROM elements
+    UNION ALL SELECT document_id, order_index, 'new ' || text FROM elements
       WHERE document_id % 4 = 0 AND order_index % 2 = 0""",
 )
 def _(t):
     rows = t.elements.df.select("document_id", "order_index", "text")
-    fresh = rows.filter("document_id % 4 = 0 and order_index % 2 = 0").withColumn("text", F.upper("text"))
+    fresh = rows.filter("document_id % 4 = 0 and order_index % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
     return ops.replace_by_key(rows, fresh, ["document_id"])
 
 

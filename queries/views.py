@@ -407,3 +407,9 @@ VIEWS = {
   SELECT o_orderkey AS seq, substr(md5(o_orderkey::VARCHAR), 1, 7) AS commit_hash,
     CASE o_orderkey % 6 {_FORMS} END AS subject FROM orders""",
 }
+VIEWS["open_spans"] = """
+  SELECT s.*, b.body FROM (SELECT * FROM spans WHERE kind NOT IN ('table', 'figure')) s JOIN (
+    SELECT document_id, coalesce(arg_max(z, w * 1000000 - seen), 12) AS body FROM (
+      SELECT document_id, round_even(size, 0)::BIGINT AS z, sum(length(trim(text)))::BIGINT AS w,
+        min(order_index) AS seen FROM spans WHERE trim(text) <> '' GROUP BY ALL) GROUP BY ALL) b
+  USING (document_id)"""

@@ -251,17 +251,18 @@ def merge_paragraphs(elements: Ordered) -> Ordered:
 
 def join_pieces(pieces: Column) -> Column:
     """Texts of one paragraph -> one text; a trailing hyphen glues the next word."""
-    size = F.size(pieces)
+    following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
+    pairs = F.arrays_zip(pieces.alias("a"), following.alias("b"))
 
-    def piece(text: Column, i: Column) -> Column:
-        glued = F.substring(text, F.lit(1), F.char_length(text) - 1)
+    def piece(pair: Column) -> Column:
+        text = pair["a"]
         return (
-            F.when(i == size - 1, text)
-            .when(F.endswith(text, F.lit("-")), glued)
+            F.when(pair["b"].isNull(), text)
+            .when(F.endswith(text, F.lit("-")), F.substring(text, F.lit(1), F.char_length(text) - 1))
             .otherwise(F.concat(text, F.lit(" ")))
         )
 
-    return strip(F.array_join(F.transform(pieces, piece), ""))
+    return strip(F.array_join(F.transform(pairs, piece), ""))
 
 
 def attach_captions(elements: Ordered) -> Ordered:

@@ -7,8 +7,9 @@ the partitions of a hot key otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from quillwork.functions.text import basename
 from quillwork.operators.ordered import last, number_rows
 
 BLOCK_ROWS = 1_000
+NAMES_IN_TASK = 100_000
+FLUSH = 100_000
 
 
 def parents_with_child_count(parents: DataFrame, children: DataFrame, on: str) -> DataFrame:
@@ -184,29 +187,43 @@ def orphan_docs(docs: DataFrame, links: DataFrame, keep: Sequence[str] = ENTRY_D
     return loose.join(linked, "__name", "left_anti").drop("__name")
 
 
+def _pieces(lengths: Sequence[int], wanted: frozenset | None):
+    """Distinct substrings of the given lengths; only the `wanted` ones if given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: set[str] = set()
+        for batch in batches:
+            for text in batch["t"]:
+                cut = {text[i : i + n] for n in lengths for i in range(len(text) - n + 1)}
+                found |= cut if wanted is None else cut & wanted
+                if len(found) > FLUSH:
+                    yield pd.DataFrame({"__token": list(found)})
+                    found = set()
+        if found:
+            yield pd.DataFrame({"__token": list(found)})
+
+    return run
+
+
 def missing_docs(names: DataFrame, docs: DataFrame, texts: Sequence[str]) -> DataFrame:
     """Names (column `name`) found inside none of the `texts` of any document.
 
-    Substring search as an equi join: every text is cut into its pieces of the
-    lengths that names have, and names meet those pieces. Names are compared
-    with pieces only, never with every document.
+    Substring search as an equi join: texts are cut into pieces of the lengths
+    that names have, and names meet those pieces, never whole documents. Up to
+    `NAMES_IN_TASK` names travel to the tasks, so that only hits are shuffled; a
+    longer list is joined with all pieces.
     """
-    token = F.lower("name")
-    wanted = names.filter("name <> ''").withColumn("__token", token)
-    lengths = [r[0] for r in wanted.select(F.char_length("__token")).distinct().collect()]
-    if not lengths:
-        return wanted.drop("__token")
-    lines = docs.select(F.explode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("__t"))
-
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.char_length("__t") - size + 1)
-        cut = F.transform(starts, lambda i: F.substring(F.col("__t"), i, F.lit(size)))
-        empty = F.array().cast("array<string>")
-        return F.when(F.char_length("__t") >= size, cut).otherwise(empty)
-
-    every = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)])))
-    present = lines.distinct().select(F.explode(every).alias("__token")).distinct()
-    return wanted.join(present, "__token", "left_anti").drop("__token")
+    wanted = names.filter("name <> ''").withColumn("__token", F.lower("name"))
+    tokens = wanted.select("__token").distinct()
+    few = [r[0] for r in tokens.limit(NAMES_IN_TASK + 1).collect()]
+    if len(few) <= NAMES_IN_TASK:
+        lengths, known = sorted({len(n) for n in few}), frozenset(few)
+    else:
+        sizes = tokens.select(F.char_length("__token")).distinct().collect()
+        lengths, known = sorted(r[0] for r in sizes), None
+    column = F.explode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("t")
+    cut = docs.select(column).mapInPandas(_pieces(lengths, known), "__token string")
+    return wanted.join(cut.distinct(), "__token", "left_anti").drop("__token")
 
 
 def detect_changed(current: DataFrame, probed: DataFrame, key: str = "book_code") -> DataFrame:

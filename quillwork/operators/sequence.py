@@ -57,21 +57,24 @@ def merge_similar_runs(frames: Ordered, limit: float = MERGE_JACCARD) -> Ordered
     return rows.with_df(rows.df.drop("__lines", "__before", "__similarity", "__joins"))
 
 
-def first_seen_lines(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], lines: Column, out: str = "lines"
-) -> DataFrame:
-    """Per group: lines distinct up to case, in first-seen order, first spelling kept.
+def first_seen_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], lines: Column) -> DataFrame:
+    """Per group: lines distinct up to case, with where they were first seen (`at`).
 
-    Repeats are removed by a map-side combined aggregate on (group, line), so
-    only distinct lines meet in a group.
+    A map-side combined aggregate on (group, line), whatever the group's size.
     """
     rows = df.select(*keys, *order, F.posexplode(lines).alias("__i", "__line"))
     at = F.struct(*order, "__i")
-    distinct = rows.groupBy(*keys, F.lower("__line").alias("__key")).agg(
-        F.min(at).alias("at"), F.min_by("__line", at).alias("line")
-    )
+    distinct = rows.groupBy(*keys, F.lower("__line").alias("__key"))
+    return distinct.agg(F.min(at).alias("at"), F.min_by("__line", at).alias("line")).drop("__key")
+
+
+def first_seen_lines(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], lines: Column, out: str = "lines"
+) -> DataFrame:
+    """The same as one array per group in first-seen order: for groups that make one text."""
     ordered = F.array_sort(F.collect_list(F.struct("at", "line")))
-    return distinct.groupBy(*keys).agg(F.transform(ordered, lambda x: x["line"]).alias(out))
+    rows = first_seen_rows(df, keys, order, lines)
+    return rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x["line"]).alias(out))
 
 
 def _blend_parts() -> list[Column]:

@@ -63,9 +63,8 @@ def map_document(elements: Ordered, titles: DataFrame, bookmarks: DataFrame | No
     columns = [DOC, "id", "parent_id", "node_type", "title", "content", "level", "depth", "page", "path"]
     nodes = tree.select(*columns)
     if bookmarks is not None:
-        bare = elements.df.groupBy(DOC).agg(
-            F.count_if(F.col("element_type") == "heading").alias("__h")
-        ).filter("__h = 0").select(DOC)
+        headed = elements.df.filter(F.col("element_type") == "heading").select(DOC)
+        bare = titles.select(DOC).join(headed, DOC, "left_anti")
         by_mark = _bookmark_nodes(rows, bare, bookmarks, columns)
         nodes = nodes.join(bare, DOC, "left_anti").unionByName(by_mark)
     name = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Document "), F.col(DOC)))

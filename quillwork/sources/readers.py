@@ -156,9 +156,21 @@ def subtitle_lines(text: Column) -> Column:
 
 
 def first_spellings(lines: Column) -> Column:
-    """Array -> array without items that repeat an earlier one up to case."""
-    keys = F.transform(lines, F.lower)
-    return F.filter(lines, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    """Array -> array without items that repeat an earlier one up to case.
+
+    Sorted by (lower case, position), a first spelling is an item whose
+    predecessor has another key; sorting by position restores the order.
+    """
+    tagged = F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
+    ranked = F.sort_array(tagged)
+    none = F.array(F.lit(None).cast("struct<k:string,i:int,v:string>"))
+    pairs = F.arrays_zip(ranked.alias("a"), F.concat(none, ranked).alias("b"))
+    fresh = F.filter(
+        pairs,
+        lambda p: p["a"].isNotNull() & (p["b"].isNull() | (p["a"]["k"] != p["b"]["k"])),
+    )
+    ordered = F.sort_array(F.transform(fresh, lambda p: F.struct(p["a"]["i"], p["a"]["v"].alias("v"))))
+    return F.transform(ordered, lambda x: x["v"])
 
 
 def subtitle_text(text: Column) -> Column:

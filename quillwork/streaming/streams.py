@@ -27,10 +27,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """New parquet files under `path`, each once."""
+    """New parquet files under the folder `path`, each once; a single file also works."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop)
+    if status.isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder or ".")
     return reader.parquet(path)
 
 
@@ -81,33 +86,36 @@ def stream_keep_on_change(
     waiting = T.StructType([fields[1], fields[2], fields[3]])
     kept = T.StructType([fields[3]])
 
+    def millis(at) -> int:
+        return pd.Timestamp(at).value // 1_000_000
+
     class KeepOnChange(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.rows = handle.getListState("rows", waiting)
             self.kept = handle.getValueState("kept", kept)
 
-        def handleInputRows(self, keys, rows: Iterator[pd.DataFrame], timers):  # noqa: N802
-            late = timers.getCurrentWatermarkInMs()
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802
+            late = timerValues.getCurrentWatermarkInMs()
             fresh = [
                 (r[0], r[1], r[2])
                 for pdf in rows
                 for r in pdf[[ts, tie, value]].itertuples(index=False, name=None)
-                if pd.Timestamp(r[0]).value // 1_000_000 >= late
+                if millis(r[0]) >= late
             ]
             if fresh:
                 self.rows.appendList(fresh)
-                due = max(pd.Timestamp(r[0]).value // 1_000_000 for r in fresh)
-                self.handle.registerTimer(due + 1)
+                self.handle.registerTimer(min(millis(r[0]) for r in fresh) + 1)
             yield pd.DataFrame(columns=out.names)
 
-        def handleExpiredTimer(self, keys, timers, expired):  # noqa: N802
-            mark = timers.getCurrentWatermarkInMs()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+            mark = timerValues.getCurrentWatermarkInMs()
             held = sorted(self.rows.get(), key=lambda r: (r[0], r[1]))
-            ready = [r for r in held if pd.Timestamp(r[0]).value // 1_000_000 < mark]
+            ready = [r for r in held if millis(r[0]) < mark]
             rest = [tuple(r) for r in held[len(ready) :]]
             if rest:
                 self.rows.put(rest)
+                self.handle.registerTimer(millis(rest[0][0]) + 1)
             else:
                 self.rows.clear()
             base = self.kept.get() if self.kept.exists() else None
@@ -115,7 +123,7 @@ def stream_keep_on_change(
             for at, t, v in ready:
                 if base is None or base[0] != v:
                     base = (v,)
-                    emitted.append((keys[0], at, t, v))
+                    emitted.append((key[0], at, t, v))
             if emitted:
                 self.kept.update((base[0],))
             yield pd.DataFrame(emitted, columns=out.names)
