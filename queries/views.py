@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import clean_lines, html_links, squash
-from quillwork.operators.ordered import Ordered, last, number_rows
+from quillwork.operators.ordered import Ordered, lag, last, number_rows
 from quillwork.operators.sequence import build_question, merge_similar_runs
+from quillwork.plans.documents import map_document
+from quillwork.session import materialise, spread
 
 SIGNATURE_LIMIT = 0.13
 COMMIT_FORMS = (
@@ -27,25 +29,31 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        df = self._read(name)
+        return spread(df) if name in ("documents", "pages") else df
+
+    def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         ntz = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
     @cached_property
     def lines(self) -> DataFrame:
-        split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        split = F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
         lines = self.documents.select("doc_id", split)
         return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
     @cached_property
     def elements(self) -> Ordered:
         docs = self.documents.select(F.col("doc_id").alias("document_id"), clean_lines(F.col("text")).alias("__l"))
-        count = F.size("__l").cast("long")
-        rows = docs.select(
-            "document_id",
-            (F.floor((count - 1) / 10) + 1).cast("long").alias("page_count"),
-            F.posexplode("__l").alias("order_index", "line"),
-        ).withColumn("order_index", F.col("order_index").cast("long"))
+        pages = (F.floor((F.size("__l") - 1) / 10) + 1).cast("long")
+        # page_count rides in the exploded array, and the explode is an outer one:
+        # else Catalyst repeats the line splitting in filters below the explode
+        items = F.arrays_zip(F.col("__l").alias("line"), F.array_repeat(pages, F.size("__l")).alias("page_count"))
+        rows = docs.select("document_id", F.posexplode_outer(items).alias("order_index", "__e"))
+        rows = rows.filter("__e is not null").select(
+            "document_id", F.col("order_index").cast("long").alias("order_index"), "__e.line", "__e.page_count"
+        )
         i = F.col("order_index")
         page, m = F.floor(i / 10).cast("long") + 1, i % 10
         kind = (
@@ -73,7 +81,8 @@ class Tables:
             "document_id", "order_index", "id", "page", "page_count", "element_type", "level",
             "text", "dim_a", "dim_b",
         )
-        longest = docs.agg(F.max(F.size("__l"))).first()[0] or 0
+        # a document has fewer lines than bytes
+        longest = self._read("documents").agg(F.max(F.octet_length("text"))).first()[0] or 0
         return Ordered(rows, ("document_id",), "order_index", longest)
 
     @cached_property
@@ -83,9 +92,7 @@ class Tables:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        from quillwork.plans.documents import map_document
-
-        return map_document(self.elements, self.titles)
+        return materialise(map_document(self.elements, self.titles))
 
     @cached_property
     def bookmarks(self) -> DataFrame:
@@ -130,7 +137,8 @@ class Tables:
 
     @cached_property
     def frame_runs(self) -> Ordered:
-        return merge_similar_runs(self.frames)
+        runs = merge_similar_runs(self.frames)
+        return runs.with_df(materialise(runs.df))
 
     @cached_property
     def auto_questions(self) -> DataFrame:
@@ -211,8 +219,6 @@ class Tables:
     @cached_property
     def model_runs(self) -> DataFrame:
         talk = number_rows(self.conversations, ["conv_id"], [F.col("turn")], "at")
-        from quillwork.operators.ordered import lag
-
         talk = talk.scan(asked=lag(F.char_length("text")))
         models = F.array(F.lit("gpt-4o-mini"), F.lit("gpt-4o"), F.lit("unlisted"))
         return talk.df.filter("role = 'assistant'").select(

@@ -15,9 +15,9 @@ WHITESPACE = (
     "           "
     "    　"
 )
-_SPACE_RUN = f"[{WHITESPACE}]+"
-_WORD = f"[^{WHITESPACE}]+"
-_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_WORD = r"(?U)[^\s\x1c-\x1f]+"
+_LINE_END = r"[\n-\r\x1c-\x1e\x85  ]"
 
 # Patterns and limits that decide results.
 OPTION_LINE = r"(?U)^\s*(\(?[A-Da-d][\).]|[1-4][\).])\s+\S"
@@ -65,6 +65,7 @@ def slugify(c: Column, default: str = "rule") -> Column:
 
 
 def split_lines(c: Column) -> Column:
+    """Lines by any terminator; a CR LF pair leaves an empty line between."""
     return F.split(c, _LINE_END)
 
 

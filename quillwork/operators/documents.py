@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import (
@@ -46,14 +46,14 @@ def weighted_mode(spans: DataFrame, keys: Sequence[str] = (DOC,)) -> DataFrame:
 def rank_heading_sizes(blocks: DataFrame, body: DataFrame) -> DataFrame:
     """Add `element_type` and `level`: sizes above the body size rank 1..N, largest first.
 
-    Ranking runs over distinct sizes only.
+    Ranking runs over the distinct whole sizes of a document, a handful.
     """
     size = F.bround("size").cast("long")
     sized = blocks.withColumn("__size", size).join(body, DOC)
     large = F.col("size") >= F.col("body_size") + 1.0
     sizes = sized.filter(large).select(DOC, "__size").distinct()
-    ranked = number_rows(sizes, [DOC], [F.desc("__size")], "__rank").df
-    levels = ranked.select(DOC, "__size", (F.col("__rank") + 1).alias("__level"))
+    rank = F.row_number().over(Window.partitionBy(DOC).orderBy(F.desc("__size")))
+    levels = sizes.select(DOC, "__size", rank.cast("long").alias("__level"))
     joined = sized.join(levels, [DOC, "__size"], "left")
     heading = F.col("__level").isNotNull() & (F.char_length("text") <= HEADING_CHARS)
     return joined.withColumns(
@@ -326,7 +326,8 @@ def assemble_blocks(elements: Ordered, lossless: bool = False, root: int = 0) ->
     pos = elements.pos
     section = last_before(F.when(F.col("element_type") == "heading", F.col("id")))
     rows = attach_captions(_kinds(elements).scan(section_id=section))
-    df = rows.df.withColumn("section_id", F.coalesce("section_id", F.lit(root)))
+    # read four times below
+    df = materialise(rows.df.withColumn("section_id", F.coalesce("section_id", F.lit(root))))
     k, at = F.col("__k"), F.col(pos)
     keys = list(rows.keys)
 
@@ -400,7 +401,9 @@ def assemble_blocks(elements: Ordered, lossless: bool = False, root: int = 0) ->
         lost = after.filter(F.col("held") & (F.col("__next") == "held"))
         blocks = blocks.unionByName(loose(lost, at, F.col("page"), F.col("__t"), F.col("id")))
 
-    numbered = number_rows(blocks, keys, [F.col("block"), F.col("__turn")], "order_index")
+    # no more blocks than elements, plus the one at the end
+    order = [F.col("block"), F.col("__turn")]
+    numbered = number_rows(blocks, keys, order, "order_index", largest=rows.largest + 1)
     return numbered.df.drop("__turn", "block")
 
 

@@ -139,7 +139,8 @@ def register_functions(spark) -> None:
 def explode_lines(df: DataFrame, text: str) -> DataFrame:
     """(…, pos, line): the built-in twin of the SQL table function."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(clean_lines(F.col(text))).alias("pos", "line"))
+    rows = df.select(*rest, F.posexplode_outer(clean_lines(F.col(text))).alias("pos", "line"))
+    return rows.filter("line is not null")
 
 
 def with_defaults(options: Column, defaults: Mapping[str, object]) -> Column:

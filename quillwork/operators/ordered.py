@@ -147,16 +147,25 @@ class Ordered:
         return self.with_df(joined.withColumns(out).select(*kept, *out))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pos: str = "pos") -> Ordered:
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    pos: str = "pos",
+    largest: int | None = None,
+) -> Ordered:
     """Give every row its 0-based position within `keys` by a total `order`.
 
+    `largest` is an upper bound of the rows of one key; without it they are
+    counted.
+
     A key too big for one task is numbered by slices: rows are range-partitioned
     on (keys, order), which splits a hot key, and a slice starts after the rows
     of the earlier slices of its key. The slices are written to the shared
     folder first, so that a retried task cannot draw other slice borders.
     """
     spark = df.sparkSession
-    biggest = largest_group(df, keys)
+    biggest = largest_group(df, keys) if largest is None else largest
     if biggest <= row_limit(spark, GROUP_ROWS):
         window = Window.partitionBy(*keys).orderBy(*order)
         numbered = df.withColumn(pos, (F.row_number().over(window) - 1).cast("long"))

@@ -62,7 +62,9 @@ def first_seen_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], li
 
     A map-side combined aggregate on (group, line), whatever the group's size.
     """
-    rows = df.select(*keys, *order, F.posexplode(lines).alias("__i", "__line"))
+    # the outer form keeps Catalyst from repeating `lines` in an inferred filter
+    rows = df.select(*keys, *order, F.posexplode_outer(lines).alias("__i", "__line"))
+    rows = rows.filter("__line is not null")
     at = F.struct(*order, "__i")
     distinct = rows.groupBy(*keys, F.lower("__line").alias("__key"))
     return distinct.agg(F.min(at).alias("at"), F.min_by("__line", at).alias("line")).drop("__key")

@@ -18,6 +18,7 @@ from quillwork.operators.documents import (
 )
 from quillwork.operators.joins import asof_page_join, points_outside_boxes
 from quillwork.operators.ordered import Ordered, number_rows
+from quillwork.session import materialise
 
 
 def layout_to_elements(
@@ -46,7 +47,7 @@ def layout_to_elements(
             )
         )
     # equal heights: tables, then text, then figures, each in source order
-    rows = rows.withColumnRenamed("order_index", "source_order")
+    rows = materialise(rows.withColumnRenamed("order_index", "source_order"))
     order = [F.col(c) for c in ("page", "y0", "turn", "source_order")]
     numbered = number_rows(rows, [DOC], order, "order_index")
     return numbered.with_df(numbered.df.drop("turn", "source_order")), text_layer_flag(blocks)
@@ -114,11 +115,10 @@ def assemble_document(elements: Ordered) -> tuple[DataFrame, DataFrame, DataFram
 
     Elements need `page_count`. Noise is marked first and left out.
     """
-    marked = elements.with_df(running_header_detection(elements.df)).columns(
-        id=F.col(elements.pos) + 1
-    )
+    marked = running_header_detection(elements.df).withColumn("id", F.col(elements.pos) + 1)
+    marked = elements.with_df(materialise(marked))
     clean = marked.filter(~F.col("is_noise"))
-    blocks = assemble_blocks(clean)
+    blocks = materialise(assemble_blocks(clean))
     headings = heading_tree(clean.filter(F.col("element_type") == "heading")).df
     sections = headings.select(
         DOC, F.col("id").alias("section_id"), "parent_id", F.col("text").alias("title"), "depth",

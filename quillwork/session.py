@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,10 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and go on from there.
+
+    Cuts the lineage, fixes what a retried task would see, and spares a plan
+    that is read more than once from being computed again.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that comes in fewer pieces than there are cores.
+
+    A small table in one file would be worked on by one task. A table with more
+    scan partitions than cores is left alone, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -93,7 +93,7 @@ def parse_catalog_script(pages: DataFrame, page: str = "page", text: str = "text
     text line names an index and a value line turns an index into a book, if the
     index has a title by then. A code counts once per page, where first listed.
     """
-    lines = pages.select(page, F.posexplode(split_lines(F.col(text))).alias("pos", "__raw"))
+    lines = pages.select(page, F.posexplode_outer(split_lines(F.col(text))).alias("pos", "__raw"))
     lines = lines.withColumn("__line", strip(F.col("__raw")))
     lines = lines.filter(~F.startswith("__line", F.lit("//")))
     get = lambda pattern, i: F.nullif(F.regexp_extract("__line", pattern, i), F.lit(""))

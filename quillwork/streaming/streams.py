@@ -7,25 +7,20 @@ folder, so it picks up each file once and survives a lost executor or driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from quillwork.operators.upkeep import upsert_catalog
-from quillwork.session import shared_dir
+from quillwork.session import scratch
 from quillwork.sources.readers import corpus_columns
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-
-
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """New parquet files under the folder `path`, each once; a single file also works."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -75,65 +70,52 @@ def stream_keep_on_change(
     watermark passes them and are then judged in (ts, tie) order; rows later
     than the watermark are dropped. Emits (key, ts, tie, value).
 
-    One key is judged in one place, because every decision hangs on the one
-    before. Rows leave the buffer as the watermark moves, so state holds a
-    window of `delay` per key, not its history.
+    Every decision hangs on the one before, so a key is judged in one place. Its
+    state is a window of `delay`, not its history, and what arrives at once is
+    bounded by the files per batch.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    fields = [stream.schema[c] for c in (key, ts, tie, value)]
-    out = T.StructType(fields)
-    waiting = T.StructType([fields[1], fields[2], fields[3]])
-    kept = T.StructType([fields[3]])
-
-    def millis(at) -> int:
-        return pd.Timestamp(at).value // 1_000_000
-
-    class KeepOnChange(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.rows = handle.getListState("rows", waiting)
-            self.kept = handle.getValueState("kept", kept)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802
-            late = timerValues.getCurrentWatermarkInMs()
-            fresh = [
-                (r[0], r[1], r[2])
-                for pdf in rows
-                for r in pdf[[ts, tie, value]].itertuples(index=False, name=None)
-                if millis(r[0]) >= late
-            ]
-            if fresh:
-                self.rows.appendList(fresh)
-                self.handle.registerTimer(min(millis(r[0]) for r in fresh) + 1)
-            yield pd.DataFrame(columns=out.names)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
-            mark = timerValues.getCurrentWatermarkInMs()
-            held = sorted(self.rows.get(), key=lambda r: (r[0], r[1]))
-            ready = [r for r in held if millis(r[0]) < mark]
-            rest = [tuple(r) for r in held[len(ready) :]]
-            if rest:
-                self.rows.put(rest)
-                self.handle.registerTimer(millis(rest[0][0]) + 1)
-            else:
-                self.rows.clear()
-            base = self.kept.get() if self.kept.exists() else None
-            emitted = []
-            for at, t, v in ready:
-                if base is None or base[0] != v:
-                    base = (v,)
-                    emitted.append((key[0], at, t, v))
-            if emitted:
-                self.kept.update((base[0],))
-            yield pd.DataFrame(emitted, columns=out.names)
-
-        def close(self) -> None:
-            pass
+    out = T.StructType([stream.schema[c] for c in (key, ts, tie, value)])
+    state_schema = T.StructType(
+        [
+            T.StructField("known", T.BooleanType()),
+            T.StructField("kept", stream.schema[value].dataType),
+            T.StructField("at", T.ArrayType(T.LongType())),
+            T.StructField("tie", T.ArrayType(stream.schema[tie].dataType)),
+            T.StructField("value", T.ArrayType(stream.schema[value].dataType)),
+        ]
+    )
+
+    def judge(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000
+        known, kept, *held = state.get if state.exists else (False, None, [], [], [])
+        rows = list(zip(*held))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                micros = pdf[ts].astype("datetime64[us]").astype("int64")
+                fresh = zip(micros, pdf[tie], pdf[value])
+                rows += [r for r in fresh if r[0] >= mark]
+        rows.sort(key=lambda r: r[:2])
+        emitted = []
+        while len(emitted) < len(rows) and rows[len(emitted)][0] < mark:
+            emitted.append(rows[len(emitted)])
+        rest, changed = rows[len(emitted) :], []
+        for row in emitted:
+            if not known or row[2] != kept:
+                known, kept = True, row[2]
+                changed.append((group[0], *row))
+        at, ties, values = (list(c) for c in zip(*rest)) if rest else ([], [], [])
+        state.update((known, kept, at, ties, values))
+        if rest:
+            state.setTimeoutTimestamp(max(at[0] // 1000, mark // 1000) + 1)
+        pdf = pd.DataFrame(changed, columns=out.names)
+        pdf[ts] = pd.to_datetime(pdf[ts], unit="us")
+        yield pdf
 
     rows = stream.select(key, ts, tie, value).withWatermark(ts, delay)
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=KeepOnChange(), outputStructType=out, outputMode="Append", timeMode="EventTime"
+    return rows.groupBy(key).applyInPandasWithState(
+        judge, out, state_schema, "append", "EventTimeTimeout"
     )
 
 
