@@ -69,8 +69,8 @@ def fold_keep(
 
 def _fold_chunks(rows, value, fold, flag, usable, decode, limit, out_schema) -> DataFrame:
     df, pos, keys = rows.df, rows.pos, list(rows.keys)
-    on = [*keys, CHUNK]
-    chunks = materialise(rows.chunked(limit))
+    columns, on = df.columns, [*keys, CHUNK]
+    chunks = rows.chunked(limit)
     carried = T.StructType(
         [T.StructField("at", T.LongType()), T.StructField("v", df.schema[value].dataType)]
     )
@@ -101,7 +101,7 @@ def _fold_chunks(rows, value, fold, flag, usable, decode, limit, out_schema) ->
     def mark(table: pa.Table, entries: pa.Table) -> pa.Table:
         table, entry = _sorted(table, pos), entry_of(entries)
         keep = fold(decode(table.column(value)), [entry["v"]] if entry else [])
-        return table.select(df.columns).append_column(flag, pa.array(keep, pa.bool_()))
+        return table.select(columns).append_column(flag, pa.array(keep, pa.bool_()))
 
     arrow_types = [f.type for f in to_arrow_schema(exit_schema)]
 

@@ -100,9 +100,10 @@ class Ordered:
         return self._chunked_scan(limit, scans)
 
     def chunked(self, rows: int) -> DataFrame:
-        """Rows placed by (key, chunk); reused by everything that reads them."""
+        """Rows with their chunk, written out: chunks are read twice or more, and
+        a chain of scans would otherwise double its plan at every step."""
         chunk = F.floor(F.col(self.pos) / F.lit(rows)).cast("long")
-        return self.df.withColumn(CHUNK, chunk).repartition(*self.keys, CHUNK)
+        return materialise(self.df.withColumn(CHUNK, chunk))
 
     def _chunked_scan(self, rows: int, scans: dict[str, Scan]) -> Ordered:
         values = {f"__v_{n}": s.expr for n, s in scans.items()}
