@@ -13,7 +13,9 @@ from quillwork.functions.text import ANALYSIS_CHARS, truncate
 from quillwork.operators.aggregates import conflicting_claims, cross_source_support
 from quillwork.operators.filters import first_n_per_group
 from quillwork.operators.inference import batch_infer, run_ledger, session_status
+from quillwork.operators.ordered import number_rows, total
 from quillwork.operators.sets import merge_text_channels
+from quillwork.session import materialise
 from quillwork.sources.writers import markdown_table_rows
 
 # Layout of the prompts.
@@ -49,7 +51,8 @@ def coerce_records(answers: DataFrame, path: str, texts: tuple[str, ...]) -> Dat
 def consensus_prompt(facts: DataFrame, summaries: DataFrame, topic: Column) -> DataFrame:
     """One prompt per session: a block per source with its summary and first facts.
 
-    At most 15 facts per source and the text budget bound what a session gathers.
+    At most 15 facts per source and the text budget bound what is gathered for a
+    session, however many sources it has.
     """
     few = first_n_per_group(facts, ["session_id", "document_id"], [F.col("pos")], CONSENSUS_FACTS)
     line = F.concat(F.lit("- ["), "category", F.lit("] "), "value")
@@ -69,15 +72,15 @@ def consensus_prompt(facts: DataFrame, summaries: DataFrame, topic: Column) -> D
         F.when(F.col("__facts").isNotNull(), F.lit("Key facts:")),
         F.col("__facts"),
     )
-    # a block starting past the budget cannot show up in the prompt
-    sized = joined.withColumn("__block", block)
-    blocks = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("document_id", "__block"))), lambda x: x["__block"]
-        ),
-        "\n\n",
-    )
-    prompts = sized.groupBy("session_id").agg(truncate(blocks).alias("sources_block"))
+    # a block that starts past the budget cannot show up, so none is gathered
+    sized = materialise(joined.select("session_id", "document_id", block.alias("__block")))
+    rows = number_rows(sized, ["session_id"], [F.col("document_id")], "__at")
+    length = F.char_length("__block") + 2
+    rows = rows.scan(__end=total(length.cast("long")))
+    near = rows.df.filter(F.col("__end") - length < ANALYSIS_CHARS)
+    ordered = F.array_sort(F.collect_list(F.struct("__at", "__block")))
+    blocks = F.array_join(F.transform(ordered, lambda x: x["__block"]), "\n\n")
+    prompts = near.groupBy("session_id").agg(truncate(blocks).alias("sources_block"))
     head = F.concat(F.lit("Research topic: "), topic, F.lit("\n\n"))
     return prompts.withColumn("user_prompt", F.concat(head, "sources_block"))
 
