@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from queries.aggregates import COMMITS_SQL, NOISE_SQL
 from queries.base import query, rounded
 from queries.joins import LOCAL
+from queries.sequences import CHANGES
+from queries.steps import blocks, chosen
 from queries.views import SIGNATURE_LIMIT
 from quillwork.operators.aggregates import counts_per
 from quillwork.operators.documents import heading_tree, running_header_detection
@@ -41,31 +43,36 @@ def _(t):
 
 
 def _select(t, strategy: str):
-    rows = t.signatures.columns(
-        ocr_text=F.concat(F.lit("slide "), F.floor(F.col("pos") / 3).cast("string")), sharpness=F.col("sharpness") * 3
-    )
+    """Slides change their text every third frame, to letters with nothing in common."""
+    letter = F.char(97 + F.floor(F.col("pos") / 3) % 26)
+    rows = t.signatures.columns(ocr_text=F.repeat(letter, F.lit(10)), sharpness=F.col("sharpness") * 3)
     options = SelectOptions(
         interval=2.0, scene_threshold=0.14, sampling_fps=1.0, max_frames=12, duplicate_limit=SIGNATURE_LIMIT
     )
     return select_frames(change_scores(rows), strategy, options).select("label", "pos", "vec_id")
 
 
-@query("l3_select_frames_hybrid")
+SAMPLED = f"""SELECT *, pos // 3 % 26 AS letter FROM ({CHANGES}) WHERE pos % 2 = 0"""
+SCENES = f"SELECT * FROM ({SAMPLED}) WHERE change > 0.14 OR pos = 0"
+CHANGED = "SELECT * FROM ({}) QUALIFY lag(letter) OVER (PARTITION BY label ORDER BY pos) IS DISTINCT FROM letter"
+
+
+@query("l3_select_frames_hybrid", chosen(CHANGED.format(SCENES), "sharpness * 3", 12))
 def _(t):
     return _select(t, "hybrid")
 
 
-@query("l3_select_frames_scene")
+@query("l3_select_frames_scene", chosen(SCENES, "sharpness * 3", 12))
 def _(t):
     return _select(t, "scene_detection")
 
 
-@query("l3_select_frames_text")
+@query("l3_select_frames_text", chosen(CHANGED.format(SAMPLED), "sharpness * 3", 12))
 def _(t):
     return _select(t, "ocr_text_change")
 
 
-@query("l3_select_frames_fixed")
+@query("l3_select_frames_fixed", chosen("SELECT * FROM signatures WHERE pos % 4 = 0", "sharpness * 3", 12))
 def _(t):
     return _select(t, "fixed_interval")
 
@@ -123,7 +130,15 @@ def _(t):
     )
 
 
-@query("l6_assemble_blocks")
+CLEAN = f"SELECT * FROM ({NOISE_SQL}) WHERE NOT is_noise"
+
+
+@query(
+    "l6_assemble_blocks",
+    f"""{blocks(CLEAN)}
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY place, turn) - 1 AS order_index, block_type,
+      section_id, page, text, caption, source_ids FROM blocks""",
+)
 def _(t):
     _, blocks, _ = assemble_document(t.elements)
     ids = F.array_join(F.col("source_element_ids").cast("array<string>"), ",").alias("source_ids")
@@ -140,7 +155,19 @@ def _(t):
     return counts.select("document_id", "dropped_noise", "sections")
 
 
-@query("l6_section_pages")
+@query(
+    "l6_section_pages",
+    f"""{blocks(CLEAN)},
+    heads AS (
+      SELECT document_id, id AS section_id, coalesce(CASE level WHEN 1 THEN 0 WHEN 2 THEN h1 ELSE greatest(h1, h2) END, 0) AS parent_id,
+        page FROM (SELECT *, last_value(CASE WHEN level = 1 THEN id END IGNORE NULLS) OVER w AS h1,
+          last_value(CASE WHEN level = 2 THEN id END IGNORE NULLS) OVER w AS h2 FROM seq WHERE k = 'H'
+        WINDOW w AS (PARTITION BY document_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      UNION ALL SELECT DISTINCT document_id, 0::BIGINT, NULL, 0 FROM elements)
+    SELECT document_id, section_id, parent_id, coalesce(lo, page) AS page_start, coalesce(hi, page) AS page_end
+    FROM heads LEFT JOIN (SELECT document_id, section_id, min(page) AS lo, max(page) AS hi FROM blocks WHERE page <> 0
+      GROUP BY ALL) b USING (document_id, section_id)""",
+)
 def _(t):
     sections, _, _ = assemble_document(t.elements)
     return sections.select("document_id", "section_id", "parent_id", "page_start", "page_end")

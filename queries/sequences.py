@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import query, rounded
+from queries.steps import chosen, reading
 from queries.views import SIGNATURE_LIMIT
 from quillwork.operators import documents as docs
 from quillwork.operators import sequence as ops
@@ -126,7 +127,7 @@ def _(t):
     return subsample_even(t.frames.df, ["job_id"], [F.col("index")], 40).select("job_id", "index")
 
 
-@query("f10_quality_filters")
+@query("f10_quality_filters", chosen("SELECT * FROM signatures", "sharpness * 2", 10))
 def _(t):
     rows = t.signatures.columns(sharpness=F.col("sharpness") * 2)
     kept = ops.quality_filters(rows, limit=SIGNATURE_LIMIT, cap=10)
@@ -188,7 +189,12 @@ def _(t):
     return rows.groupBy("document_id", "block").agg(joined.alias("text"))
 
 
-@query("f16_attach_captions")
+@query(
+    "f16_attach_captions",
+    f"""{reading("SELECT * FROM elements")}
+    SELECT document_id, order_index, goes_to, k = 'C' AND goes_to IS NULL AS held, k = 'O' AND takes IS NOT NULL AS captioned, takes
+    FROM step WHERE rn > 0""",
+)
 def _(t):
     rows = docs.attach_captions(t.elements).df
     return rows.select("document_id", "order_index", "goes_to", "held", "captioned", F.col("pending.at").alias("takes"))
