@@ -10,7 +10,7 @@ CAPTION = r"(?i)^(fig(ure)?|table|image|photo|plate|chart|diagram|exhibit)\b[\s.
 def reading(source: str) -> str:
     """CTEs `seq` and `step`: what is open, held and on top after each element of `source`."""
     return rf"""
-    WITH seq AS (
+    WITH seq AS MATERIALIZED (
       SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY order_index) AS rn,
         regexp_matches(t, '[.!?:;)"”]$') AS closed FROM (
         SELECT *, trim(text) AS t, CASE WHEN element_type = 'heading' THEN 'H'
@@ -74,7 +74,7 @@ def blocks(source: str) -> str:
 def chosen(picked: str, sharp: str, cap: int) -> str:
     """Rows of `picked` (label, pos, vec_id, signature, sharpness, pixel_std) left by the quality filters."""
     return f"""
-    WITH usable AS (
+    WITH usable AS MATERIALIZED (
       SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS rn FROM ({picked})
       WHERE pixel_std >= 4 AND {sharp} >= 60),
     grouped AS (

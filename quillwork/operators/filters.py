@@ -158,17 +158,22 @@ def sort_ci(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def subsample_even(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    cap: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """At most `cap` evenly spaced rows per key, the first row included.
 
     Cap None stands for 200, 0 for no limit. A row at position p of n stays
-    when p is the integer part of i * n / cap for some i.
+    when p is the integer part of i * n / cap for some i. `largest` is an upper
+    bound of n, if known.
     """
     cap = 200 if cap is None else cap
     if cap <= 0:
         return df
-    rows = number_rows(df, keys, order, "__p")
+    rows = number_rows(df, keys, order, "__p", largest)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     p, step = F.col("__p"), F.col("__n") / F.lit(float(cap))
     # the only i that can land on p: the nearest ones to p / step

@@ -24,6 +24,7 @@ from quillwork.functions.vectors import BLANK_STD, BLURRED_VAR, DUPLICATE_MAD, v
 from quillwork.operators.filters import subsample_even
 from quillwork.operators.folds import fold_keep
 from quillwork.operators.ordered import Ordered, lag, last, number_rows, total
+from quillwork.session import materialise
 
 # Defaults of the frame stages.
 MERGE_JACCARD = 0.35
@@ -312,8 +313,9 @@ def quality_filters(
         rows = rows.filter(F.coalesce(F.col("sharpness") >= BLURRED_VAR, F.lit(False)))
     df = rows.df
     if remove_duplicates:
-        df = keep_best_of_duplicates(rows, vector, limit, "sharpness" if keep_best else None)
-    return subsample_even(df, rows.keys, [F.col(rows.pos)], cap)
+        best = keep_best_of_duplicates(rows, vector, limit, "sharpness" if keep_best else None)
+        df = materialise(best)  # numbered and counted below: fold only once
+    return subsample_even(df, rows.keys, [F.col(rows.pos)], cap, rows.largest)
 
 
 # ---- numbering and history --------------------------------------------------

@@ -55,6 +55,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str:
     got = rows_of(df.collect(), df.columns)
     if sql is None:
         return f"rows only ({len(got)})" if got else "EMPTY"
+    started = time.time()
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
     types = {d[0]: str(d[1]) for d in result.description}
@@ -72,7 +73,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str:
         )
     if bad:
         return f"TYPES {bad}"
-    return f"ok ({len(got)})" if got else "EMPTY"
+    return f"ok ({len(got)}; SQL {time.time() - started:.1f}s)" if got else "EMPTY"
 
 
 def main() -> int:
