@@ -88,7 +88,7 @@ def _(t):
         F.col("n_nationkey").cast("long").alias("role_id"), (F.col("n_nationkey") % 3).alias("key")
     )
     wanted = roles.join(regions, "key").drop("key")
-    unknown = roles.select("role_id", F.lit("NO SUCH CODE").alias("permission"))
+    unknown = roles.select("role_id", F.concat(F.lit("NO SUCH CODE "), "key").alias("permission"))
     return ops.replace_membership(
         t.role_permissions, wanted.unionByName(unknown), regions, "role_id", "permission"
     )

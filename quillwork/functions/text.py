@@ -127,24 +127,28 @@ def map_lookup(c: Column, mapping: dict[str, str], default) -> Column:
     return F.coalesce(F.try_element_at(table, c), fallback)
 
 
+def commit_parts(subject: Column) -> Column:
+    """Commit subject -> [type, scope, bang, summary], or [subject] if it has no type."""
+    cut = F.regexp_replace(strip(subject), CONVENTIONAL_COMMIT, "$1\x01$2\x01$3\x01$4")
+    return F.split(cut, "\x01")
+
+
 def parse_conventional_commit(
-    subject: Column, mapping: dict[str, str], default: str = "Changed"
+    parts: Column, mapping: dict[str, str], default: str = "Changed"
 ) -> Column:
-    """Commit subject -> struct(type, scope, breaking, summary, section)."""
-    line = strip(subject)
-    part = lambda i: F.regexp_extract(line, CONVENTIONAL_COMMIT, i)
-    conventional = line.rlike(CONVENTIONAL_COMMIT)
+    """Array of `commit_parts` -> struct(type, scope, breaking, summary, section)."""
     known = {k.lower(): v for k, v in mapping.items()}
-    kind = F.lower(part(1))
+    conventional = F.size(parts) == 4
+    kind, bang = F.lower(F.get(parts, F.lit(0))), F.get(parts, F.lit(2)) == "!"
     section = map_lookup(kind, known, default)
-    bang = part(3) == "!"
     if "breaking" in known:
         section = F.when(bang, known["breaking"]).otherwise(section)
+    summary = strip(F.get(parts, F.lit(3)))
     return F.struct(
         F.when(conventional, kind).otherwise("").alias("type"),
-        F.when(conventional, part(2)).otherwise("").alias("scope"),
+        F.when(conventional, F.get(parts, F.lit(1))).otherwise("").alias("scope"),
         (conventional & bang).alias("breaking"),
-        F.when(conventional, strip(part(4))).otherwise(line).alias("summary"),
+        F.when(conventional, summary).otherwise(F.get(parts, F.lit(0))).alias("summary"),
         F.when(conventional, section).otherwise(default).alias("section"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillwork.functions.text import (
     adr_fields,
     basename,
+    commit_parts,
     doc_title,
     first_heading,
     frontmatter,
@@ -79,8 +80,8 @@ def classify_commits(
     commits: DataFrame, mapping: Mapping[str, str] = COMMIT_SECTIONS, default: str = DEFAULT_SECTION
 ) -> DataFrame:
     """Commits (seq, commit_hash, subject) with section, scope and summary."""
-    parsed = parse_conventional_commit(F.col("subject"), dict(mapping), default)
-    rows = commits.withColumn("__c", parsed)
+    parsed = parse_conventional_commit(F.col("__parts"), dict(mapping), default)
+    rows = commits.withColumn("__parts", commit_parts(F.col("subject"))).withColumn("__c", parsed)
     return rows.select("seq", "commit_hash", "__c.section", "__c.scope", "__c.summary")
 
 

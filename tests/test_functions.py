@@ -100,7 +100,7 @@ def test_commit_subjects(spark):
     rows = apply(
         spark,
         ["feat(ui): add x", "feat!: drop y", "odd: z", " plain words ", "feat:"],
-        lambda c: fn.parse_conventional_commit(c, mapping),
+        lambda c: fn.parse_conventional_commit(fn.commit_parts(c), mapping),
     )
     assert [(r.section, r.scope, r.summary) for r in rows] == [
         ("Added", "ui", "add x"), ("Removed", "", "drop y"), ("Changed", "", "z"),
