@@ -165,7 +165,7 @@ def sum_media_bytes(df: DataFrame, content: Column) -> DataFrame:
 
 def large_files(df: DataFrame, size: Column, limit_mb: int = 5) -> DataFrame:
     """Rows above the limit with `detail`, the size in MB with one decimal."""
-    mb = F.format_string("%.1f MB", size / F.lit(1024.0 * 1024.0))
+    mb = F.format_string("%.1f MB", round_binary(size / F.lit(1024.0 * 1024.0), 1))
     return df.withColumn("__size", size).filter(F.col("__size") > limit_mb * 1024 * 1024).withColumn(
         "detail", mb
     ).drop("__size")
