@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import rules
+from quillwork.llm import bpe, rules
+
+TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,3 +74,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), features=features)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", *features, failed.alias("base_failed"), "kept")
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens, and digests of the ids and of the decoded text, of every document."""
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
