@@ -39,7 +39,7 @@ def test_hard_texts(theirs, text):
 
 def test_every_character(theirs):
     """All assigned ones; of unassigned ones the two libraries have different ideas."""
-    for start in range(0, 0x3000, 64):
+    for start in range(0, 0x800, 64):
         chars = [chr(c) for c in range(start, start + 64) if unicodedata.category(chr(c)) != "Cn"]
         same(theirs, "".join(chars))
         same(theirs, "a".join(chars))
