@@ -46,7 +46,7 @@ def test_every_character(theirs):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="ab' <|>startofex", max_size=60))
+@given(st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=60) | st.text(alphabet="ab' <|>startofex", max_size=60))
 def test_random_texts(theirs, text):
     same(theirs, text)
 
