@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, rules
+from quillwork.llm import bpe, minhash, rules
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -80,3 +80,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens, and digests of the ids and of the decoded text, of every document."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set, component and whether it stays, of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
