@@ -18,7 +18,7 @@ _RANDOM = np.random.default_rng(20_240_501)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
+_EXACT, _BYTE = _BYTE, _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -97,16 +97,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of each text's first word plus the total)."""
-    starts, ends, first = word_spans(data, offsets)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hash of the bytes in each of the spans, which are in order; A-Z count as a-z if `lower`."""
     if not starts.size:
-        return np.empty(0, np.uint64), first
+        return np.empty(0, np.uint64)
     up, down = _POWERS.upto(data.size)
     with np.errstate(over="ignore"):
-        sums = np.cumsum(_BYTE[data] * up[: data.size])
+        sums = np.cumsum((_BYTE if lower else _EXACT)[data] * up[: data.size])
         low = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-        return mix((sums[ends - 1] - low) * down[starts]), first
+        return mix((sums[ends - 1] - low) * down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of each text's first word plus the total)."""
+    starts, ends, first = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

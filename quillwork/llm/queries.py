@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, minhash, rules
+from quillwork.llm import bpe, minhash, quality, rules
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -86,3 +86,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set, component and whether it stays, of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def held_out(key: str = "doc_id"):
+    """Documents whose labels are never learnt from."""
+    return F.crc32(F.col(key).cast("string")) % 3 == 1
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability of label 1 for every document, learnt outside the held-out third."""
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(documents, labels.where(~held_out()))
+    scored = quality.score_quality(documents, model)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
