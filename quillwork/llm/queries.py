@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, minhash, quality, rules
+from quillwork.llm import bpe, minhash, mixing, quality, rules
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -102,3 +102,22 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+MIX_WEIGHTS = {"en/1": 0.45, "fr/1": 0.18, "de/1": 0.18, "es/1": 0.14, "en/0": 0.02, "fr/0": 0.01, "de/0": 0.01, "es/0": 0.01}
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, memberships, rate and copies of every document, for a mixture by language and quality label."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    domain = F.concat_ws("/", "lang", "quality")
+    labelled = documents.join(labels, "doc_id").select("text", domain.alias("domain"))
+    model = mixing.fit_domains(labelled)
+    weights = {d: w for d, w in MIX_WEIGHTS.items() if d in model.domains}
+    mixture = mixing.mix_to_targets(documents, model, weights)
+    most_likely = F.element_at(F.lit(list(model.domains)), F.array_position("p", F.array_max("p")).cast("int"))
+    return mixture.rates.select(
+        "doc_id", "tokens", most_likely.alias("domain"), "p", "rate", mixing.copies_of(F.col("doc_id"), F.col("rate")).alias("copies")
+    )
