@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, minhash, mixing, quality, rules
+from quillwork.llm import bpe, minhash, mixing, quality, rules, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -121,3 +121,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.rates.select(
         "doc_id", "tokens", most_likely.alias("domain"), "p", "rate", mixing.copies_of(F.col("doc_id"), F.col("rate")).alias("copies")
     )
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.extract_main_text(table(spark, sf_dir, "pages"))
