@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, minhash, mixing, quality, rules, templates
+from quillwork.llm import bpe, minhash, mixing, quality, rules, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -127,3 +127,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return templates.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_suffix_array_dedup")
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the 100-byte strings that also start earlier."""
+    return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
