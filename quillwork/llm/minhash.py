@@ -8,11 +8,11 @@ unless all half keys of one collection differ: at s = 0.75 that has probability
 
 Sets that are equal are one class from the start. Only half keys that two classes
 share are combined into table keys, which leaves out most of the corpus. In a
-table, every member is compared with one representative; classes that are still
-apart after that are compared with a representative of every other group in the
-table, and what is apart after that, pair by pair. So groups of copies cost one
-comparison per member and table, and no candidate is given up. Every link is
-confirmed on the full sets.
+table, every member is compared with one representative, so a group of copies
+costs one comparison per member. Members that are still in different groups are
+compared with each other, unless the shingles that they share with any other such
+set are too few for a link: a copy with many changes of its own is left out by
+that, and no possible link is. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -139,32 +139,33 @@ def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(named.join(mixed, "bucket", "left_semi"))
 
 
+def _shared_sizes(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n, u): size of each set, and how many of its shingles another of these sets has."""
+    grams = sets.join(ids, "id", "left_semi").select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
+    return grams.join(common, "gram", "left_semi").groupBy("id", "n").agg(F.count("*").alias("u"))
+
+
 def near_links(buckets: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """Verified links (a, b), enough to connect all that a chain of links in the buckets connects."""
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = buckets.join(heads.select("bucket", "a"), "bucket").where("id <> a").select("a", F.col("id").alias("b"))
     tested = materialise(pairs.distinct())
     links = materialise(verified(tested, sets, percent))
-    for last in (False, True):
-        apart = _apart(buckets, components(links))
-        if apart.isEmpty():
-            break
-        if last:
-            others = apart.select("bucket", F.col("id").alias("other"), F.col("group_").alias("theirs"))
-        else:
-            others = (
-                apart.groupBy("bucket", F.col("group_").alias("theirs")).agg(F.min("id").alias("other"))
-            )
-        pairs = (
-            apart.join(others, "bucket")
-            .where("group_ <> theirs" if not last else "group_ <> theirs and id < other")
-            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-            .distinct()
-        )
-        fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(fresh)
-        links = links.union(materialise(verified(fresh, sets, percent)))
-    return links
+    apart = _apart(buckets, components(links))
+    if apart.isEmpty():
+        return links
+    # two sets have no more in common than either shares with any other set
+    bounds = materialise(_shared_sizes(apart.select("id").distinct(), sets))
+    apart = materialise(apart.join(bounds.where(100 * F.col("u") >= percent * F.col("n")), "id"))
+    one, two = apart.alias("one"), apart.alias("two")
+    most = F.least("one.u", "two.u")
+    reach = 100 * most >= percent * (F.col("one.n") + F.col("two.n") - most)
+    same = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id"))
+    pairs = one.join(two, same & (F.col("one.group_") != F.col("two.group_")) & reach)
+    pairs = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
+    fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
+    return links.union(materialise(verified(fresh, sets, percent)))
 
 
 def near_duplicates(
