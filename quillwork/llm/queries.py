@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, minhash, mixing, quality, rules, suffixes, templates
+from quillwork.llm import bpe, hnsw, minhash, mixing, quality, rules, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -82,7 +82,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-@query("op9_minhash_near_dedup")
+@query(
+    "op9_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'
+        ), lambda x: x <> '') AS words FROM documents
+    ),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+        FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) AS i FROM w)
+    ),
+    n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+    p AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+    ),
+    l AS (
+        SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+        WHERE 100 * common >= 75 * (x.n_shingles + y.n_shingles - common)
+    ),
+    r AS (
+        SELECT doc_id AS node, doc_id AS root FROM documents
+        UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+    ),
+    c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+    SELECT d.doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents AS d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+)
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set, component and whether it stays, of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -133,3 +162,26 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the 100-byte strings that also start earlier."""
     return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_hnsw_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    l AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+    ),
+    r AS (
+        SELECT vec_id AS node, vec_id AS root FROM v
+        UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+    ),
+    c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM v JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
+)
+def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of links, component and whether it stays, of every vector."""
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
