@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, hnsw, minhash, mixing, quality, rules, suffixes, templates
+from quillwork.llm import bpe, hnsw, lm, minhash, mixing, quality, rules, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -185,3 +185,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of links, component and whether it stays, of every vector."""
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits a token of every document under models of good and of all documents, and their difference."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.cross_entropy_difference(documents, good)
+    return scored.select("doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference")
