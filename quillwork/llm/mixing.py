@@ -50,6 +50,15 @@ class DomainModel:
     weights: DataFrame
 
 
+def labelled_sample(df: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
+    """Rows of `df` joined with at most `rows` rows of `labels`, those with the smallest hashes of the key.
+
+    The labels are bounded, so they can be sent to the texts, which stay where they are.
+    """
+    bounded = labels.where(F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(rows)
+    return df.join(F.broadcast(materialise(bounded)), key)
+
+
 def fit_domains(labelled: DataFrame, domain: str = "domain", text: str = "text", rows: int = TRAIN_ROWS) -> DomainModel:
     """Naive Bayes on at most `rows` labelled texts, those with the smallest hashes.
 

@@ -142,7 +142,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     domain = F.concat_ws("/", "lang", "quality")
-    labelled = documents.join(labels, "doc_id").select("text", domain.alias("domain"))
+    labelled = mixing.labelled_sample(documents, labels).select("text", domain.alias("domain"))
     model = mixing.fit_domains(labelled)
     weights = {d: w for d, w in MIX_WEIGHTS.items() if d in model.domains}
     mixture = mixing.mix_to_targets(documents, model, weights)
