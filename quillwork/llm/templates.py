@@ -15,9 +15,10 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,26 +263,47 @@ def extract_main_text(
 ) -> DataFrame:
     """(key, url, text, n_chars) of every row.
 
-    A host with many pages is cut into groups by a hash of the page, so no group, and
-    no task, grows with a host. A null page is empty; an empty page has an empty
-    text. Pages without a host are grouped with each other. Rows that repeat a key
-    are pages of their own. Other columns are left out.
+    Pages are dealt out by ranges of host and a hash of the page: pages of a host lie
+    next to each other, and a host with many pages fills several tasks. A task cuts
+    its pages, as they come, into groups of `group_pages` of one host. A null page is
+    empty; an empty page has an empty text. Pages without a host are grouped with each
+    other. Rows that repeat a key are pages of their own. Other columns are left out.
     """
     rows = df.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{page}`").cast("string").alias("page")
     ).withColumn("host", host_of(F.col("url")))
-    # a page's place among the groups of its host: narrow rows are counted, pages are moved once
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(group_pages))
-    salted = rows.join(sizes, "host").select(
-        "key", "url", "page",
-        F.xxhash64("host", F.pmod(F.xxhash64("url", "page", "key"), parts)).alias("group_"),
-    )
+    dealt = rows.withColumn("mix", F.xxhash64("url", "page", "key")).repartitionByRange("host", "mix")
     kind = df.schema[key].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = extract_group([None if p is None else p for p in group["page"]])
-        return pd.DataFrame({"key": group["key"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    out = salted.groupBy("group_").applyInPandas(run, f"key {kind}, url string, text string, n_chars long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "url", "text", "n_chars"]
+        held: list[pa.RecordBatch] = []  # rows of one host, still open
+
+        def flush() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held).combine_chunks()
+            texts = extract_group(group.column("page").to_pylist())
+            columns = [group.column(c).combine_chunks() for c in ("key", "url")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
+
+        for batch in batches:
+            hosts = batch.column(3).to_pylist()
+            at = 0
+            while at < batch.num_rows:
+                if held and held[0].column(3)[0].as_py() != hosts[at]:
+                    yield flush()
+                    held = []
+                room = group_pages - sum(b.num_rows for b in held)
+                end = at
+                while end < batch.num_rows and hosts[end] == hosts[at] and end - at < room:
+                    end += 1
+                held.append(batch.slice(at, end - at))
+                at = end
+                if sum(b.num_rows for b in held) == group_pages:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    ordered = dealt.sortWithinPartitions("host", "mix").select("key", "url", "page", "host")
+    out = ordered.mapInArrow(run, f"key {kind}, url string, text string, n_chars long")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")
