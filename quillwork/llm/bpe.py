@@ -220,8 +220,8 @@ def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_tokens, ids_sha256 and decoded_sha256: as `encode_documents`, without moving the ids out of the worker."""
+def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """Key, n_tokens, ids_sha256 and decoded_sha256, and the `ids` if asked for; else as `encode_documents`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -235,11 +235,12 @@ def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
                         pa.array([n for n, *_ in rows], pa.int64()),
                         pa.array([hashlib.sha256(ids.encode()).hexdigest() for _, ids, _ in rows], pa.string()),
                         pa.array([hashlib.sha256(text.encode()).hexdigest() for *_, text in rows], pa.string()),
+                        *[pa.array([np.fromstring(i, np.int32, sep=" ") for _, i, _ in rows], pa.list_(pa.int32()))] * ids,
                     ],
-                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids],
                 )
                 done += len(part)
 
     rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema + ", ids array<int>" * ids)

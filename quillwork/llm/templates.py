@@ -97,7 +97,6 @@ def pieces_of(page: str) -> list[Piece]:
     stack: list[tuple[str, str]] = []  # (element, label in the path)
     path: tuple[str, ...] = ()
     at = 0
-    low = None
     while True:
         m = MARKUP.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -122,10 +121,8 @@ def pieces_of(page: str) -> list[Piece]:
             continue
         rest = m["rest"] or ""
         if name in RAW and not rest.endswith("/"):
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            end = len(page) if end < 0 or len(low) != len(page) else end
-            at = (page.find(">", end) + 1 or len(page)) if end < len(page) else end
+            close = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(page, at)
+            at = close.end() if close else len(page)
             if name not in ("script", "style", "title"):
                 out.append(Piece("", "", path, True))
             continue
