@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, hnsw, lm, minhash, mixing, quality, rules, suffixes, templates
+from quillwork.llm import bpe, hnsw, lm, minhash, mixing, paragraphs, quality, rules, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -194,3 +194,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm.cross_entropy_difference(documents, good)
     return scored.select("doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without passages that an earlier one has, and which ones those are."""
+    cut = paragraphs.without_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "first_docs")
