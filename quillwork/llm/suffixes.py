@@ -33,7 +33,7 @@ from quillwork.session import materialise
 
 LENGTH = 100  # bytes that have to repeat
 GRAM = 32  # bytes of an anchor
-LANE = 256  # different stretches of an anchor that share a suffix array; more are dealt out by window
+LANE = 2_048  # different stretches of an anchor that share a suffix array; more are dealt out by window
 LANE_BYTES = 3_000_000  # text of suffix arrays that are built side by side
 
 
