@@ -14,7 +14,6 @@ from queries.steps import blocks, chosen
 from queries.views import SIGNATURE_LIMIT
 from quillwork.operators.aggregates import counts_per
 from quillwork.operators.documents import heading_tree, running_header_detection
-from quillwork.operators.sequence import change_scores
 from quillwork.plans.catalog import refresh_catalog, sync_catalog
 from quillwork.plans.documents import assemble_document, layout_to_elements, map_document
 from quillwork.plans.frames import SelectOptions, analyze_frames, classify_frames, select_frames
@@ -49,10 +48,13 @@ def _select(t, strategy: str):
     options = SelectOptions(
         interval=2.0, scene_threshold=0.14, sampling_fps=1.0, max_frames=12, duplicate_limit=SIGNATURE_LIMIT
     )
-    return select_frames(change_scores(rows), strategy, options).select("label", "pos", "vec_id")
+    return select_frames(rows, strategy, options).select("label", "pos", "vec_id")
 
 
-SAMPLED = f"""SELECT *, pos // 3 % 26 AS letter FROM ({CHANGES}) WHERE pos % 2 = 0"""
+# every second frame is sampled, and then scored against the sampled one before
+SAMPLED = "SELECT *, pos // 3 % 26 AS letter FROM ({}) WHERE pos % 2 = 0".format(
+    CHANGES.replace("FROM signatures)", "FROM signatures WHERE pos % 2 = 0)")
+)
 SCENES = f"SELECT * FROM ({SAMPLED}) WHERE change > 0.14 OR pos = 0"
 CHANGED = "SELECT * FROM ({}) QUALIFY lag(letter) OVER (PARTITION BY label ORDER BY pos) IS DISTINCT FROM letter"
 
@@ -178,6 +180,8 @@ def _reader():
 
     def answer(row: dict) -> tuple[str, int, int]:
         prompt = row["user_prompt"]
+        if prompt.startswith("Research topic"):
+            return json.dumps({"executive_summary": f"{prompt.count('--- Source')} sources"}), len(prompt), 1
         body = prompt.split("Extracted text:\n", 1)[1].split("\n", 1)[-1]
         if len(body) % 5 == 0:
             raise ValueError("refused")
@@ -197,7 +201,7 @@ def _research(t):
 
 
 FACTS_OF_TURNS = """SELECT conv_id % 20 AS session_id, conv_id * 100 + turn AS document_id, role,
-      length(substr('=== TRANSCRIPT (AUDIO) ===' || chr(10) || text, 1, 24000)) - 27 AS n FROM conversations"""
+      length(text) AS n FROM conversations"""
 
 
 @query(
@@ -222,14 +226,20 @@ def _(t):
 
 @query(
     "l7_consensus_prompt",
-    """SELECT session_id, 'Research topic: reading' || chr(10) || chr(10) || substr(string_agg(block, chr(10) || chr(10)
-        ORDER BY document_id), 1, 24000) AS user_prompt FROM (
-      SELECT session_id, document_id, '--- ' || source_label || ' ---' || chr(10) || 'Summary: ' || value || chr(10)
-        || 'Key facts:' || chr(10) || '- [' || category || '] ' || value AS block FROM facts) GROUP BY ALL""",
+    """SELECT session_id, part, 'Research topic: reading' || chr(10) || chr(10)
+        || string_agg(block, chr(10) || chr(10) ORDER BY document_id) AS user_prompt FROM (
+      SELECT *, (sum(length(block) + 2) OVER (PARTITION BY session_id ORDER BY document_id) - length(block) - 2)::BIGINT
+        // 24000 AS part FROM (
+        SELECT session_id, document_id, '--- ' || any_value(source_label) || ' ---' || chr(10) || 'Summary: by '
+          || any_value(source_label) || chr(10) || 'Key facts:' || chr(10)
+          || string_agg('- [' || category || '] ' || value, chr(10) ORDER BY pos) AS block
+        FROM facts GROUP BY session_id, document_id))
+    GROUP BY session_id, part""",
 )
 def _(t):
-    summaries = t.facts.select("session_id", "document_id", "source_label", F.col("value").alias("summary"))
-    return consensus_prompt(t.facts, summaries, F.lit("reading")).select("session_id", "user_prompt")
+    summary = F.concat(F.lit("by "), "source_label").alias("summary")
+    summaries = t.facts.select("session_id", "document_id", "source_label", summary).distinct()
+    return consensus_prompt(t.facts, summaries, F.lit("reading")).select("session_id", "part", "user_prompt")
 
 
 @query(

@@ -404,7 +404,7 @@ def _(t):
 @query(
     "i30_prompt_text",
     """SELECT conv_id, turn, 'Source title: ' || role || chr(10) || 'Source type: turn' || chr(10) || chr(10)
-      || 'Extracted text:' || chr(10) || substr(text, 1, 24000) AS prompt FROM conversations""",
+      || 'Extracted text:' || chr(10) || text AS prompt FROM conversations""",
 )
 def _(t):
     prompt = analyze_prompt(F.col("role"), F.lit("turn"), F.col("text"))

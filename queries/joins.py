@@ -20,12 +20,11 @@ def _(t):
 @query(
     "d2_enrich_left",
     """SELECT n.document_id, id, node_type, coalesce(x.title, '') AS title FROM nodes n
-    LEFT JOIN (SELECT * FROM titles WHERE document_id % 2 = 0) x USING (document_id)""",
+    LEFT JOIN titles x USING (document_id)""",
 )
 def _(t):
-    some = t.titles.filter("document_id % 2 = 0")
     nodes = t.nodes.select("document_id", "id", "node_type")
-    return ops.enrich_left(nodes, some, "document_id", "title")
+    return ops.enrich_left(nodes, t.titles, "document_id", "title")
 
 
 @query(
@@ -66,12 +65,11 @@ def _(t):
     """SELECT document_id, order_index, coalesce(s.id, 0) AS section_id
     FROM (SELECT * FROM elements WHERE kind <> 'heading') e LEFT JOIN LATERAL (
       SELECT b.id FROM bookmarks b WHERE b.document_id = e.document_id AND b.page <= e.page
-        AND b.order_index % 20 = 10 ORDER BY b.page DESC, b.order_index DESC LIMIT 1) s ON true""",
+        ORDER BY b.page DESC, b.order_index DESC LIMIT 1) s ON true""",
 )
 def _(t):
-    marks = t.bookmarks.filter("order_index % 20 = 10")
     rows = t.elements.df.filter("element_type <> 'heading'")
-    found = ops.asof_page_join(rows, marks)
+    found = ops.asof_page_join(rows, t.bookmarks)
     return found.select("document_id", "order_index", "section_id")
 
 
@@ -117,24 +115,24 @@ def _(t):
 
 @query(
     "d9_orphan_docs",
-    f"""SELECT path FROM existing WHERE string_split(path, '/')[-1] NOT IN (
-      SELECT string_split(link, '/')[-1] FROM links WHERE page_id % 2 = 1 AND {LOCAL})""",
+    f"""SELECT path FROM (SELECT path FROM existing UNION SELECT path FROM links) d WHERE string_split(path, '/')[-1] NOT IN (
+      SELECT string_split(link, '/')[-1] FROM links WHERE {LOCAL})""",
 )
 def _(t):
-    local = t.links.filter("page_id % 2 = 1").filter((F.col("link") != "") & ~F.col("link").rlike(ops.EXTERNAL))
-    return ops.orphan_docs(t.existing, local)
+    local = t.links.filter((F.col("link") != "") & ~F.col("link").rlike(ops.EXTERNAL))
+    docs = t.existing.select("path").union(t.links.select("path")).distinct()
+    return ops.orphan_docs(docs, local)
 
 
 @query(
     "d10_missing_docs",
     """SELECT name FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS name FROM part
-      UNION SELECT DISTINCT link[2:] FROM links WHERE length(link) BETWEEN 3 AND 12) n
+      UNION SELECT DISTINCT link[2:] FROM links) n
     WHERE name <> '' AND NOT EXISTS (SELECT 1 FROM titles WHERE contains(lower(title), lower(name)))""",
 )
 def _(t):
     words = t.part.select(F.lower(F.split("p_name", " ").getItem(1)).alias("name"))
-    short = t.links.filter(F.char_length("link").between(3, 12))
-    names = words.union(short.select(F.expr("substring(link, 2)"))).distinct()
+    names = words.union(t.links.select(F.expr("substring(link, 2)"))).distinct()
     return ops.missing_docs(names, t.titles, ["title"])
 
 

@@ -98,7 +98,7 @@ def _(t):
     GROUP BY job_id, bucket, step""",
 )
 def _(t):
-    return ops.sample_fixed_interval(t.frames).select("job_id", "index", "sample_ts")
+    return ops.sample_fixed_interval(t.frames, max_frames=200).select("job_id", "index", "sample_ts")
 
 
 @query(

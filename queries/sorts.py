@@ -35,16 +35,16 @@ def _(t):
 )
 def _(t):
     nodes = t.nodes.withColumn("order_index", F.col("id"))
-    return ops.search_topk(nodes, "Erea").select("document_id", "order_index", "title")
+    return ops.search_topk(nodes, "Erea", limit=50).select("document_id", "order_index", "title")
 
 
 @query(
     "g4_first_n_per_group",
     """SELECT session_id, source_label, document_id, value FROM facts
-    QUALIFY row_number() OVER (PARTITION BY session_id, source_label ORDER BY document_id) <= 15""",
+    QUALIFY row_number() OVER (PARTITION BY session_id, source_label ORDER BY document_id, pos) <= 15""",
 )
 def _(t):
-    few = ops.first_n_per_group(t.facts, ["session_id", "source_label"], [F.col("document_id")], 15)
+    few = ops.first_n_per_group(t.facts, ["session_id", "source_label"], [F.col("document_id"), F.col("pos")], 15)
     return few.select("session_id", "source_label", "document_id", "value")
 
 

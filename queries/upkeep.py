@@ -72,7 +72,7 @@ def _(t):
 
 def _report(t):
     """Half of the sessions have a consensus, a quarter one with a timeline."""
-    first = F.min_by(F.struct("value", "source_label"), "document_id").alias("f")
+    first = F.min_by(F.struct("value", "source_label"), F.struct("document_id", "pos")).alias("f")
     primary = t.facts.groupBy("session_id").agg(first).select(
         "session_id", F.col("f.value").alias("summary"),
         F.array("f.source_label").alias("recommendations"), F.array(F.lit("own step")).alias("timeline"),
@@ -92,7 +92,8 @@ def _report(t):
       CASE WHEN session_id % 4 = 0 THEN 'joint step' ELSE 'own step' END AS step,
       CASE WHEN session_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS conflicts,
       CASE WHEN session_id % 2 = 1 THEN source_label END AS advice
-    FROM (SELECT session_id, arg_min(value, document_id) AS value, arg_min(source_label, document_id) AS source_label
+    FROM (SELECT session_id, arg_min(value, document_id * 1000000 + pos) AS value,
+        arg_min(source_label, document_id * 1000000 + pos) AS source_label
       FROM facts GROUP BY ALL)""",
 )
 def _(t):
@@ -108,15 +109,15 @@ def _(t):
 @query(
     "b5_render_report_markdown",
     """WITH heads AS (SELECT DISTINCT session_id FROM facts), fixed AS (
-      SELECT * FROM (VALUES (1, 0, '## Sources'), (1, 1, ''), (2, 0, '## Extracted Facts'), (2, 1, ''),
-        (2, 2, '| Category | Subcategory | Value | Confidence | Source |'), (2, 3, '|---|---|---|---|---|'),
-        (3, 0, '## Entities'), (3, 1, ''), (3, 2, '| Entity | Type | Category | Confidence |'),
-        (3, 3, '|---|---|---|---|')) v(section, pos, line))
+      SELECT * FROM (VALUES (7, 0, '## Sources'), (7, 1, ''), (8, 0, '## Extracted Facts'), (8, 1, ''),
+        (8, 2, '| Category | Subcategory | Value | Confidence | Source |'), (8, 3, '|---|---|---|---|---|'),
+        (9, 0, '## Entities'), (9, 1, ''), (9, 2, '| Entity | Type | Category | Confidence |'),
+        (9, 3, '|---|---|---|---|')) v(section, pos, line))
     SELECT session_id, section, (-1)::BIGINT AS document_id, pos::BIGINT AS pos, line FROM heads, fixed
-    UNION ALL SELECT session_id, 1, document_id, 0, '### ' || source_label FROM facts
-    UNION ALL SELECT session_id, 2, document_id, pos, '| ' || category || ' | ' || subcategory || ' | ' || value
+    UNION ALL SELECT DISTINCT session_id, 7, document_id, 0, '### ' || source_label FROM facts
+    UNION ALL SELECT session_id, 8, document_id, pos, '| ' || category || ' | ' || subcategory || ' | ' || value
       || ' | 0.5 | ' || source_label || ' |' FROM facts
-    UNION ALL SELECT session_id, 3, document_id, pos, '| ' || source_label || ' | source | ' || category
+    UNION ALL SELECT session_id, 9, document_id, pos, '| ' || source_label || ' | source | ' || category
       || ' | 0.5 |' FROM facts""",
 )
 def _(t):
@@ -125,7 +126,8 @@ def _(t):
         "session_id", "document_id", "pos", F.col("source_label").alias("name"), F.lit("source").alias("type"),
         "category", "confidence",
     )
-    lines = report_lines(facts, facts, entities)
+    sources = facts.select("session_id", "document_id", "source_label").distinct()
+    lines = report_lines(sources, facts, entities)
     return lines.withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -208,13 +208,14 @@ class Tables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        first = F.split("text", "\n").getItem(0)
-        return self.documents.select(
+        """A fact for every line that is not blank."""
+        rows = self.documents.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        return rows.select(
             (F.col("doc_id") % 10).alias("session_id"), F.col("doc_id").alias("document_id"),
             F.col("lang").alias("category"), (F.col("doc_id") % 3).cast("string").alias("subcategory"),
-            squash(F.lower(first)).alias("value"), F.col("source").alias("source_label"),
-            (F.col("n_chars") % 100 / 100.0).alias("confidence"), F.col("doc_id").alias("pos"),
-        )
+            squash(F.lower("line")).alias("value"), F.col("source").alias("source_label"),
+            (F.col("n_chars") % 100 / 100.0).alias("confidence"), F.col("pos").cast("long").alias("pos"),
+        ).filter("value <> ''")
 
     @cached_property
     def model_runs(self) -> DataFrame:
@@ -316,12 +317,12 @@ VIEWS = {
   FROM placed c JOIN paths p ON p.document_id = c.document_id AND p.id = c.parent_id""",
     "nodes": """
   SELECT document_id, 0::BIGINT AS id, NULL::BIGINT AS parent_id, 'root' AS node_type,
-    substr(title, 1, 500) AS title, '' AS content, NULL::BIGINT AS level, 0 AS depth, 0::BIGINT AS page,
+    title, '' AS content, NULL::BIGINT AS level, 0 AS depth, 0::BIGINT AS page,
     '/0' AS path FROM titles
   UNION ALL
   SELECT e.document_id, e.id, e.parent_id,
     CASE WHEN kind = 'heading' THEN 'section' ELSE kind END,
-    CASE kind WHEN 'heading' THEN substr(text, 1, 500)
+    CASE kind WHEN 'heading' THEN text
       WHEN 'table' THEN 'Table ' || dim_a::VARCHAR || '×' || dim_b::VARCHAR
       WHEN 'figure' THEN 'Figure ' || dim_a::VARCHAR || '×' || dim_b::VARCHAR
       ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 90)
@@ -388,11 +389,13 @@ VIEWS = {
     "shelf": _books_sql("p_size", "p_partkey % 3 <> 0"),
     "scanned": _books_sql("p_size + p_partkey % 4", "p_partkey % 2 = 0"),
     "facts": """
-  SELECT doc_id % 10 AS session_id, doc_id AS document_id, lang AS category,
-    (doc_id % 3)::VARCHAR AS subcategory,
-    trim(regexp_replace(lower(string_split(text, chr(10))[1]), '\\s+', ' ', 'g')) AS value,
-    source AS source_label, (n_chars % 100) / 100.0::DOUBLE AS confidence, doc_id AS pos
-  FROM documents""",
+  SELECT * FROM (
+    SELECT doc_id % 10 AS session_id, doc_id AS document_id, lang AS category,
+      (doc_id % 3)::VARCHAR AS subcategory, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS value,
+      source AS source_label, (n_chars % 100) / 100.0::DOUBLE AS confidence, pos
+    FROM (SELECT *, unnest(string_split(text, chr(10))) AS line,
+      unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents))
+  WHERE value <> ''""",
     "model_runs": """
   SELECT conv_id AS session_id, turn AS document_id,
     CASE turn % 3 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'gpt-4o' ELSE 'unlisted' END AS model,

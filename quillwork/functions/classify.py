@@ -10,10 +10,7 @@ from quillwork.functions.text import clean_lines, is_option_line, word_count
 # Tag order and line patterns.
 TAGS = ("heading", "paragraph", "question", "options", "answer", "diagram", "table")
 ANSWER = r"(?iU)^\s*(answer|ans|correct\s+answer|solution|key)\b\s*[:.\-)]"
-QUESTION_LEAD = (
-    r"(?iU)^\s*(q\s*[.\d):\-]|question\b|"
-    r"(who|what|why|when|where|which|how|whose|whom)\b)"
-)
+QUESTION_LEAD = r"(?iU)^\s*(q\s*[.\d):\-]|question\b|(who|what|why|when|where|which|how|whose|whom)\b)"
 DIAGRAM = (
     r"(?iU)^\s*(fig(?:ure)?|diagram|image|photo|plate|chart|graph|illustration)\b[\s.:\-]*\d?"
 )

@@ -303,20 +303,21 @@ def estimate_frames(duration: Column, sampling: Column, source: Column) -> Colum
     return F.greatest(F.lit(0), F.bround(F.coalesce(duration, F.lit(0.0)) * rate)).cast("long")
 
 
-# USD per 1,000 input and output tokens.
-PRICE_IN = {
-    "gpt-4o-mini": 0.00015, "openai/gpt-4o-mini": 0.00015,
-    "gpt-4o": 0.0025, "openai/gpt-4o": 0.0025,
-}
-PRICE_OUT = {
-    "gpt-4o-mini": 0.0006, "openai/gpt-4o-mini": 0.0006,
-    "gpt-4o": 0.01, "openai/gpt-4o": 0.01,
-}
+# USD per 1,000 input and output tokens, by model.
+PRICES = {
+    "gpt-4o-mini": (0.00015, 0.0006),
+    "openai/gpt-4o-mini": (0.00015, 0.0006),
+    "gpt-4o": (0.0025, 0.01),
+    "openai/gpt-4o": (0.0025, 0.01),
+}
 
 
 def token_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     """Unknown models cost nothing."""
-    rate_in, rate_out = map_lookup(model, PRICE_IN, 0.0), map_lookup(model, PRICE_OUT, 0.0)
+    rates = {name: F.struct(F.lit(i).alias("i"), F.lit(o).alias("o")) for name, (i, o) in PRICES.items()}
+    table = F.create_map(*[x for name, rate in rates.items() for x in (F.lit(name), rate)])
+    rate = F.try_element_at(table, F.coalesce(model, F.lit("")))
+    rate_in, rate_out = F.coalesce(rate["i"], F.lit(0.0)), F.coalesce(rate["o"], F.lit(0.0))
     return round_binary(tokens_in / 1000 * rate_in + tokens_out / 1000 * rate_out, 6)
 
 

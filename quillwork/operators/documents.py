@@ -26,7 +26,6 @@ DEFAULT_SIZE = 12
 HEADING_CHARS = 200
 HEADER_CHARS = 80
 NUMBER_CHARS = 8
-TITLE_CHARS = 500
 
 
 # ---- layout -----------------------------------------------------------------
@@ -196,7 +195,7 @@ def leaf_columns() -> dict[str, Column]:
     heading = F.col("element_type") == "heading"
     text = F.coalesce("text", F.lit(""))
     leaf = leaf_title(F.col("element_type"), text, F.col("dim_a"), F.col("dim_b"))
-    title = F.substring(F.when(heading, text).otherwise(leaf), 1, TITLE_CHARS)
+    title = F.when(heading, text).otherwise(leaf)
     bare = F.col("element_type").isin("heading", "figure", "table")
     return {
         "node_type": F.when(heading, "section").otherwise(F.col("element_type")),

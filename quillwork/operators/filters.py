@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillwork.functions.text import strip
 from quillwork.operators.ordered import number_rows
 
-PAGE_LIMIT = 200
+PAGE_LIMIT = 200  # largest page that may be asked for
 
 
 def _all(conditions: Iterable[Column]) -> Column:
@@ -28,6 +28,11 @@ def filter_optional_eq(df: DataFrame, **wanted) -> DataFrame:
     return df.filter(_all(F.col(c) == F.lit(v) for c, v in given.items()))
 
 
+def wildcard(query: str) -> str:
+    """LIKE pattern for a substring; `%` and `_` stay wildcards, a backslash is itself."""
+    return f"%{query.lower()}%".replace("\\", "\\\\")
+
+
 def search_contains(df: DataFrame, cols: Sequence[str], query: str, literal: bool = False) -> DataFrame:
     """Case-insensitive substring in any of `cols`.
 
@@ -36,7 +41,7 @@ def search_contains(df: DataFrame, cols: Sequence[str], query: str, literal: boo
     needle = query.lower()
     if literal:
         return df.filter(_any(F.contains(F.lower(F.col(c)), F.lit(needle)) for c in cols))
-    return df.filter(_any(F.lower(F.col(c)).like(f"%{needle}%") for c in cols))
+    return df.filter(_any(F.lower(F.col(c)).like(wildcard(query)) for c in cols))
 
 
 def filter_sessions(
@@ -56,7 +61,7 @@ def filter_sessions(
     """
     conditions = []
     if topic:
-        conditions.append(F.lower("input_value").like(f"%{topic.lower()}%"))
+        conditions.append(F.lower("input_value").like(wildcard(topic)))
     if date_from:
         conditions.append(F.col("created_at") >= F.lit(date_from).cast("timestamp"))
     if date_to and strict_end:
@@ -123,10 +128,14 @@ def uniqueness_check(
 def page(
     df: DataFrame, order: Sequence[Column], key: str, limit: int = 50, offset: int = 0
 ) -> DataFrame:
-    """One page in a total order (`key` breaks ties) with the count before paging."""
-    size = max(1, min(limit, PAGE_LIMIT))
+    """One page in a total order (`key` breaks ties) with the count before paging.
+
+    A limit outside 1 to `PAGE_LIMIT`, or a negative offset, is an error.
+    """
+    if not 1 <= limit <= PAGE_LIMIT or offset < 0:
+        raise ValueError(f"limit must be 1 to {PAGE_LIMIT} and offset 0 or more, not {limit} and {offset}")
     found = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*order, key).offset(max(0, offset)).limit(size)
+    rows = df.orderBy(*order, key).offset(offset).limit(limit)
     return rows.withColumn("total", found)
 
 
@@ -134,7 +143,7 @@ def newest(df: DataFrame, n: int = 20, col: str = "id") -> DataFrame:
     return df.orderBy(F.desc(col)).limit(n)
 
 
-def search_topk(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search_topk(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     """First matches among all nodes but roots, in reading order."""
     hits = search_contains(nodes.filter(F.col("node_type") != "root"), ["title", "content"], query)
     return hits.orderBy("document_id", "order_index").limit(limit)
@@ -166,12 +175,11 @@ def subsample_even(
 ) -> DataFrame:
     """At most `cap` evenly spaced rows per key, the first row included.
 
-    Cap None stands for 200, 0 for no limit. A row at position p of n stays
+    Cap None or 0 sets no limit. A row at position p of n stays
     when p is the integer part of i * n / cap for some i. `largest` is an upper
     bound of n, if known.
     """
-    cap = 200 if cap is None else cap
-    if cap <= 0:
+    if not cap or cap < 0:
         return df
     rows = number_rows(df, keys, order, "__p", largest)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillwork.functions.text import clean_lines, short_hash, token_cost
+from quillwork.functions.text import _LINE_END, WHITESPACE, clean_lines, short_hash, token_cost
 from quillwork.operators.sequence import sequence_ratio as _ratio
 
 # Attempts and the linear wait between them.
@@ -50,7 +50,7 @@ def batch_infer(
                 spent = int((time.monotonic() - started) * 1000)
                 return text or "", "SUCCESS", attempt, spent, tokens_in, tokens_out, None
             except Exception as exc:  # noqa: BLE001 - the row carries it
-                error = str(exc)[:1000]
+                error = str(exc)
                 if attempt < attempts:
                     time.sleep(backoff * attempt)
         return "", "FAILED", attempts, 0, 0, 0, error
@@ -124,16 +124,16 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b)], index=a.index)
 
 
-class _ExplodeLines:
-    def eval(self, text: str):
-        kept = [line.strip() for line in (text or "").splitlines()]
-        yield from enumerate(line for line in kept if line)
-
-
 def register_functions(spark) -> None:
     """Make the functions below callable from SQL."""
     spark.udf.register("sequence_ratio", sequence_ratio)
-    spark.udtf.register("explode_lines", F.udtf(_ExplodeLines, returnType="pos int, line string"))
+    ends = _LINE_END.replace("\\", "\\\\")
+    blanks = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION explode_lines(text STRING) RETURNS TABLE (pos INT, line STRING)
+        RETURN SELECT * FROM (SELECT posexplode(filter(
+            transform(split(text, '{ends}'), x -> btrim(x, '{blanks}')), x -> x <> '')) AS (pos, line))"""
+    )
 
 
 def explode_lines(df: DataFrame, text: str) -> DataFrame:

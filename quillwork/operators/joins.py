@@ -7,18 +7,17 @@ the partitions of a hot key otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import basename
 from quillwork.operators.ordered import last, number_rows
+from quillwork.session import materialise
 
 BLOCK_ROWS = 1_000
-NAMES_IN_TASK = 100_000
-FLUSH = 100_000
+PIECE = 4  # characters of the pieces that names are looked up by
 
 
 def parents_with_child_count(parents: DataFrame, children: DataFrame, on: str) -> DataFrame:
@@ -187,43 +186,36 @@ def orphan_docs(docs: DataFrame, links: DataFrame, keep: Sequence[str] = ENTRY_D
     return loose.join(linked, "__name", "left_anti").drop("__name")
 
 
-def _pieces(lengths: Sequence[int], wanted: frozenset | None):
-    """Distinct substrings of the given lengths; only the `wanted` ones if given."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: set[str] = set()
-        for batch in batches:
-            for text in batch["t"]:
-                cut = {text[i : i + n] for n in lengths for i in range(len(text) - n + 1)}
-                found |= cut if wanted is None else cut & wanted
-                if len(found) > FLUSH:
-                    yield pd.DataFrame({"__token": list(found)})
-                    found = set()
-        if found:
-            yield pd.DataFrame({"__token": list(found)})
-
-    return run
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct substrings of `size` characters."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - (size - 1))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.char_length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
 
 
 def missing_docs(names: DataFrame, docs: DataFrame, texts: Sequence[str]) -> DataFrame:
     """Names (column `name`) found inside none of the `texts` of any document.
 
-    Substring search as an equi join: texts are cut into pieces of the lengths
-    that names have, and names meet those pieces, never whole documents. Up to
-    `NAMES_IN_TASK` names travel to the tasks, so that only hits are shuffled; a
-    longer list is joined with all pieces.
+    Substring search as an equi join on pieces of fixed length: a name is looked up
+    by the one of its pieces that the fewest texts have, and what meets there is
+    compared in full. Names of up to `PIECE` characters are pieces themselves.
     """
     wanted = names.filter("name <> ''").withColumn("__token", F.lower("name"))
     tokens = wanted.select("__token").distinct()
-    few = [r[0] for r in tokens.limit(NAMES_IN_TASK + 1).collect()]
-    if len(few) <= NAMES_IN_TASK:
-        lengths, known = sorted({len(n) for n in few}), frozenset(few)
-    else:
-        sizes = tokens.select(F.char_length("__token")).distinct().collect()
-        lengths, known = sorted(r[0] for r in sizes), None
-    column = F.explode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("t")
-    cut = docs.select(column).mapInPandas(_pieces(lengths, known), "__token string")
-    return wanted.join(cut.distinct(), "__token", "left_anti").drop("__token")
+    column = F.explode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("__text")
+    bodies = materialise(docs.select(column).filter("__text <> ''").distinct().withColumn("__id", F.xxhash64("__text")))
+    pieces = bodies.select("__id", F.explode(_pieces(F.col("__text"), PIECE)).alias("__piece"))
+    counts = materialise(pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n")))
+    long = tokens.filter(F.char_length("__token") > PIECE)
+    own = long.select("__token", F.explode(_pieces(F.col("__token"), PIECE)).alias("__piece"))
+    own = own.join(counts, "__piece", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    rarest = own.groupBy("__token").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
+    met = rarest.join(pieces, "__piece").select("__token", "__id").join(bodies, "__id")
+    found = met.filter(F.contains("__text", "__token")).select("__token")
+    for size in range(1, PIECE + 1):
+        short = bodies.select(F.explode(_pieces(F.col("__text"), size)).alias("__token")).distinct()
+        found = found.union(tokens.filter(F.char_length("__token") == size).join(short, "__token", "left_semi"))
+    return wanted.join(found.distinct(), "__token", "left_anti").drop("__token")
 
 
 def detect_changed(current: DataFrame, probed: DataFrame, key: str = "book_code") -> DataFrame:

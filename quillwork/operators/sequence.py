@@ -32,7 +32,6 @@ SCENE_CHANGE = 0.35
 TEXT_SIMILARITY = 0.85
 OPENING_SECONDS = 0.05
 MIN_INTERVAL = 2.0
-MAX_FRAMES = 200
 WEIGHTS = (0.5, 0.3, 0.2)
 
 
@@ -273,14 +272,16 @@ def sample_fixed_interval(
 ) -> DataFrame:
     """First row of every interval, stamped with the start of the interval.
 
-    Without an interval, each key uses its length divided by the frame cap, at
-    least two seconds.
+    Without an interval, each key uses its length divided by `max_frames`, at least
+    two seconds; with neither, two seconds.
     """
     if interval:
         step = F.lit(float(interval) if interval > 0 else MIN_INTERVAL)
         picked = _first_per_bucket(rows, F.floor(F.col(ts) / step))
         return picked.withColumn(out, round_binary(F.col("__bucket") * step, 2)).drop("__bucket")
-    cap = float(max_frames or MAX_FRAMES)
+    if not max_frames:
+        return sample_fixed_interval(rows, MIN_INTERVAL, ts=ts, out=out)
+    cap = float(max_frames)
     length = rows.df.groupBy(*rows.keys).agg(F.max(ts).alias("__length"))
     step = F.greatest(F.lit(MIN_INTERVAL), F.col("__length") / cap)
     widened = rows.with_df(rows.df.join(length.withColumn("__step", step), list(rows.keys)))

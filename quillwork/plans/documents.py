@@ -71,7 +71,7 @@ def map_document(elements: Ordered, titles: DataFrame, bookmarks: DataFrame | No
     name = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Document "), F.col(DOC)))
     roots = titles.select(
         DOC, F.lit(0).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"),
-        F.lit("root").alias("node_type"), F.substring(name, 1, 500).alias("title"),
+        F.lit("root").alias("node_type"), name.alias("title"),
         F.lit("").alias("content"), F.lit(None).cast("long").alias("level"),
         F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), F.lit("/0").alias("path"),
     )
@@ -88,7 +88,7 @@ def _bookmark_nodes(rows: Ordered, bare: DataFrame, bookmarks: DataFrame, column
     tree = heading_tree(Ordered.of(marks, [DOC], "order_index")).df
     sections = tree.select(
         DOC, "id", "parent_id", F.lit("section").alias("node_type"),
-        F.substring("title", 1, 500).alias("title"), F.lit("").alias("content"),
+        "title", F.lit("").alias("content"),
         F.col("level").cast("long").alias("level"), "depth", "page", "path",
     )
     count = sections.groupBy(DOC).agg(F.count(F.lit(1)).alias("__n"))

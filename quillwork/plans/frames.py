@@ -15,6 +15,7 @@ from quillwork.operators.ordered import Ordered
 from quillwork.operators.sequence import (
     SCENE_CHANGE,
     build_question,
+    change_scores,
     flag_near_duplicates,
     keep_on_text_change,
     merge_similar_runs,
@@ -24,6 +25,7 @@ from quillwork.operators.sequence import (
     scene_changes,
 )
 from quillwork.operators.upkeep import replace_auto_keep_manual
+from quillwork.session import materialise
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,9 @@ def _fixed_interval(rows: Ordered, o: SelectOptions) -> DataFrame:
 
 
 def _scene_detection(rows: Ordered, o: SelectOptions) -> DataFrame:
-    sampled = rows.with_df(sample_fps(rows, o.sampling_fps))
-    return scene_changes(sampled, o.scene_threshold)
+    """Neighbours of the sample are compared, so a slow change adds up between two of them."""
+    sampled = rows.with_df(materialise(sample_fps(rows, o.sampling_fps)))
+    return scene_changes(change_scores(sampled), o.scene_threshold).drop("change")
 
 
 def _text_change(rows: Ordered, o: SelectOptions) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.json import lenient_json, number_field, object_items, text_field
-from quillwork.functions.text import ANALYSIS_CHARS, truncate
+from quillwork.functions.text import ANALYSIS_CHARS
 from quillwork.operators.aggregates import conflicting_claims, cross_source_support
-from quillwork.operators.filters import first_n_per_group
 from quillwork.operators.inference import batch_infer, run_ledger, session_status
 from quillwork.operators.ordered import number_rows, total
 from quillwork.operators.sets import merge_text_channels
@@ -20,49 +19,52 @@ from quillwork.sources.writers import markdown_table_rows
 
 # Layout of the prompts.
 ANALYZE_VERSION = "1.0"
-CONSENSUS_FACTS = 15
+CONSENSUS_VERSION = "1.0"
 FACT_TEXTS = ("category", "subcategory", "value", "evidence", "stage")
 ENTITY_TEXTS = ("name", "type", "category", "evidence")
+PART_STRIDE = 1_000_000  # positions of the facts of one part of a source
 
 
 def analyze_prompt(title: Column, kind: Column, text: Column) -> Column:
-    """User prompt of one source; the text is cut to the model's budget."""
+    """User prompt of one source, or of one part of a source that is longer than the model's budget."""
     return F.concat(
-        F.lit("Source title: "), title, F.lit("\nSource type: "), kind,
-        F.lit("\n\nExtracted text:\n"), truncate(text, ANALYSIS_CHARS),
-    )
+        F.lit("Source title: "), title, F.lit("\nSource type: "), kind, F.lit("\n\nExtracted text:\n"), text
+    )
+
+
+def text_parts(df: DataFrame, text: str, chars: int = ANALYSIS_CHARS) -> DataFrame:
+    """Rows numbered by `part`, `text` cut into parts of at most `chars` characters; nothing is dropped."""
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length(text) / F.lit(chars)) - 1, F.lit(0)))
+    rows = df.withColumn("part", F.explode(parts))
+    return rows.withColumn(text, F.substring(F.col(text), F.col("part").cast("int") * chars + 1, F.lit(chars)))
 
 
 def coerce_records(answers: DataFrame, path: str, texts: tuple[str, ...]) -> DataFrame:
     """Objects of a JSON array as rows: missing texts '', confidence 0; others skipped."""
     parsed = lenient_json(F.col("content"))
     rows = answers.select(
-        "session_id", "document_id", "source_label",
+        "session_id", "document_id", "source_label", "part",
         F.posexplode(object_items(parsed, f"$.{path}")).alias("pos", "__o"),
     )
     o = F.col("__o")
     return rows.select(
-        "session_id", "document_id", "source_label", "pos",
+        "session_id", "document_id", "source_label",
+        (F.col("part") * PART_STRIDE + F.col("pos")).cast("long").alias("pos"),
         *[text_field(o, t).alias(t) for t in texts],
         number_field(o, "confidence").alias("confidence"),
     )
 
 
-def consensus_prompt(facts: DataFrame, summaries: DataFrame, topic: Column) -> DataFrame:
-    """One prompt per session: a block per source with its summary and first facts.
+def consensus_prompt(facts: DataFrame, summaries: DataFrame, topic: Column, chars: int = ANALYSIS_CHARS) -> DataFrame:
+    """Prompts of a session, numbered by `part`: a block per source with its summary and all its facts.
 
-    At most 15 facts per source and the text budget bound what is gathered for a
-    session, however many sources it has.
+    Blocks are kept whole and fill parts of about `chars` characters in the order of
+    the sources, so what is gathered for a prompt is bounded by that and one block.
     """
-    few = first_n_per_group(facts, ["session_id", "document_id"], [F.col("pos")], CONSENSUS_FACTS)
     line = F.concat(F.lit("- ["), "category", F.lit("] "), "value")
-    listed = few.groupBy("session_id", "document_id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]
-            ),
-            "\n",
-        ).alias("__facts")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", line.alias("l"))))
+    listed = facts.groupBy("session_id", "document_id").agg(
+        F.array_join(F.transform(ordered, lambda x: x["l"]), "\n").alias("__facts")
     )
     joined = summaries.join(listed, ["session_id", "document_id"], "left")
     block = F.concat_ws(
@@ -72,15 +74,14 @@ def consensus_prompt(facts: DataFrame, summaries: DataFrame, topic: Column) -> D
         F.when(F.col("__facts").isNotNull(), F.lit("Key facts:")),
         F.col("__facts"),
     )
-    # a block that starts past the budget cannot show up, so none is gathered
     sized = materialise(joined.select("session_id", "document_id", block.alias("__block")))
     rows = number_rows(sized, ["session_id"], [F.col("document_id")], "__at")
     length = F.char_length("__block") + 2
     rows = rows.scan(__end=total(length.cast("long")))
-    near = rows.df.filter(F.col("__end") - length < ANALYSIS_CHARS)
+    placed = rows.df.withColumn("part", F.floor((F.col("__end") - length) / F.lit(chars)).cast("long"))
     ordered = F.array_sort(F.collect_list(F.struct("__at", "__block")))
     blocks = F.array_join(F.transform(ordered, lambda x: x["__block"]), "\n\n")
-    prompts = near.groupBy("session_id").agg(truncate(blocks).alias("sources_block"))
+    prompts = placed.groupBy("session_id", "part").agg(blocks.alias("sources_block"))
     head = F.concat(F.lit("Research topic: "), topic, F.lit("\n\n"))
     return prompts.withColumn("user_prompt", F.concat(head, "sources_block"))
 
@@ -92,49 +93,119 @@ class Research:
     entities: DataFrame
     support: DataFrame
     conflicts: DataFrame
+    consensus: DataFrame
     ledger: DataFrame
     status: DataFrame
     report: DataFrame
 
 
 def research_session(
-    sources: DataFrame, make_client: Callable, model: str, backoff: float = 2.0
+    sources: DataFrame, make_client: Callable, model: str, backoff: float = 2.0, topic: Column | None = None
 ) -> Research:
     """Sources (session_id, document_id, title, document_type, channels...) to a report.
 
-    A source whose call fails leaves an error row; the session fails only when
-    all of its sources do.
+    The model is called once for every part of a source, and once for every part of
+    the consensus of a session with two or more analysed sources; answers are stored
+    before anything is derived from them. A source whose call fails leaves an error
+    row; the session fails only when all of its sources do.
     """
-    merged = merge_text_channels(sources)
-    ready = merged.filter("error is null").withColumns(
-        {
-            "model": F.lit(model),
-            "system_prompt": F.lit("analyze"),
-            "user_prompt": analyze_prompt(
-                F.col("title"), F.col("document_type"), F.col("merged_text")
-            ),
-            "source_label": F.concat(F.lit("Source "), "document_id", F.lit(": "), "title"),
-        }
-    )
-    ready = ready.select(
-        "session_id", "document_id", "title", "source_label", "model", "system_prompt", "user_prompt"
-    )
-    answers = batch_infer(ready, make_client, ["system_prompt", "user_prompt"], backoff=backoff)
+    merged = merge_text_channels(sources).filter("error is null")
+    numbered = number_rows(merged, ["session_id"], [F.col("document_id")], "__n").df
+    label = F.concat(F.lit("Source "), (F.col("__n") + 1).cast("string"), F.lit(": "), "title")
+    parts = text_parts(numbered.withColumn("source_label", label), "merged_text")
+    ready = parts.select(
+        "session_id", "document_id", "part", "title", "source_label",
+        F.lit(model).alias("model"), F.lit("analyze").alias("system_prompt"),
+        analyze_prompt(F.col("title"), F.col("document_type"), F.col("merged_text")).alias("user_prompt"),
+    )
+    prompts = ["system_prompt", "user_prompt"]
+    answers = materialise(batch_infer(ready, make_client, prompts, backoff=backoff))
     good = answers.filter("status = 'SUCCESS'")
     facts = coerce_records(good, "facts", FACT_TEXTS)
     entities = coerce_records(good, "entities", ENTITY_TEXTS)
+    analysed = good.filter("part = 0").withColumn("summary", text_field(lenient_json(F.col("content")), "summary"))
+    several = analysed.groupBy("session_id").agg(F.count_distinct("document_id").alias("n")).filter("n > 1")
+    summaries = analysed.join(several.select("session_id"), "session_id", "left_semi")
+    summaries = summaries.select("session_id", "document_id", "source_label", "summary")
+    compared = consensus_prompt(
+        facts.join(several.select("session_id"), "session_id", "left_semi"), summaries,
+        F.lit("") if topic is None else topic,
+    ).select(
+        "session_id", F.lit(None).cast(answers.schema["document_id"].dataType).alias("document_id"), "part",
+        F.lit(model).alias("model"), F.lit("consensus").alias("system_prompt"), "user_prompt",
+    )
+    consensus = materialise(batch_infer(compared, make_client, prompts, backoff=backoff))
+    ledger = run_ledger(answers, "ANALYZING", "analyze_document", ANALYZE_VERSION).unionByName(
+        run_ledger(consensus, "COMPARING", "consensus", CONSENSUS_VERSION)
+    )
     return Research(
         answers=answers,
         facts=facts,
         entities=entities,
         support=cross_source_support(facts),
         conflicts=conflicting_claims(facts),
-        ledger=run_ledger(answers, "ANALYZING", "analyze_document", ANALYZE_VERSION),
+        consensus=consensus,
+        ledger=ledger,
         status=session_status(answers, "session_id"),
-        report=report_lines(good, facts, entities),
+        report=consensus_lines(consensus.filter("status = 'SUCCESS'")).unionByName(
+            report_lines(good.filter("part = 0"), facts, entities)
+        ),
     )
 
 
+def consensus_lines(consensus: DataFrame) -> DataFrame:
+    """Report lines of what a consensus says: summary, practices, differences, conflicts, recommendation, timeline."""
+    parsed = lenient_json(F.col("content"))
+    item = F.col("__o")
+    words = lambda v, path: F.array_join(
+        F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>")), ", "
+    )
+    timing = F.when(text_field(item, "timing") != "", F.concat(F.lit(" ("), text_field(item, "timing"), F.lit(")"))).otherwise("")
+    sections = [
+        (2, "## Consensus", "common_practices", F.concat(
+            F.lit("- **"), text_field(item, "practice"), F.lit("** (confidence "), text_field(item, "confidence"),
+            F.lit("; "), words(item, "$.supported_by"), F.lit(")"))),
+        (3, "### Differences Between Sources", "differences", F.concat(F.lit("- **"), text_field(item, "aspect"), F.lit("**"))),
+        (4, "## Conflicting Advice", "conflicting_advice", F.concat(
+            F.lit("- **"), text_field(item, "topic"), F.lit("**: "), text_field(item, "conflict"),
+            F.lit(" ("), words(item, "$.sources"), F.lit(")"))),
+        (6, "## Timeline", "timeline", F.concat(
+            text_field(item, "step"), F.lit(". **"), text_field(item, "label"), F.lit("**"), timing,
+            F.lit(" - "), text_field(item, "detail"))),
+    ]
+    summary = text_field(parsed, "executive_summary")
+    first = F.array(F.lit("## Executive Summary"), F.lit(""), F.when(summary != "", summary).otherwise("_No summary produced._"))
+    steps = F.coalesce(F.try_variant_get(parsed, "$.recommendation.steps", "array<string>"), F.array().cast("array<string>"))
+    advice = F.concat(
+        F.array(F.lit("## Recommendation"), F.lit(""), F.coalesce(F.try_variant_get(parsed, "$.recommendation.summary", "string"), F.lit(""))),
+        F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)),
+    )
+    key = F.col("part").cast("long").alias("document_id")
+
+    def flat(section: int, lines: Column, rows: DataFrame) -> DataFrame:
+        found = rows.select("session_id", F.lit(section).alias("section"), key, F.posexplode(lines).alias("pos", "line"))
+        return found.withColumn("pos", F.col("pos").cast("long"))
+
+    out = flat(1, first, consensus).unionByName(
+        flat(5, advice, consensus.filter((F.size(steps) > 0) | F.try_variant_get(parsed, "$.recommendation.summary", "string").isNotNull()))
+    )
+    for section, heading, path, line in sections:
+        items = consensus.select("session_id", "part", F.posexplode(object_items(parsed, f"$.{path}")).alias("at", "__o"))
+        rows = items.select("session_id", F.lit(section).alias("section"), key, (F.col("at") + 1).cast("long").alias("pos"), line.alias("line"))
+        heads = items.select("session_id", "part").distinct().select(
+            "session_id", F.lit(section).alias("section"), key, F.lit(0).cast("long").alias("pos"), F.lit(heading).alias("line")
+        )
+        out = out.unionByName(heads).unionByName(rows)
+        if path == "differences":
+            places = items.select(
+                "session_id", F.lit(section).alias("section"), key, (F.col("at") + 1).cast("long").alias("pos"),
+                F.explode(object_items(item, "$.positions")).alias("__p"),
+            )
+            said = F.concat(F.lit("  - "), text_field(F.col("__p"), "source"), F.lit(": "), text_field(F.col("__p"), "position"))
+            out = out.unionByName(places.withColumn("line", said).drop("__p"))
+    return out
+
+
 def report_fields(consensus: DataFrame, primary: DataFrame) -> DataFrame:
     """Summary, recommendation, conflicts and timeline of a session report.
 
@@ -176,9 +247,9 @@ def report_lines(documents: DataFrame, facts: DataFrame, entities: DataFrame) ->
     """
     rule = lambda n: "|" + "---|" * n
     fixed = [
-        (1, "## Sources", None),
-        (2, "## Extracted Facts", "| Category | Subcategory | Value | Confidence | Source |"),
-        (3, "## Entities", "| Entity | Type | Category | Confidence |"),
+        (7, "## Sources", None),
+        (8, "## Extracted Facts", "| Category | Subcategory | Value | Confidence | Source |"),
+        (9, "## Entities", "| Entity | Type | Category | Confidence |"),
     ]
 
     def lines(df: DataFrame, section: int, pos: Column, line: Column) -> DataFrame:
@@ -186,10 +257,10 @@ def report_lines(documents: DataFrame, facts: DataFrame, entities: DataFrame) ->
             "session_id", F.lit(section).alias("section"), F.col("document_id"), pos.alias("pos"), line.alias("line")
         )
 
-    source = lines(documents, 1, F.lit(0), F.concat(F.lit("### "), "source_label"))
+    source = lines(documents, 7, F.lit(0), F.concat(F.lit("### "), "source_label"))
     fact = markdown_table_rows(facts, ["category", "subcategory", "value", "confidence", "source_label"])
     entity = markdown_table_rows(entities, ["name", "type", "category", "confidence"])
-    parts = {1: source, 2: lines(facts, 2, F.col("pos"), fact), 3: lines(entities, 3, F.col("pos"), entity)}
+    parts = {7: source, 8: lines(facts, 8, F.col("pos"), fact), 9: lines(entities, 9, F.col("pos"), entity)}
     out = None
     for section, heading, columns in fixed:
         wide = [] if columns is None else [columns, rule(columns.count("|") - 1)]
@@ -197,8 +268,9 @@ def report_lines(documents: DataFrame, facts: DataFrame, entities: DataFrame) ->
         heads = parts[section].select("session_id").distinct().select("session_id", head.alias("i", "line"))
         heads = heads.select(
             "session_id", F.lit(section).alias("section"), F.lit(-1).cast("long").alias("document_id"),
-            F.col("i").alias("pos"), "line",
+            F.col("i").cast("long").alias("pos"), "line",
         )
-        both = heads.unionByName(parts[section].withColumn("document_id", F.col("document_id").cast("long")))
+        typed = {"document_id": F.col("document_id").cast("long"), "pos": F.col("pos").cast("long")}
+        both = heads.unionByName(parts[section].withColumns(typed))
         out = both if out is None else out.unionByName(both)
     return out

@@ -73,7 +73,7 @@ def explode_archive(files: DataFrame) -> DataFrame:
     """
     schema = "path string, book string, name string, content binary"
     members = files.select("path", "title", "content").mapInPandas(_members, schema)
-    title = F.substring(F.concat_ws(" — ", "book", stem(F.col("name"))), 1, 400)
+    title = F.concat_ws(" — ", "book", stem(F.col("name")))
     return members.select(
         "path", "name", title.alias("title"), F.length("content").alias("size"),
         F.substring(F.sha2("content", 256), 1, 32).alias("checksum"), "content",
@@ -137,6 +137,7 @@ def parse_catalog_script(pages: DataFrame, page: str = "page", text: str = "text
     )
 
 
+# What marks header and time lines of WebVTT.
 CUE_HEADERS = ("WEBVTT", "Kind:", "Language:", "NOTE", "STYLE")
 CUE_TIME = r"(?U)^\d{2}:\d{2}(:\d{2})?\.\d{3}\s+-->"
 
@@ -232,7 +233,7 @@ def scan_registry_json(
     return rows.withColumns(filled)
 
 
-def parse_commit_log(lines: DataFrame, order: Column, limit: int | None = 50) -> DataFrame:
+def parse_commit_log(lines: DataFrame, order: Column, limit: int | None = None) -> DataFrame:
     """`hash<TAB>subject` lines, newest first; blank lines dropped."""
     rows = lines.filter(strip(F.col("value")) != "")
     cut = F.split("value", "\t", 2)
@@ -245,7 +246,7 @@ def parse_commit_log(lines: DataFrame, order: Column, limit: int | None = 50) ->
     return parsed.limit(limit) if limit else parsed
 
 
-def scan_commit_log(spark: SparkSession, path: str, limit: int | None = 50) -> DataFrame:
+def scan_commit_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A log file, written newest first."""
     whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\n")).alias("seq", "value"))

@@ -98,14 +98,11 @@ def test_markdown_and_health(spark, tmp_path):
     }
 
 
-def test_long_name_list_takes_the_join(spark, monkeypatch):
-    from quillwork.operators import joins
-
-    monkeypatch.setattr(joins, "NAMES_IN_TASK", 1)
-    names = spark.createDataFrame([("beta",), ("Gamma",), ("x",)], "name string")
+def test_names_of_every_length(spark):
+    names = spark.createDataFrame([("beta",), ("Gamma",), ("x",), ("the beta t",), ("betatext",), ("q",)], "name string")
     docs = spark.createDataFrame([("the BETA text",), (None,)], "t string")
     left = [r.name for r in missing_docs(names, docs, ["t"]).collect()]
-    assert sorted(left) == ["Gamma"]
+    assert sorted(left) == ["Gamma", "betatext", "q"]
 
 
 def test_decision_records(spark):
