@@ -164,16 +164,24 @@ def materialise_paths(nodes: DataFrame, key: str = DOC) -> DataFrame:
 
     Pointer jumping: each round doubles the stretch of path a node knows, so a
     tree of depth d takes log2(d) joins. Only nodes that have children are
-    walked; leaves take the path of their parent once at the end.
+    walked; leaves take the path of their parent once at the end. A cycle of
+    parents is an error.
     """
     inner = nodes.select(key, F.col("parent_id").alias("id")).filter("id is not null").distinct()
     walk = nodes.join(inner, [key, "id"], "left_semi").select(
         key, "id", F.col("parent_id").alias("up"), F.array("id").alias("trail")
     )
+    rounds, most = 0, None
     while True:
         walk = materialise(walk)
-        if walk.filter("up is not null").isEmpty():
+        climbing = walk.filter("up is not null")
+        if climbing.isEmpty():
             break
+        most = walk.count().bit_length() + 1 if most is None else most
+        if rounds > most:
+            some = [tuple(r) for r in climbing.select(key, "id").orderBy(key, "id").limit(10).collect()]
+            raise ValueError(f"parents form a cycle, among others at {some}")
+        rounds += 1
         above = walk.select(
             key, F.col("id").alias("up"), F.col("up").alias("__up"), F.col("trail").alias("__trail")
         )

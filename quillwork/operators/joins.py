@@ -219,8 +219,8 @@ def missing_docs(names: DataFrame, docs: DataFrame, texts: Sequence[str]) -> Dat
 
 
 def detect_changed(current: DataFrame, probed: DataFrame, key: str = "book_code") -> DataFrame:
-    """Downloaded rows with a new signature become `update_available`."""
-    seen = probed.select(key, F.col("version_hash").alias("__new"))
+    """Downloaded rows with a new signature become `update_available`; a probe that repeats counts once."""
+    seen = probed.groupBy(key).agg(F.max("version_hash").alias("__new"))
     changed = (
         F.col("downloaded")
         & (F.col("__new") != "")

@@ -29,6 +29,13 @@ def replace_auto_keep_manual(
     return target.join(gone, [key, source], "left_anti").unionByName(fresh)
 
 
+def one_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The last row of each key by `order`; without one, the largest row, so the choice is always the same."""
+    row = F.struct(*df.columns)
+    last = F.max_by(row, F.struct(order, row)) if order else F.max(row)
+    return df.groupBy(F.col(key).alias("__key")).agg(last.alias("__row")).select("__row.*")
+
+
 def upsert_catalog(
     target: DataFrame,
     incoming: DataFrame,
@@ -39,9 +46,11 @@ def upsert_catalog(
     """Full-outer upsert.
 
     A known key takes the `overwrite` columns of the scan and keeps the rest; a
-    new key takes the rest from `defaults`; a key gone from the scan is kept.
+    new key takes the rest from `defaults`; a key gone from the scan is kept. A key
+    that the scan repeats counts once.
     """
-    new = incoming.select(key, *[F.col(c).alias(f"__n_{c}") for c in overwrite])
+    new = one_per_key(incoming.select(key, *overwrite), key)
+    new = new.select(key, *[F.col(c).alias(f"__n_{c}") for c in overwrite])
     new = new.withColumn("__in", F.lit(True))
     joined = target.withColumn("__old", F.lit(True)).join(new, key, "full_outer")
     scanned, fresh = F.col("__in").isNotNull(), F.col("__old").isNull()
@@ -63,9 +72,9 @@ def count_new(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 
 def apply_patch(target: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Partial update: a null patch value keeps the current one."""
+    """Partial update: a null patch value keeps the current one. Of a repeated key the largest patch counts."""
     fields = [c for c in patch.columns if c != key]
-    renamed = patch.select(key, *[F.col(c).alias(f"__p_{c}") for c in fields])
+    renamed = one_per_key(patch, key).select(key, *[F.col(c).alias(f"__p_{c}") for c in fields])
     joined = target.join(renamed, key, "left")
     updates = {c: F.coalesce(f"__p_{c}", c) for c in fields}
     return joined.withColumns(updates).select(*target.columns)

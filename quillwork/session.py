@@ -17,6 +17,10 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # repeated front-matter keys: the later one counts
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # the state of a stream may outgrow memory
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 GROUP_ROWS = "quillwork.groupRows"

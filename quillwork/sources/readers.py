@@ -53,30 +53,34 @@ def corpus_columns(files: DataFrame, types: Sequence[str]) -> DataFrame:
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
         for row in batch.itertuples(index=False):
-            data = io.BytesIO(row.content)
-            if zipfile.is_zipfile(data):
-                with zipfile.ZipFile(data) as archive:
-                    names = [n for n in archive.namelist() if n.lower().endswith(".pdf")]
-                    latest = {n.rsplit("/", 1)[-1]: n for n in names}
-                    out += [(row.path, row.title, s, archive.read(n)) for s, n in latest.items()]
-            elif row.path.lower().endswith(".pdf"):
-                out.append((row.path, row.title, row.path.rsplit("/", 1)[-1], row.content))
-        yield pd.DataFrame(out, columns=["path", "book", "name", "content"])
+            out, data = [], io.BytesIO(row.content)
+            try:
+                if zipfile.is_zipfile(data):
+                    with zipfile.ZipFile(data) as archive:
+                        names = [n for n in archive.namelist() if n.lower().endswith(".pdf")]
+                        latest = {n.rsplit("/", 1)[-1]: n for n in names}
+                        out += [(row.path, row.title, s, archive.read(n), None) for s, n in latest.items()]
+                elif row.path.lower().endswith(".pdf"):
+                    out.append((row.path, row.title, row.path.rsplit("/", 1)[-1], row.content, None))
+            except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError) as exc:
+                out = [(row.path, row.title, None, None, str(exc))]
+            # one archive at a time is held
+            yield pd.DataFrame(out, columns=["path", "book", "name", "content", "error"])
 
 
 def explode_archive(files: DataFrame) -> DataFrame:
     """(path, title, content) -> one row per PDF in the archive, or the PDF itself.
 
-    Members with the same base name overwrite each other, the last one stays.
+    Members with the same base name overwrite each other, the last one stays. An
+    archive that cannot be read gives one row with its `error`.
     """
-    schema = "path string, book string, name string, content binary"
+    schema = "path string, book string, name string, content binary, error string"
     members = files.select("path", "title", "content").mapInPandas(_members, schema)
     title = F.concat_ws(" — ", "book", stem(F.col("name")))
     return members.select(
         "path", "name", title.alias("title"), F.length("content").alias("size"),
-        F.substring(F.sha2("content", 256), 1, 32).alias("checksum"), "content",
+        F.substring(F.sha2("content", 256), 1, 32).alias("checksum"), "content", "error",
     )
 
 

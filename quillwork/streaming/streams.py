@@ -1,7 +1,9 @@
 """Structured Streaming twins of the batch operators.
 
-Sources are folders of parquet slices; every query checkpoints to the shared
-folder, so it picks up each file once and survives a lost executor or driver.
+Sources are folders of parquet slices. A query keeps its state and its results in
+the folder `home` that the caller names: called again with the same one, also by
+another driver, it goes on where it stopped. Without `home` each call is a run of
+its own in a fresh part of the shared folder.
 """
 
 from __future__ import annotations
@@ -18,8 +20,6 @@ from quillwork.operators.upkeep import upsert_catalog
 from quillwork.session import scratch
 from quillwork.sources.readers import corpus_columns
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """New parquet files under the folder `path`, each once; a single file also works."""
@@ -41,19 +41,22 @@ def stream_corpus(spark: SparkSession, path: str, types: Sequence[str]) -> DataF
     return corpus_columns(reader.option("recursiveFileLookup", True).load(path), types)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run over all input there is, through a file sink, and read the result back."""
+def drain(stream: DataFrame, mode: str = "append", home: str | None = None) -> DataFrame:
+    """Run over all new input, through a file sink, and read all results so far."""
     spark = stream.sparkSession
-    out, state = scratch(spark, "sink"), scratch(spark, "state")
+    home = home or scratch(spark, "stream")
+    out, state = f"{home}/sink", f"{home}/state"
     writer = stream.writeStream.format("parquet").outputMode(mode)
     query = writer.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Run over all input there is, handing each micro-batch to `each`."""
-    state = scratch(stream.sparkSession, "state")
+def drain_batches(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "update", home: str | None = None
+) -> None:
+    """Run over all new input, handing each micro-batch to `each`; a batch may come twice, under one number."""
+    state = f"{home or scratch(stream.sparkSession, 'stream')}/state"
     writer = stream.writeStream.foreachBatch(each).outputMode(mode)
     writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
@@ -74,8 +77,6 @@ def stream_keep_on_change(
     state is a window of `delay`, not its history, and what arrives at once is
     bounded by the files per batch.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = T.StructType([stream.schema[c] for c in (key, ts, tie, value)])
     state_schema = T.StructType(
         [
@@ -94,7 +95,8 @@ def stream_keep_on_change(
         if not state.hasTimedOut:
             for pdf in batches:
                 micros = pdf[ts].astype("datetime64[us]").astype("int64")
-                fresh = zip(micros, pdf[tie], pdf[value])
+                # pandas turns a null number into NaN, which differs from itself
+                fresh = zip(micros, pdf[tie], pdf[value].astype(object).where(pdf[value].notna(), None))
                 rows += [r for r in fresh if r[0] >= mark]
         rows.sort(key=lambda r: r[:2])
         emitted = []
@@ -150,29 +152,39 @@ def stream_session_counts(
 
 
 def stream_upsert(
-    stream: DataFrame, target: DataFrame, key: str, order: str, overwrite: Sequence[str], defaults
-) -> DataFrame:
+    stream: DataFrame, target: DataFrame, key: str, order: str, overwrite: Sequence[str], defaults,
+    home: str | None = None,
+) -> DataFrame:
     """Upsert every micro-batch into a table of versions, one folder per batch.
 
     A batch reads the version before it and writes its own, named by the batch
     id, so that a batch run twice gives the same table. Returns the last version.
+    With a `home` that holds versions already, `target` is not read again.
     """
     spark = stream.sparkSession
-    root = scratch(spark, "upsert")
-    target.write.parquet(f"{root}/v=-1")
-    versions = [-1]
+    home = home or scratch(spark, "stream")
+    root = f"{home}/versions"
+    if not _versions(spark, root):
+        target.write.mode("overwrite").parquet(f"{root}/v=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = max(v for v in versions if v < batch_id)
+        before = max(v for v in _versions(spark, root) if v < batch_id)
         current = batch.sparkSession.read.schema(target.schema).parquet(f"{root}/v={before}")
         newest = F.max_by(F.struct(*batch.columns), order).alias("__row")
         latest = batch.groupBy(key).agg(newest).select("__row.*")
         merged = upsert_catalog(current, latest, key, overwrite, defaults)
         merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-        versions.append(batch_id)
 
-    drain_batches(stream, each)
-    return spark.read.schema(target.schema).parquet(f"{root}/v={max(versions)}")
+    drain_batches(stream, each, home=home)
+    return spark.read.schema(target.schema).parquet(f"{root}/v={max(_versions(spark, root))}")
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished versions under `root`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(path(f"{root}/v=*/_SUCCESS")) or []
+    return [int(f.getPath().getParent().getName().removeprefix("v=")) for f in found]
 
 
 def stream_notifications(stream: DataFrame, status: str, terminal: dict[str, str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from quillwork.functions.text import SENTENCE_END
 from quillwork.operators.documents import (
     assemble_blocks,
@@ -196,3 +198,9 @@ def test_map_falls_back_to_bookmarks_and_flat(spark):
     assert [nodes[1, i][1] for i in (3, 4, 5)] == ["/0/3", "/0/1/4", "/0/1/2/5"]
     assert nodes[2, 0] == ("Document 2", "/0") and nodes[2, 2] == ("text 1", "/0/2")
     assert nodes[3, 1] == ("Alone", "/0/1")
+
+
+def test_a_cycle_of_parents_is_an_error(spark):
+    nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, None)], "document_id long, id long, parent_id long")
+    with pytest.raises(ValueError, match="cycle"):
+        materialise_paths(nodes)

@@ -82,3 +82,27 @@ def test_corpus_stream(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"y")
     rows = ops.drain(ops.stream_corpus(spark, str(tmp_path), (".pdf",))).collect()
     assert [(r.name, r.size) for r in rows] == [("a.pdf", 1)]
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    rows = _events(4, 60)
+    path = _write(spark, tmp_path, [rows[:30], rows[30:]])
+    first, second = sorted(os.listdir(path))[:1], sorted(os.listdir(path))[1:]
+    for name in second:
+        os.rename(f"{path}/{name}", str(tmp_path / name))
+    home = str(tmp_path / "home")
+    target = spark.createDataFrame([("z", "none")], "key string, state string")
+    upsert = lambda: ops.stream_upsert(
+        ops.stream_table(spark, path), target, "key", "id", ["state"], {}, home=f"{home}/table"
+    )
+    assert ops.drain(ops.stream_table(spark, path), home=f"{home}/all").count() == 30
+    upsert()
+    for name in second:
+        os.rename(str(tmp_path / name), f"{path}/{name}")
+    assert first
+    assert ops.drain(ops.stream_table(spark.newSession(), path), home=f"{home}/all").count() == 60
+    latest = {}
+    for key, _, _, state in rows:
+        latest[key] = state
+    assert {r.key: r.state for r in upsert().collect()} == {**latest, "z": "none"}
+    assert sorted(ops._versions(spark, f"{home}/table/versions")) == [-1, 0, 1]
