@@ -9,10 +9,11 @@ unless all half keys of one collection differ: at s = 0.75 that has probability
 Sets that are equal are one class from the start. Only half keys that two classes
 share are combined into table keys, which leaves out most of the corpus. In a
 table, every member is compared with one representative, so a group of copies
-costs one comparison per member. Members that are still in different groups are
-compared with each other, unless the shingles that they share with any other such
-set are too few for a link: a copy with many changes of its own is left out by
-that, and no possible link is. Every link is confirmed on the full sets.
+costs one comparison per member, and then with the one that shares most of its
+shingles with others. Members that are still in different groups are compared with
+each other, unless the shingles that they share with any other such set are too few
+for a link: a copy with many changes of its own is left out by that, and no possible
+link is. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -157,12 +158,27 @@ def near_links(buckets: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -
         return links
     # two sets have no more in common than either shares with any other set
     bounds = materialise(_shared_sizes(apart.select("id").distinct(), sets))
-    apart = materialise(apart.join(bounds.where(100 * F.col("u") >= percent * F.col("n")), "id"))
-    one, two = apart.alias("one"), apart.alias("two")
+    bounds = bounds.where(100 * F.col("u") >= percent * F.col("n"))
+    # the member that shares most of itself is the likeliest to be near to the others
+    able = apart.join(bounds, "id")
+    middle = able.groupBy("bucket").agg(F.max_by(F.struct("id", "group_"), F.struct(F.col("u") / F.col("n"), "id")).alias("top"))
+    pairs = able.join(middle, "bucket").where(F.col("group_") != F.col("top.group_"))
+    pairs = pairs.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
+    fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
+    tested = tested.union(fresh)
+    links = links.union(materialise(verified(fresh, sets, percent)))
+    able = materialise(_apart(buckets, components(links)).join(bounds, "id"))
+    if able.isEmpty():
+        return links
+    own = able.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))  # one for each table at most
+    able = materialise(able.join(own, "id"))
+    one, two = able.alias("one"), able.alias("two")
     most = F.least("one.u", "two.u")
     reach = 100 * most >= percent * (F.col("one.n") + F.col("two.n") - most)
     same = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id"))
-    pairs = one.join(two, same & (F.col("one.group_") != F.col("two.group_")) & reach)
+    # a pair is taken up in the first bucket that it shares
+    once = F.col("one.bucket") == F.array_min(F.array_intersect("one.buckets", "two.buckets"))
+    pairs = one.join(two, same & (F.col("one.group_") != F.col("two.group_")) & reach & once)
     pairs = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
     fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
     return links.union(materialise(verified(fresh, sets, percent)))
