@@ -361,10 +361,7 @@ def _(t):
 @query("i25_sharpness_and_uniformity")
 def _(t):
     gray = t.embeddings.select("vec_id", _gray(F.col("embedding").cast("array<double>")).alias("gray"))
-    return gray.select(
-        "vec_id", vec.laplacian_var(F.col("gray"), 8).alias("sharpness"),
-        vec.bg_uniformity(F.col("gray"), 8).alias("uniformity"),
-    )
+    return gray.select("vec_id", vec.image_features(F.col("gray"), 8).alias("f")).select("vec_id", "f.*")
 
 
 @query(

@@ -154,7 +154,10 @@ def parse_conventional_commit(
 
 
 def frontmatter(c: Column) -> Column:
-    """Leading `---` block -> map of lower-cased keys; a repeated key: last wins."""
+    """Leading `---` block -> map of lower-cased keys.
+
+    Of a repeated key the last wins, by `spark.sql.mapKeyDedupPolicy` as `configure` sets it.
+    """
     block = F.regexp_extract(c, FRONT_MATTER, 1)
     pairs = F.filter(F.transform(split_lines(block), strip), lambda x: x.rlike(KEY_VALUE))
     entries = F.transform(
@@ -164,12 +167,7 @@ def frontmatter(c: Column) -> Column:
             F.btrim(strip(F.regexp_extract(x, KEY_VALUE, 2)), F.lit('"')).alias("v"),
         ),
     )
-
-    def no_later_twin(entry: Column, i: Column) -> Column:
-        later = F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
-        return ~F.exists(later, lambda x: x["k"] == entry["k"])
-
-    return F.map_from_entries(F.filter(entries, no_later_twin))
+    return F.map_from_entries(entries)
 
 
 def first_heading(c: Column) -> Column:
@@ -190,15 +188,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"(?<=.)\.[^.]+$", "")
 
 
-def doc_title(text: Column, path: Column) -> Column:
-    title = F.try_element_at(frontmatter(text), F.lit("title"))
+def doc_title(text: Column, path: Column, meta: Column | None = None) -> Column:
+    """`meta` is the front matter, if it is a column already."""
+    title = F.try_element_at(frontmatter(text) if meta is None else meta, F.lit("title"))
     return F.coalesce(
         F.nullif(title, F.lit("")), F.nullif(first_heading(text), F.lit("")), stem(path)
     )
 
 
-def infer_module(text: Column, relative_path: Column, default: str = "Platform") -> Column:
-    named = F.try_element_at(frontmatter(text), F.lit("module"))
+def infer_module(
+    text: Column, relative_path: Column, default: str = "Platform", meta: Column | None = None
+) -> Column:
+    named = F.try_element_at(frontmatter(text) if meta is None else meta, F.lit("module"))
     parts = F.split(relative_path, "/")
     folder = F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(default)
     return F.coalesce(F.nullif(named, F.lit("")), folder)

@@ -51,43 +51,54 @@ def is_question_score(score: Column, threshold: float = QUESTION_SCORE) -> Colum
     return score >= threshold
 
 
-def _each(images: pd.Series, width: int, measure) -> pd.Series:
-    return images.map(
-        lambda px: None if px is None else float(measure(np.asarray(px, "float64").reshape(-1, width)))
-    )
-
-
-def _laplacian(image: np.ndarray) -> np.ndarray:
-    around = np.pad(image, 1, mode="reflect")
-    return (
-        around[:-2, 1:-1] + around[2:, 1:-1] + around[1:-1, :-2] + around[1:-1, 2:] - 4 * image
+def pixel_std(gray: Column, width: int | None = None) -> Column:
+    """Population standard deviation of the flattened grey image."""
+    n = F.size(gray)
+    mean = F.aggregate(gray, F.lit(0.0), lambda acc, x: acc + x) / n
+    # the mean is bound once, as it would be computed again for every pixel
+    spread = F.transform(
+        F.array(mean), lambda m: F.aggregate(gray, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+    )[0]
+    return F.when(gray.isNotNull() & (n > 0), F.sqrt(spread / n))
+
+
+def _stack(images: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sharpness, share of pixels near the most common level) of images of one size."""
+    x = np.stack(images).reshape(len(images), -1, width)
+    around = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    laplacian = (
+        around[:, :-2, 1:-1] + around[:, 2:, 1:-1] + around[:, 1:-1, :-2] + around[:, 1:-1, 2:] - 4 * x
     )
+    levels = x.astype("int64").reshape(len(x), -1) + 256 * np.arange(len(x))[:, None]
+    counts = np.bincount(levels.ravel(), minlength=256 * len(x)).reshape(len(x), 256)
+    sums = np.concatenate([np.zeros((len(x), 1), "int64"), counts.cumsum(axis=1)], axis=1)
+    mode = counts.argmax(axis=1)
+    low, high = np.maximum(0, mode - MODE_BAND), np.minimum(256, mode + MODE_BAND + 1)
+    rows = np.arange(len(x))
+    near = (sums[rows, high] - sums[rows, low]) / levels.shape[1]
+    return laplacian.reshape(len(x), -1).var(axis=1), near
 
 
-def _near_mode(image: np.ndarray) -> float:
-    counts = np.bincount(image.astype("int64").ravel(), minlength=256)
-    mode = int(counts.argmax())
-    return counts[max(0, mode - MODE_BAND) : mode + MODE_BAND + 1].sum() / image.size
+def image_features(gray: Column, width: int) -> Column:
+    """Struct of `sharpness`, the variance of the four-neighbour Laplacian with mirrored
+    borders, and `uniformity`, the share of pixels within 18 grey levels of the most
+    common one. Images of one size are measured together."""
 
+    @F.pandas_udf("sharpness double, uniformity double")
+    def features(images: pd.Series) -> pd.DataFrame:
+        out = np.full((len(images), 2), np.nan)
+        given = [(i, np.asarray(px, "float64")) for i, px in enumerate(images) if px is not None]
+        for size in {px.size for _, px in given}:
+            rows = [i for i, px in given if px.size == size]
+            out[rows, 0], out[rows, 1] = _stack([px for _, px in given if px.size == size], width)
+        return pd.DataFrame({c: [None if np.isnan(v) else v for v in out[:, k]] for k, c in enumerate(("sharpness", "uniformity"))}, dtype=object)
 
-def _feature(measure, width: int):
-    @F.pandas_udf("double")
-    def feature(images: pd.Series) -> pd.Series:
-        return _each(images, width, measure)
-
-    return feature
-
-
-def pixel_std(gray: Column, width: int) -> Column:
-    """Population standard deviation of the flattened grey image."""
-    return _feature(np.std, width)(gray)
+    return features(gray)
 
 
 def laplacian_var(gray: Column, width: int) -> Column:
-    """Sharpness: variance of the four-neighbour Laplacian, mirrored borders."""
-    return _feature(lambda im: _laplacian(im).var(), width)(gray)
+    return image_features(gray, width)["sharpness"]
 
 
 def bg_uniformity(gray: Column, width: int) -> Column:
-    """Share of pixels within 18 grey levels of the most common one."""
-    return _feature(_near_mode, width)(gray)
+    return image_features(gray, width)["uniformity"]

@@ -103,8 +103,8 @@ def doc_index(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.try_element_at("__meta", F.lit(name)), F.lit(default))
 
     rows = meta.select(
-        infer_module(text, F.col("relative")).alias("module"),
-        doc_title(text, path).alias("document"),
+        infer_module(text, F.col("relative"), meta=F.col("__meta")).alias("module"),
+        doc_title(text, path, F.col("__meta")).alias("document"),
         F.col("relative").alias("path"),
         field("version", "").alias("version"),
         field("status", "Draft").alias("status"),
