@@ -3,7 +3,7 @@
 A target model and a background model have one vocabulary, one order and one
 smoothing, and the background counts are brought to the size of the target's, so that
 their difference on a token is due to the texts alone. Counts come from all texts.
-The vocabulary holds the most frequent words; other words share one entry. Bigram
+The vocabulary holds the frequent words; other words share one entry. Bigram
 counts are kept by hash in tables of fixed size, which every executor can hold.
 """
 
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillwork.llm.hashing import mix, signed, text_chunks, word_hashes
+from quillwork.session import materialise
 
-VOCABULARY = 32_768  # most words of the shared vocabulary
+VOCABULARY = 200_000  # a word of the vocabulary is at least one in so many, which bounds it
 SLOTS = 1 << 20  # bigram counts
 STRENGTH = 5.0  # how many counts the unigram distribution is worth in a context
 FLUSH = 2_000_000  # different words a task holds before it hands them on
@@ -54,8 +55,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def shared_vocabulary(df: DataFrame, text: str, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the `size` most frequent words; ties by hash."""
-    top = word_counts(df, text).orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()
+    """Sorted hashes of the words that make up at least one in `size` of all words; there are `size` at most."""
+    counts = materialise(word_counts(df, text))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counts.where(F.col("n") * size >= total).select("word").toArrow()
     return np.sort(np.asarray(top.column("word").combine_chunks() if top.num_rows else pa.array([], pa.int64())).view(np.uint64))
 
 

@@ -17,6 +17,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.llm.sampling import keyed_sample
 from quillwork.session import materialise
 
 BUCKETS = 4_096  # words share a weight by hash
@@ -55,7 +56,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, key: str = "doc_id", rows:
 
     The labels are bounded, so they can be sent to the texts, which stay where they are.
     """
-    bounded = labels.where(F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(rows)
+    bounded = keyed_sample(labels.where(F.col(key).isNotNull()), key, rows)
     return df.join(F.broadcast(materialise(bounded)), key)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillwork.llm.hashing import span_hashes, text_chunks, word_spans
+from quillwork.llm.sampling import keyed_sample
 from quillwork.session import materialise
 
 BUCKETS = 1 << 13  # token buckets; words share a bucket by hash
@@ -260,10 +261,10 @@ def fit_quality(
         .agg(F.min(F.col(label).cast("int")).alias("__label"))
     )
     # twice the bound, as some labels have no text; both sides of the join are bounded then
-    sample = materialise(marked.orderBy(F.xxhash64(F.col("__key").cast("string")), "__key").limit(2 * rows))
+    sample = materialise(keyed_sample(materialise(marked), "__key", 2 * rows))
     texts = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).dropna(subset=["__key"])
     chosen = texts.join(F.broadcast(sample), "__key")
-    keep = chosen.select("__key", "__label").distinct().orderBy(F.xxhash64(F.col("__key").cast("string")), "__key").limit(rows)
+    keep = keyed_sample(materialise(chosen.select("__key", "__label").distinct()), "__key", rows)
     chosen = texts.join(F.broadcast(materialise(keep)), "__key")
     shared = spark.sparkContext.broadcast(vectors)
     x, y = _model_rows(chosen, shared, "__key", "__text", "__label")
