@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from queries.aggregates import COMMITS_SQL, NOISE_SQL
 from queries.base import query, rounded
 from queries.joins import LOCAL
-from queries.sequences import CHANGES
+from queries.sequences import CHANGES, KEPT
 from queries.steps import blocks, chosen
 from queries.views import SIGNATURE_LIMIT
 from quillwork.operators.aggregates import counts_per
 from quillwork.operators.documents import heading_tree, running_header_detection
 from quillwork.plans.catalog import refresh_catalog, sync_catalog
 from quillwork.plans.documents import assemble_document, layout_to_elements, map_document
-from quillwork.plans.frames import SelectOptions, analyze_frames, classify_frames, select_frames
+from quillwork.plans.frames import SelectOptions, analyze_frames, classify_frames, score_frames, select_frames
 from quillwork.plans.governance import commit_summary, corpus_health, doc_index
 from quillwork.plans.research import consensus_prompt, research_session
 
@@ -32,6 +32,24 @@ def _(t):
     return fresh.select("job_id", "frame_start", "text", "source", "overall_confidence")
 
 
+@query(
+    "l1_score_frames",
+    f"""{KEPT} SELECT label, pos, {rounded("s", 4)} AS question_score, {rounded("s", 4)} >= 0.55 AS is_question,
+      NOT kept AS is_duplicate FROM (
+      SELECT *, least(greatest(0.35::DOUBLE * least((pos % 80) / 60.0::DOUBLE, 1.0::DOUBLE)
+          + 0.45::DOUBLE * least(greatest(((vec_id % 100) / 100.0::DOUBLE - 0.30::DOUBLE) / 0.50::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)
+          + 0.20::DOUBLE * (1.0::DOUBLE - least((vec_id % 40) / 100.0::DOUBLE * 2.2::DOUBLE, 1.0::DOUBLE)), 0.0::DOUBLE),
+          1.0::DOUBLE) AS s FROM fold)""",
+)
+def _(t):
+    """The first steps of the analysis, on features made up from the keys."""
+    rows = t.signatures.columns(
+        text_boxes=F.col("pos") % 80, uniformity=F.col("vec_id") % 100 / 100.0, saturation=F.col("vec_id") % 40 / 100.0
+    )
+    scored = score_frames(rows, SIGNATURE_LIMIT).df
+    return scored.select("label", "pos", "question_score", "is_question", "is_duplicate")
+
+
 @query(
     "l2_classify_frames",
     """SELECT job_id, count(*) AS frames, count(*) FILTER (trim(ocr_text) <> '') AS classified
