@@ -45,6 +45,9 @@ SIDE_WORDS = frozenset(
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "search searchbox form pagination pager skip toolbar copyright".split()
 )
+# what stays aside whatever it holds, and what says nothing inside an article
+APART_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations".split())
+HEAD_WORDS = frozenset("header masthead topbar".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 
 MARKUP = re.compile(
@@ -67,18 +70,39 @@ class Piece:
     breaks: bool = False
 
 
-def _side(name: str, rest: str) -> bool:
-    """Whether the element's name, class, id or role says it is not the article."""
-    if not rest or "=" not in rest:
-        return False
-    for key, *values in MARK.findall(rest):
+def _side(name: str, rest: str, inside: bool) -> str:
+    """"--" if the element stays aside whatever it holds, "-" if it does unless it holds an article, else "".
+
+    Its name, class, id and role are asked; `inside` says that it is in an article.
+    """
+    side = ""
+    if name in SIDE_ELEMENTS and not (name == "header" and inside):
+        side = "-" if name == "header" else "--"
+    for key, *values in MARK.findall(rest) if "=" in rest else ():
         value = next((v for v in values if v), "").lower()
         if key.lower() == "role" and value in SIDE_ROLES:
+            side = side or "-"
+        if key.lower() in ("class", "id") and name not in ("html", "body"):
+            words = set(WORD.findall(value))
+            if words & APART_WORDS:
+                return "--"
+            if name not in MAIN_ELEMENTS and words & (SIDE_WORDS - HEAD_WORDS if inside else SIDE_WORDS):
+                side = side or "-"
+    return side
+
+
+def _in_article(path: tuple[str, ...]) -> bool:
+    return any(label[0] == "+" for label in path)
+
+
+def _aside(path: tuple[str, ...]) -> bool:
+    """Whether something on the path keeps the text out; an article inside a merely suspicious container does not care."""
+    weak = False
+    for label in path:
+        if label.startswith("--"):
             return True
-        if key.lower() in ("class", "id") and name not in ("html", "body", *MAIN_ELEMENTS):
-            if not SIDE_WORDS.isdisjoint(WORD.findall(value)):
-                return True
-    return False
+        weak = label[0] == "-" or (weak and label[0] != "+")
+    return weak
 
 
 def _main(name: str, rest: str) -> bool:
@@ -136,11 +160,9 @@ def pieces_of(page: str) -> list[Piece]:
             out.append(Piece("", "", path, True))
         if name in VOID:
             continue
-        side = _side(name, rest) or name in SIDE_ELEMENTS
-        if name == "header" and any(label.startswith("+") for label in path) and not _side(name, rest):
-            side = False  # the head of the article itself
-        if name in CONTAINERS or side:
-            mark = "-" if side else "+" if _main(name, rest) else ""
+        mark = _side(name, rest, _in_article(path))
+        if name in CONTAINERS or mark:
+            mark = mark or ("+" if _main(name, rest) else "")
             out.append(Piece(f"{mark}{name}", "", path))
             stack.append((name, f"{mark}{name}"))
             path = tuple(label for _, label in stack)
@@ -228,9 +250,9 @@ def extract_group(pages: list[str | None]) -> list[str]:
     for page, own in zip(parsed, slots, strict=True):
         texts: dict[int, list[str]] = defaultdict(list)
         for piece, slot in zip(page, own, strict=True):
-            if piece.text and not piece.text.isspace() and not any(x[0] == "-" for x in piece.path):
+            if piece.text and not piece.text.isspace() and not _aside(piece.path):
                 texts[slot].append(piece.text)
-                main[slot] += any(x[0] == "+" for x in piece.path)
+                main[slot] += _in_article(piece.path)
         for slot, parts in texts.items():
             seen[slot]["\0".join(parts)] += 1
     main_slots = {slot for slot, n in main.items() if n}
@@ -241,9 +263,7 @@ def extract_group(pages: list[str | None]) -> list[str]:
         marked = any(piece.token[:1] == "+" for piece in page)
         wanted = main_slots if marked else other
         keep = [
-            slot in wanted
-            and not any(x[0] == "-" for x in piece.path)
-            and (not marked or any(x[0] == "+" for x in piece.path))
+            slot in wanted and not _aside(piece.path) and (not marked or _in_article(piece.path))
             for piece, slot in zip(page, own, strict=True)
         ]
         out.append(blocks_of(page, keep))

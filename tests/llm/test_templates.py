@@ -17,7 +17,7 @@ def test_article_with_everything_around_it():
                           f"<!-- no --><aside>Advert</aside><ul><li>x</li><li>y</li></ul></article>") for i in range(5)]
     assert extract_group(pages) == [f"Title {i}\nOne & two {i}\nThree\nfour boldtext\nx\ny" for i in range(5)]
     tokens = [t for t, _ in skeleton([pieces_of(p) for p in pages])]
-    assert tokens.index("+article") < tokens.index("/article") < tokens.index("-footer")
+    assert tokens.index("+article") < tokens.index("/article") < tokens.index("--footer")
 
 
 def test_without_an_article_the_slots_that_vary_are_taken():
@@ -58,3 +58,12 @@ def test_against_a_plain_reading_of_the_given_pages(spark):
         body = row.html[a : b if b >= 0 else None]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:h1|p|br|article)>", body)]
         assert got[row.page_id] == "\n".join(x for x in blocks if x)
+
+
+def test_suspicious_wrappers_of_an_article_do_not_hide_it():
+    page = (
+        '<body class="has-sidebar"><div class="layout with-sidebar"><article><div class="entry-header"><h1>Head</h1></div>'
+        '<p>Body</p><div class="share">Tweet</div></article></div>'
+        '<ol class="comment-list"><li><article class="comment"><p>First</p></article></li></ol></body>'
+    )
+    assert extract_group([page] * 2) == ["Head\nBody"] * 2
