@@ -1,13 +1,20 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-Sentences are the atoms; a line break ends one too. A paragraph starts at a sentence
-whose hash is the smallest of three neighbours, wherever that holds, and runs on for
-at least `WORDS` words to the end of a sentence. So paragraphs follow the text, not
-its lines: two documents with a passage in common have the same paragraphs inside it,
-also where the passage was put into the middle of a line. Paragraphs that share a band
-of minhashes are compared by the exact Jaccard similarity of their five-word
-shingles; links make clusters, and a cluster's paragraphs go from all documents but
-its first.
+Boundaries follow the text, not its lines: every sentence starts at one (a line break
+ends a sentence), and inside sentences the word whose hash is the smallest of `GAP`
+words in a row is one, wherever that holds. So no `GAP` words in a row are without a
+boundary, and which words are boundaries depends on `GAP` words around them. A
+paragraph starts at every boundary and runs to the first boundary that brings it to
+`WORDS` words; one more paragraph ends with the text. So every word of a text of
+`WORDS` words or more is in a paragraph, and two documents with a passage of
+3 * `GAP` + `WORDS` - 2 words in common have a paragraph inside it in common, wherever
+the passage stands. Paragraphs that share a band of minhashes are compared by the
+exact Jaccard similarity of their five-word shingles; links make clusters, and a
+cluster's paragraphs go from all documents but its first.
+
+Most paragraphs resemble nothing. Two sets that reach the similarity have one of
+their smallest shingles in common, the first n - ceil(similarity * n) + 1 of n, so only
+paragraphs with such a shingle in another document get bands; no link is lost by that.
 """
 
 from __future__ import annotations
@@ -30,8 +37,10 @@ from quillwork.llm.suffixes import cut_spans, packed
 from quillwork.session import materialise
 
 WORDS = 20  # words of a paragraph at least
+GAP = 11  # words in a row that hold a boundary at least
 RECALL = 0.99  # of pairs at exactly the wanted similarity; more alike pairs are missed less
 ROWS = 2  # minhashes in a band
+BLOCK = 100_000  # paragraphs whose shingles are sorted together
 
 
 def tune_bands(percent: int = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -57,34 +66,30 @@ def paragraphs_of(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
     head[1:] |= lines[starts[1:]] > lines[ends[:-1]]
     # without punctuation some words end a sentence, the same words everywhere
     head[1:] |= (hashes[:-1] & np.uint64(31)) == 0
-    begin = np.flatnonzero(head)
-    owner = np.searchsorted(first, begin, side="right") - 1
-    # the hash of a sentence: its first words, as far as it goes
-    size = np.minimum(np.diff(np.r_[begin, starts.size]), SHINGLE)
-    value = np.zeros(begin.size, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            at = np.minimum(begin + k, starts.size - 1)
-            value = np.where(size > k, value * np.uint64(0x9E3779B97F4A7C15) + hashes[at], value)
-    value = mix(value)
-    # smallest of three sentences in a row, or of what the text has
-    picked = np.zeros(begin.size, bool)
-    count = np.bincount(owner, minlength=len(first) - 1)
-    low = np.concatenate([[0], np.cumsum(count)])
-    few = np.flatnonzero((count > 0) & (count < 3))
-    for text in few:
-        picked[low[text] + np.argmin(value[low[text] : low[text + 1]])] = True
-    if begin.size >= 3:
-        trio = np.stack([value[:-2], value[1:-1], value[2:]])
-        inside = owner[:-2] == owner[2:]
-        picked[(np.arange(begin.size - 2) + np.argmin(trio, axis=0))[inside]] = True
-    start = begin[picked]
-    text = owner[picked]
-    # to the end of the sentence that brings it to its length; sentences of a text end with the text
-    stops = np.r_[begin[1:], starts.size]
+    # smallest of every `GAP` words in a row of one sentence, the first of equal ones
+    if starts.size >= GAP:
+        sentence = np.cumsum(head)
+        rows = np.lib.stride_tricks.sliding_window_view(hashes, GAP)
+        inside = sentence[: rows.shape[0]] == sentence[GAP - 1 :]
+        head[(np.arange(rows.shape[0]) + np.argmin(rows, axis=1))[inside]] = True
+    start = np.flatnonzero(head)
+    text = np.searchsorted(first, start, side="right") - 1
+    # to the boundary that brings it to its length; every text ends in one
+    stops = np.r_[start[1:], starts.size]
     end = stops[np.minimum(np.searchsorted(stops, start + words), stops.size - 1)]
     fits = (end <= first[text + 1]) & (end - start >= words)
-    return text[fits], start[fits], end[fits], starts, ends, hashes, first
+    text, start, end = text[fits], start[fits], end[fits]
+    # and what ends with the text, from the last boundary that leaves it its length
+    long = np.flatnonzero(np.diff(first) >= words)
+    stop = first[long + 1]
+    begin = np.flatnonzero(head)
+    begin = begin[np.searchsorted(begin, stop - words, side="right") - 1]
+    text, start, end = np.r_[text, long], np.r_[start, begin], np.r_[end, stop]
+    order = np.lexsort((end, start))
+    text, start, end = text[order], start[order], end[order]
+    new = np.ones(start.size, bool)
+    new[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1])
+    return text[new], start[new], end[new], starts, ends, hashes, first
 
 
 def _shingle_ranges(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -93,34 +98,76 @@ def _shingle_ranges(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return grams
 
 
+def _smallest(grams: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(paragraph, shingle) for the smallest distinct shingles of every paragraph, of which similar ones share one.
+
+    Shingles are cut to 44 bits, as everywhere else in the search for candidates.
+    """
+    out = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for low in range(0, a.size, BLOCK):
+        x, n = a[low : low + BLOCK], (b - a)[low : low + BLOCK] - SHINGLE + 1
+        before = np.cumsum(n) - n
+        at = np.repeat(x - before, n) + np.arange(n.sum())
+        key = np.repeat(np.arange(x.size, dtype=np.uint64) << np.uint64(44), n) | (grams[at] >> np.uint64(20))
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        unit = (key >> np.uint64(44)).astype(np.int64)
+        size = np.bincount(unit, minlength=x.size)
+        rank = np.arange(key.size) - np.repeat(np.cumsum(size) - size, size)
+        chosen = rank <= (size * (100 - percent) // 100)[unit]  # n - ceil(percent of n) and one more
+        out.append((unit[chosen] + low, key[chosen] & np.uint64((1 << 44) - 1)))
+    return np.concatenate([u for u, _ in out]), np.concatenate([g for _, g in out])
+
+
+def _signs(df: DataFrame, percent: int) -> DataFrame:
+    """(gram, doc) of (id, text): the smallest shingles of all paragraphs, once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_chunks(batch.column(1)):
+                text, a, b, _, _, hashes, first = paragraphs_of(data, offsets)
+                unit, gram = _smallest(_shingle_ranges(hashes, first), a, b, percent)
+                key = np.unique((text[unit].astype(np.uint64) << np.uint64(44)) | gram)
+                ids = batch.column(0).slice(row, end - row).take(pa.array((key >> np.uint64(44)).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key & np.uint64((1 << 44) - 1))), ids], names=["gram", "doc"])
+
+    return df.mapInArrow(run, "gram long, doc long")
+
+
 def banded(df: DataFrame, percent: int, recall: float) -> DataFrame:
-    """(bucket, id) of (id, text): band keys of every paragraph, `id` its document and first byte."""
+    """(bucket, doc, low, high) of (doc, body, shared): band keys of paragraphs with one of the shared shingles among their smallest."""
     bands = tune_bands(percent, recall)
     hasher = MinHasher(bands * ROWS, seed=23)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row, end, data, offsets in text_chunks(batch.column(1)):
-                text, a, b, starts, _, hashes, first = paragraphs_of(data, offsets)
+            for doc, body, shared in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw = np.frombuffer(unpack.decompress(body.as_py()), np.uint8)
+                _, a, b, starts, ends, hashes, first = paragraphs_of(raw, np.array([0, raw.size]))
                 grams = _shingle_ranges(hashes, first)
+                unit, gram = _smallest(grams, a, b, percent)
+                chosen = np.unique(unit[np.isin(gram, np.asarray(shared.values).view(np.uint64))])
+                a, b = a[chosen], b[chosen]
+                if not a.size:
+                    continue
                 # ranges one after the other; each second result is the minimum over a paragraph
                 pairs = np.stack([a, b - SHINGLE + 1], axis=1).ravel()
                 padded = np.append(grams, np.uint64(0))
                 mins = np.zeros((a.size, bands * ROWS), np.uint64)
-                if a.size:
-                    with np.errstate(over="ignore"):
-                        for k, (flip, odd) in enumerate(zip(hasher.flip, hasher.odd, strict=True)):
-                            mins[:, k] = np.minimum.reduceat((padded ^ flip) * odd, pairs)[::2]
+                with np.errstate(over="ignore"):
+                    for k, (flip, odd) in enumerate(zip(hasher.flip, hasher.odd, strict=True)):
+                        mins[:, k] = np.minimum.reduceat((padded ^ flip) * odd, pairs)[::2]
                 keys = np.concatenate([combine(mins[:, k * ROWS : (k + 1) * ROWS], k) for k in range(bands)])
-                place = (starts[a] - offsets[text]).astype(np.int32) if a.size else np.empty(0, np.int32)
-                ids = batch.column(0).slice(row, end - row).take(pa.array(np.tile(text, bands)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), ids, pa.array(np.tile(place, bands))], names=["bucket", "doc", "low"])
+                places = [pa.array(np.tile(x.astype(np.int32), bands)) for x in (starts[a], ends[b - 1])]
+                docs = pa.array(np.full(keys.size, doc.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), docs, *places], names=["bucket", "doc", "low", "high"])
 
-    return df.mapInArrow(run, "bucket long, doc long, low int")
+    return df.mapInArrow(run, "bucket long, doc long, low int, high int")
 
 
 def _wanted_sets(df: DataFrame) -> DataFrame:
-    """(id, high, one, two, grams) of (doc, body, wanted), `wanted` the first bytes of paragraphs."""
+    """(doc, low, high, one, two, grams) of (doc, body, wanted), `wanted` the first and end bytes of paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -130,13 +177,12 @@ def _wanted_sets(df: DataFrame) -> DataFrame:
                 raw = np.frombuffer(unpack.decompress(body), np.uint8)
                 _, a, b, starts, ends, hashes, first = paragraphs_of(raw, np.array([0, raw.size]))
                 grams = _shingle_ranges(hashes, first)
-                chosen = set(wanted)
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    low = int(starts[x])
-                    if low in chosen:
+                chosen = {(w["low"], w["high"]) for w in wanted}
+                for x, y, low, high in zip(a.tolist(), b.tolist(), starts[a].tolist(), ends[b - 1].tolist(), strict=True):
+                    if (low, high) in chosen:
                         own = np.unique(grams[x : y - SHINGLE + 1])
                         one, two = signed(np.array(set_digest(own), np.uint64)).tolist()
-                        for out, v in zip(rows, (doc, low, int(ends[y - 1]), one, two, signed(own)), strict=True):
+                        for out, v in zip(rows, (doc, low, high, one, two, signed(own)), strict=True):
                             out.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -158,21 +204,27 @@ def repeated_passages(
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.where("id is not null")
-    bands = banded(rows, percent, recall)
+    signs = _signs(rows, percent)
+    common = signs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    hits = signs.join(common, "gram", "left_semi").groupBy("doc").agg(F.collect_set("gram").alias("shared"))
+    # a document's own shingles, so as many as it is long
+    bodies = packed(rows).dropDuplicates(["id"]).withColumnRenamed("id", "doc")
+    bodies = materialise(bodies.join(hits, "doc").select("doc", "body", "shared"))
+    bands = materialise(banded(bodies, percent, recall))
     # a band of one document only joins nothing
     shared = bands.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("bucket")
     buckets = materialise(bands.join(shared, "bucket", "left_semi"))
-    wanted = buckets.select("doc", "low").distinct().groupBy("doc").agg(F.collect_list("low").alias("wanted"))
+    place = ["doc", "low", "high"]
+    wanted = buckets.select(*place).distinct().groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
     # as many as the document has paragraphs
-    bodies = packed(rows).dropDuplicates(["id"]).withColumnRenamed("id", "doc")
     found = materialise(_wanted_sets(bodies.join(wanted, "doc").select("doc", "body", "wanted")))
     # paragraphs with equal sets are one, under the first of them
     same = ["one", "two"]
     classes = materialise(
-        found.groupBy(*same).agg(F.min(F.struct("doc", "low")).alias("id"), F.first("grams").alias("grams"))
+        found.groupBy(*same).agg(F.min(F.struct(*place)).alias("id"), F.first("grams").alias("grams"))
     )
-    members = materialise(found.select("doc", "low", "high", *same).join(classes.select(*same, "id"), same))
-    named = buckets.join(members.select("doc", "low", "id"), ["doc", "low"]).select("bucket", "id").distinct()
+    members = materialise(found.select(*place, *same).join(classes.select(*same, "id"), same))
+    named = buckets.join(members.select(*place, "id"), place).select("bucket", "id").distinct()
     links = near_links(materialise(named), classes.select("id", "grams"), percent)
     joined = materialise(components(links))
     clusters = members.join(joined.withColumnRenamed("node", "id"), "id", "left")

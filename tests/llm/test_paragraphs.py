@@ -103,3 +103,42 @@ def test_hard_rows(spark):
 
 def test_bands_are_tuned():
     assert 1 - (1 - 0.75**2) ** tune_bands(75, 0.99, 2) >= 0.99 > 1 - (1 - 0.75**2) ** (tune_bands(75, 0.99, 2) - 1)
+
+
+def test_every_word_of_a_long_enough_text_is_in_a_paragraph():
+    r = random.Random(6)
+    texts = [" ".join(r.choice(VOCAB) for _ in range(n)) + stop for n in (20, 21, 45, 300) for stop in ("", " End.", ". A. B")]
+    texts += [prose(r, n) for n in (20, 33, 90, 400)] + ["One two. " + "long " * 40 + "end."]
+    for text in texts:
+        covered = set()
+        for low, high, _ in sets_of(text):
+            covered.update(range(low, high))
+        assert all(i in covered for i, c in enumerate(text) if c != " "), text
+
+
+def test_planted_passages_at_any_place(spark):
+    """Words of passages in both of two texts, found without asking where paragraphs lie."""
+    r = random.Random(9)
+    rows, planted = [], {}
+    for i in range(60):
+        stops = r.choice([0.0, 0.03, 0.12])
+        fresh = lambda n, i=i: " ".join(f"{r.choice('abcdefg')}{i}x{r.randrange(400)}" + ("." if r.random() < stops else "") for _ in range(n))
+        passage = fresh(r.randint(51, 80)).rstrip(".") + " "
+        for k in (0, 1):
+            before = fresh(r.randint(0, 90)) + " " if r.random() < 0.8 else ""
+            text = before + passage + (fresh(r.randint(1, 90)).replace("x", "y") if r.random() < 0.8 else "")
+            rows.append((2 * i + k, text.replace("x", "z", before.count("x")) if k else text))
+            planted[2 * i + k] = passage
+    got = {x.doc_id: x for x in without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = 0
+    for doc, text in rows:
+        words = planted[doc].split()
+        left = got[doc].kept.split()
+        if doc % 2 == 0:
+            assert got[doc].kept == text
+            continue
+        assert got[doc].first_docs == [doc - 1]
+        still = sum(w in set(left) for w in words)
+        assert still <= 20, (doc, still)
+        lost += still / len(words)
+    assert lost / 60 < 0.2
