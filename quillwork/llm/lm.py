@@ -2,194 +2,127 @@
 
 A target model and a background model have one vocabulary, one order and one
 smoothing, and the background counts are brought to the size of the target's, so that
-their difference on a token is due to the texts alone. Counts come from all texts.
-The vocabulary holds the frequent words; other words share one entry. Bigram
-counts are kept by hash in tables of fixed size, which every executor can hold.
+their difference on a token is due to the texts alone. Counts come from all texts and
+are exact: the vocabulary holds every word, and every pair of a word and the one before
+it has a row in a table, which grows with the corpus. Words and pairs go by 64-bit
+hashes. What a pair costs is worked out once, and joined to the pairs of each text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quillwork.llm.hashing import mix, signed, text_chunks, word_hashes
+from quillwork.llm.hashing import combine, signed, text_chunks, word_hashes
 from quillwork.session import materialise
 
-VOCABULARY = 200_000  # a word of the vocabulary is at least one in so many, which bounds it
-SLOTS = 1 << 20  # bigram counts
 STRENGTH = 5.0  # how many counts the unigram distribution is worth in a context
-FLUSH = 2_000_000  # different words a task holds before it hands them on
+FLUSH = 1_000_000  # different pairs a task holds before it hands them on
+UNITS = float(1 << 30)  # of a bit; whole numbers sum up to the same in any order
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n): hash and count of every word over all texts."""
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair, word before, word, text) of every word; 0 stands before the first."""
+    words, first = word_hashes(data, offsets)
+    before = np.zeros(words.size, np.uint64)
+    before[1:] = words[:-1]
+    count = np.diff(first)
+    before[first[:-1][count > 0]] = 0
+    return combine(np.stack([before, words], axis=1), 0), before, words, np.repeat(np.arange(count.size), count)
+
+
+def pair_counts(df: DataFrame) -> DataFrame:
+    """(pair, before, word, background, target): counts over all of (text, target), and over texts with `target`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []  # pair, before, word, counts
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            return words, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        def merged() -> list[np.ndarray]:
+            pair, before, word, *counts = map(np.concatenate, zip(*held, strict=True))
+            pair, at, back = np.unique(pair, return_index=True, return_inverse=True)
+            return [pair, before[at], word[at], *[np.bincount(back, n, pair.size).astype(np.int64) for n in counts]]
 
-        def out(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(counts)], names=["word", "n"])
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            arrays = [pa.array(c.view(np.int64)) for c in columns]
+            return pa.RecordBatch.from_arrays(arrays, names=["pair", "before", "word", "background", "target"])
 
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                held.append(np.unique(word_hashes(data, offsets)[0], return_counts=True))
-                if len(held) >= 16:
-                    held = [merged()]
-                    if held[0][0].size > FLUSH:
-                        yield out(*held.pop())
+            chosen = np.asarray(batch.column(1).fill_null(False))
+            for row, end, data, offsets in text_chunks(batch.column(0)):
+                pair, before, word, text = _pairs(data, offsets)
+                held.append([pair, before, word, np.ones(pair.size, np.int64), chosen[row:end][text].astype(np.int64)])
+                held = [merged()]
+                if held[0][0].size > FLUSH:
+                    yield out(held.pop())
         if held:
-            yield out(*merged())
+            yield out(held.pop())
 
-    rows = df.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "word long, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+    rows = df.mapInArrow(run, "pair long, before long, word long, background long, target long")
+    sums = [F.sum(c).alias(c) for c in ("background", "target")]
+    return rows.groupBy("pair").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums)
 
 
-def shared_vocabulary(df: DataFrame, text: str, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the words that make up at least one in `size` of all words; there are `size` at most."""
-    counts = materialise(word_counts(df, text))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.where(F.col("n") * size >= total).select("word").toArrow()
-    return np.sort(np.asarray(top.column("word").combine_chunks() if top.num_rows else pa.array([], pa.int64())).view(np.uint64))
+def text_pairs(df: DataFrame) -> DataFrame:
+    """(pair, row, n) of (row, text): how often each text has each of its pairs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_chunks(batch.column(1)):
+                pair, _, _, text = _pairs(data, offsets)
+                order = np.lexsort((pair, text))
+                pair, text = pair[order], text[order]
+                new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])][: pair.size])
+                n = np.diff(np.r_[new, pair.size]).astype(np.int32)
+                ids = batch.column(0).slice(row, end - row).take(pa.array(text[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(pair[new])), ids, pa.array(n)], names=["pair", "row", "n"])
 
-def _ids(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Place in the vocabulary plus 2; 1 for other words. 0 is the start of a text."""
-    if not vocabulary.size:
-        return np.ones(words.size, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words), vocabulary.size - 1)
-    return np.where(vocabulary[at] == words, at + 2, 1)
+    return df.mapInArrow(run, "pair long, row long, n int")
 
 
-def _bigrams(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(context id, id, slot of the pair) of every word, and each text's first word plus the total."""
-    words, first = word_hashes(data, offsets)
-    ids = _ids(vocabulary, words)
-    before = np.zeros(ids.size, np.int64)
-    before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = 0
-    with np.errstate(over="ignore"):
-        pair = before.astype(np.uint64) * np.uint64(1 << 32) + ids.astype(np.uint64)
-        slot = (mix(pair + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return before, ids, slot, first
+def pair_costs(counts: DataFrame) -> DataFrame:
+    """(pair, target, background): what the second word of each pair costs under either model, in `UNITS` of a bit."""
+    kinds = ("background", "target")
+    words = materialise(counts.groupBy("word").agg(*[F.sum(k).alias(f"{k}_word") for k in kinds]))
+    contexts = counts.groupBy("before").agg(*[F.sum(k).alias(f"{k}_before") for k in kinds])
+    size, *totals = words.agg(F.count("*"), *[F.coalesce(F.sum(f"{k}_word"), F.lit(0)) for k in kinds]).first()
+    # the target as large as it is, the background brought to that size; two entries are the start and a word not met
+    scales = (totals[1] / totals[0] if totals[0] and totals[1] else 1.0, 1.0)
+    joined = counts.join(contexts, "before").join(words, "word")
 
+    def cost(kind: str, total: int, scale: float) -> Column:
+        unigram = (F.col(f"{kind}_word") * scale + 0.5) / (total * scale + 0.5 * (size + 2))
+        chance = (F.col(kind) * scale + STRENGTH * unigram) / (F.col(f"{kind}_before") * scale + STRENGTH)
+        return F.round(-F.log2(chance) * UNITS).cast("long").alias(kind)
 
-def ngram_counts(df: DataFrame, text: str, target: str, vocabulary: np.ndarray) -> DataFrame:
-    """(kind, slot, background, target) counts over all texts: kind 0 words, 1 contexts, 2 pairs.
+    return joined.select("pair", *[cost(*x) for x in zip(kinds, totals, scales, strict=True)])
 
-    `target` names the Boolean column of texts that the target model counts as well.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    sizes = (len(vocabulary) + 2, len(vocabulary) + 2, SLOTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [[np.zeros(size, np.int64) for size in sizes] for _ in range(2)]
-        for batch in batches:
-            chosen = np.asarray(batch.column(1).fill_null(False))
-            for row, end, data, offsets in text_chunks(batch.column(0)):
-                before, ids, slot, first = _bigrams(shared.value, data, offsets)
-                inside = np.repeat(chosen[row:end], np.diff(first))
-                for kind, values in enumerate((ids, before, slot)):
-                    totals[0][kind] += np.bincount(values, minlength=sizes[kind])
-                    totals[1][kind] += np.bincount(values[inside], minlength=sizes[kind])
-        for kind in range(3):
-            rows = np.flatnonzero(totals[0][kind])
-            columns = [np.full(rows.size, kind, np.int32), rows.astype(np.int32), totals[0][kind][rows], totals[1][kind][rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "slot", "background", "target"])
-
-    rows = df.select(F.col(f"`{text}`").cast("string"), F.col(f"`{target}`")).mapInArrow(
-        run, "kind int, slot int, background long, target long"
-    )
-    return rows.groupBy("kind", "slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-@dataclass(frozen=True)
-class Models:
-    """Shared vocabulary, and counts as [background, target] of words, contexts and pairs."""
-
-    vocabulary: np.ndarray
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
-
-    def bits(self, which: int, before: np.ndarray, ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Cost in bits of every word under one of the models."""
-        words = self.words[which]
-        unigram = (words[ids] + 0.5) / (words.sum() + 0.5 * words.size)
-        joint = np.minimum(self.pairs[which][slot], self.contexts[which][before])  # a slot may hold other pairs too
-        return -np.log2((joint + STRENGTH * unigram) / (self.contexts[which][before] + STRENGTH))
-
-
-def fit_models(df: DataFrame, flagged: DataFrame, text: str, target: str, vocabulary: int = VOCABULARY) -> Models:
-    """Both models; `flagged` holds the texts of `df` marked. The tables that reach the driver have a fixed size."""
-    shared = shared_vocabulary(df, text, vocabulary)
-    table = ngram_counts(flagged, text, target, shared).toArrow()
-    kinds, slots = np.asarray(table.column("kind")), np.asarray(table.column("slot"))
-    counts = [np.asarray(table.column(c)).astype(np.float64) for c in ("background", "target")]
-    # the target as large as it is, the background brought to that size
-    sizes = [c[kinds == 0].sum() for c in counts]
-    scale = [sizes[1] / sizes[0] if sizes[0] and sizes[1] else 1.0, 1.0]
-    out = []
-    for kind, size in enumerate((len(shared) + 2, len(shared) + 2, SLOTS)):
-        both = np.zeros((2, size), np.float32)
-        for which in range(2):
-            both[which, slots[kinds == kind]] = counts[which][kinds == kind] * scale[which]
-        out.append(both)
-    return Models(shared, *out)
-
-
-def score_texts(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
+def cross_entropy_difference(df: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with n_tokens, ce_target, ce_background (bits a token) and ce_difference, target less background.
 
-    The lower the difference, the more a text is like the target. A text without
-    words, or null, has 0 tokens and null scores. Columns of `df` with these names are
-    replaced, others stay.
+    Target are the texts whose key is in `target_keys`; a null key is never one. The
+    lower the difference, the more a text is like the target. Repeated rows are counted,
+    and scored, each. A text without words, or null, has 0 tokens and null scores.
+    Without any target text the target model is uniform. Columns of `df` with these
+    names are replaced, others stay.
     """
     added = ["n_tokens", "ce_target", "ce_background", "ce_difference"]
-    kept = [c for c in df.columns if c not in added]
-    at = kept.index(text)
-    plain = df.select(*[F.col(f"`{c}`") for c in kept])
-    shared = df.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            for row, end, data, offsets in text_chunks(batch.column(at)):
-                before, ids, slot, first = _bigrams(models.vocabulary, data, offsets)
-                count = np.diff(first)
-                full = count > 0
-                means = []
-                for which in (1, 0):
-                    mean = np.zeros(count.size)
-                    if full.any():
-                        bits = models.bits(which, before, ids, slot).astype(np.float64)
-                        mean[full] = np.add.reduceat(bits, first[:-1][full]) / count[full]
-                    means.append(mean)
-                columns = [batch.column(i).slice(row, end - row) for i in range(batch.num_columns)]
-                scores = [pa.array(v, mask=~full) for v in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(count), *scores], names=[*kept, *added])
-
-    fields = [StructField("n_tokens", LongType()), *[StructField(c, DoubleType()) for c in added[1:]]]
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, *fields]))
-
-
-def cross_entropy_difference(df: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of every row of `df` against the texts whose key is in `target_keys`.
-
-    A null key is never a target. Repeated rows are counted, and scored, each. Without
-    any target text the target model is uniform.
-    """
-    marked = target_keys.select(F.col(key).alias("__key")).dropna().distinct().withColumn("__target", F.lit(True))
-    rows = df.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    marked = target_keys.select(F.col(f"`{key}`").alias("__key")).dropna().distinct().withColumn("__target", F.lit(True))
     # shuffled whatever its size, so that the job grows evenly
-    flagged = rows.join(marked.hint("merge"), F.col("__id") == F.col("__key"), "left").select("__text", "__target")
-    return score_texts(df, fit_models(df.select(F.col(f"`{text}`").alias("__text")), flagged, "__text", "__target"), text)
+    flagged = df.select(*kept, F.col(f"`{key}`").alias("__id")).join(marked.hint("merge"), F.col("__id") == F.col("__key"), "left")
+    rows = materialise(flagged.select(*kept, "__target", F.monotonically_increasing_id().alias("__row")))
+    words = F.col(f"`{text}`").cast("string")
+    costs = materialise(pair_costs(materialise(pair_counts(rows.select(words, "__target")))))
+    pairs = text_pairs(rows.select("__row", words)).join(costs, "pair")
+    sums = pairs.groupBy("row").agg(
+        F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(k)).alias(f"__{k}") for k in ("target", "background")]
+    )
+    scored = rows.drop("__target").join(sums, F.col("__row") == F.col("row"), "left")
+    means = [(F.col(f"__{k}") / UNITS / F.col("n_tokens")).alias(f"ce_{k}") for k in ("target", "background")]
+    out = scored.select(*kept, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *means)
+    return out.withColumn("ce_difference", F.col("ce_target") - F.col("ce_background"))

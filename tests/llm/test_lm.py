@@ -63,3 +63,19 @@ def test_repeated_null_and_no_rows(spark):
     assert len(rows) == 3 and len({r.ce_target for r in rows}) == 1
     assert cross_entropy_difference(df.limit(0), keys).count() == 0
     assert cross_entropy_difference(df, keys.limit(0)).where("ce_difference is null").count() == 0
+
+
+def test_more_pairs_than_two_to_the_twentieth(spark):
+    """Pairs of rare words, each met once, stay apart whatever the number of pairs."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(400_000)}" for _ in range(12_000))) for i in range(100)]
+    probe = "rare alpha rare beta rare gamma"
+    rows += [(100, probe), (101, probe.replace("rare", "seldom"))]
+    assert len({p for _, t in rows for p in zip(t.split(), t.split()[1:], strict=False)}) > 1 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x for x in cross_entropy_difference(df, spark.createDataFrame([(0,), (100,)], "doc_id long")).collect()}
+    expected = brute(rows, {0, 100})
+    for d in (0, 1, 50, 100, 101):
+        assert got[d].n_tokens == expected[d][0]
+        assert got[d].ce_target == pytest.approx(expected[d][1], abs=1e-6)
+        assert got[d].ce_background == pytest.approx(expected[d][2], abs=1e-6)
