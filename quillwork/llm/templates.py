@@ -34,7 +34,9 @@ CONTAINERS = frozenset(
     "html head body div section article main nav header footer aside form ul ol dl table figure blockquote dialog menu "
     "details fieldset center".split()
 )
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math select button object canvas audio video".split())
+RAW = frozenset("script style title textarea".split())  # without an end tag they go to the end of the page
+SKIPPED = frozenset("iframe xmp noembed noframes template svg select button".split())
+FALLBACK = frozenset("noscript math object canvas audio video".split())  # skipped outside articles
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_ELEMENTS = frozenset("head nav header footer aside form dialog menu".split())
 MAIN_ELEMENTS = frozenset("article main".split())
@@ -47,6 +49,7 @@ SIDE_WORDS = frozenset(
 )
 # what stays aside whatever it holds, and what says nothing inside an article
 APART_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond list".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 
@@ -84,7 +87,12 @@ def _side(name: str, rest: str, inside: bool) -> str:
             side = side or "-"
         if key.lower() in ("class", "id") and name not in ("html", "body"):
             words = set(WORD.findall(value))
-            if words & APART_WORDS:
+            if name in MAIN_ELEMENTS:
+                # a post may say "comments-open"; only a class that is nothing but a comment's counts
+                whole = (set(WORD.findall(c)) for c in value.split())
+                if any(w and w <= COMMENT_WORDS and w & APART_WORDS for w in whole):
+                    return "--"
+            elif words & APART_WORDS:
                 return "--"
             if name not in MAIN_ELEMENTS and words & (SIDE_WORDS - HEAD_WORDS if inside else SIDE_WORDS):
                 side = side or "-"
@@ -112,7 +120,7 @@ def _main(name: str, rest: str) -> bool:
 
 
 def pieces_of(page: str) -> list[Piece]:
-    """Tags and text of a page, in order, without comments and without what is inside raw elements.
+    """Tags and text of a page, in order, without comments and without what is inside raw or skipped elements.
 
     Open elements that were never closed end with what encloses them; end tags
     without a start are ignored.
@@ -147,9 +155,19 @@ def pieces_of(page: str) -> list[Piece]:
         if name in RAW and not rest.endswith("/"):
             close = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = close.end() if close else len(page)
-            if name not in ("script", "style", "title"):
+            if name == "textarea":
                 out.append(Piece("", "", path, True))
             continue
+        if (name in SKIPPED or name in FALLBACK and not _in_article(path)) and not rest.endswith("/"):
+            out.append(Piece("", "", path, True))
+            close = re.compile(f"<(/?){name}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+            if close and close[1]:
+                at = close.end()
+            else:
+                # without an end tag of its own it ends with the next block or with what encloses it
+                stack.append((name, f"--{name}"))
+                path = tuple(label for _, label in stack)
+            continue
         if name not in INLINE:
             # a paragraph or item ends where the next block starts
             while stack and stack[-1][0] not in CONTAINERS and name not in VOID:

@@ -67,3 +67,21 @@ def test_suspicious_wrappers_of_an_article_do_not_hide_it():
         '<ol class="comment-list"><li><article class="comment"><p>First</p></article></li></ol></body>'
     )
     assert extract_group([page] * 2) == ["Head\nBody"] * 2
+
+
+def test_unclosed_elements_do_not_take_the_rest_of_the_page():
+    for name in ("button", "select", "svg", "object", "noscript", "canvas", "audio", "video", "math", "iframe", "template"):
+        assert extract_group([f"<div><{name}>x</div><article><p>Body</p><p>More</p></article>"]) == ["Body\nMore"], name
+        assert extract_group([f"<article><p>Body</p><{name}><p>More</p></article><footer>f</footer>"]) == ["Body\nMore"], name
+    assert extract_group(["<article><p>a</p><button><b>Like</b></button><p>b</p><svg><g><text>s</text></g></svg></article>"]) == ["a\nb"]
+
+
+def test_formulas_and_fallback_text_of_an_article_stay():
+    page = "<noscript>Turn it on</noscript><article><p>If <math><mi>x</mi></math></p><object><p>Chart</p></object><noscript><p>Plain</p></noscript></article>"
+    assert " ".join(extract_group([page])[0].split()) == "If x Chart Plain"
+
+
+def test_an_article_that_mentions_its_comments_stays():
+    for kind in ('class="post comments-open"', 'id="post-7-replies"', 'class="entry has-related"'):
+        assert extract_group([f"<article {kind}><p>Body</p></article>"]) == ["Body"], kind
+    assert extract_group(['<article><p>Body</p></article><article class="comment even"><p>First</p></article>']) == ["Body"]
