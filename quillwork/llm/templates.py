@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_PAGES = 128  # pages whose template is deduced together
+from quillwork.session import materialise
+
+GROUP_PAGES = 128  # different pages, about, whose template is deduced together
 SUPPORT = 0.5  # share of pages a skeleton class occurs in
 
 # Names of HTML elements and of usual page parts.
@@ -258,8 +260,14 @@ def blocks_of(page: list[Piece], keep: list[bool]) -> str:
 
 
 def extract_group(pages: list[str | None]) -> list[str]:
-    """Main text of pages of one host, by their common template."""
-    parsed = [pieces_of(p or "") for p in pages]
+    """Main text of pages of one host, by their common template. Equal pages are one."""
+    distinct = list(dict.fromkeys(p or "" for p in pages))
+    texts = dict(zip(distinct, _extract(distinct), strict=True))
+    return [texts[p or ""] for p in pages]
+
+
+def _extract(pages: list[str]) -> list[str]:
+    parsed = [pieces_of(p) for p in pages]
     order = {token: k for k, token in enumerate(skeleton(parsed))}
     slots = [slots_of(page, order) for page in parsed]
     # text of each slot by page, and whether a main container or a side container holds it
@@ -280,6 +288,14 @@ def extract_group(pages: list[str | None]) -> list[str]:
     for page, own in zip(parsed, slots, strict=True):
         marked = any(piece.token[:1] == "+" for piece in page)
         wanted = main_slots if marked else other
+        if not marked:
+            # where nothing varies, the slot with most text
+            sizes = Counter()
+            for piece, slot in zip(page, own, strict=True):
+                if not _aside(piece.path):
+                    sizes[slot] += len("".join(piece.text.split()))
+            if sizes and not any(sizes[slot] for slot in other):
+                wanted = {max(sizes, key=lambda slot: (sizes[slot], -slot))}
         keep = [
             slot in wanted and not _aside(piece.path) and (not marked or _in_article(piece.path))
             for piece, slot in zip(page, own, strict=True)
@@ -298,47 +314,58 @@ def extract_main_text(
 ) -> DataFrame:
     """(key, url, text, n_chars) of every row.
 
-    Pages are dealt out by ranges of host and a hash of the page: pages of a host lie
-    next to each other, and a host with many pages fills several tasks. A task cuts
-    its pages, as they come, into groups of `group_pages` of one host. A null page is
-    empty; an empty page has an empty text. Pages without a host are grouped with each
-    other. Rows that repeat a key are pages of their own. Other columns are left out.
+    The different pages of a host are counted, and dealt by a hash of the page into
+    groups of about `group_pages`, so which pages judge each other follows from the
+    pages of the host alone. Equal pages meet in one group and count once; of them a
+    task holds one at a time. A null page is empty; an empty page has an empty text.
+    Pages without a host are grouped with each other. Rows that repeat a key are pages
+    of their own. Other columns are left out.
     """
     rows = df.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{page}`").cast("string").alias("page")
     ).withColumn("host", host_of(F.col("url")))
-    dealt = rows.withColumn("mix", F.xxhash64("url", "page", "key")).repartitionByRange("host", "mix")
+    rows = rows.withColumn("mix", F.xxhash64(F.coalesce("page", F.lit(""))))
+    groups = F.ceil(F.count("*") / F.lit(group_pages)).alias("groups")
+    large = rows.select("host", "mix").distinct().groupBy("host").agg(groups).where("groups > 1")
+    # written first, so that Spark knows its size
+    dealt = rows.join(materialise(large), "host", "left").withColumn("part", F.pmod("mix", F.coalesce("groups", F.lit(1))))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "url", "text", "n_chars"]
-        held: list[pa.RecordBatch] = []  # rows of one host, still open
+        held: list[tuple[pa.RecordBatch, list[int]]] = []  # keys and URLs of the open group, and their pages
+        pages: list[str] = []  # different pages of it
+        group = last = None
 
-        def flush() -> pa.RecordBatch:
-            group = pa.Table.from_batches(held).combine_chunks()
-            texts = extract_group(group.column("page").to_pylist())
-            columns = [group.column(c).combine_chunks() for c in ("key", "url")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts = extract_group(pages)
+            for rows, at in held:
+                own = [texts[i] for i in at]
+                columns = [rows.column(0), rows.column(1), pa.array(own, pa.string()), pa.array(list(map(len, own)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            hosts = batch.column(3).to_pylist()
-            at = 0
-            while at < batch.num_rows:
-                if held and held[0].column(3)[0].as_py() != hosts[at]:
-                    yield flush()
-                    held = []
-                room = group_pages - sum(b.num_rows for b in held)
-                end = at
-                while end < batch.num_rows and hosts[end] == hosts[at] and end - at < room:
-                    end += 1
-                held.append(batch.slice(at, end - at))
-                at = end
-                if sum(b.num_rows for b in held) == group_pages:
-                    yield flush()
-                    held = []
+            hosts, parts, mixes = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            column = batch.column(2)
+            begin, at = 0, []
+            for i, own in enumerate(zip(hosts, parts, strict=True)):
+                if own != group:
+                    if at:
+                        held.append((batch.slice(begin, i - begin), at))
+                    if held:
+                        yield from flush()
+                    held, pages, begin, at, group, last = [], [], i, [], own, None
+                if mixes[i] != last:
+                    pages.append(column[i].as_py() or "")
+                    last = mixes[i]
+                at.append(len(pages) - 1)
+            if at:
+                rest = batch.slice(begin)
+                keys = pa.Table.from_batches([rest]).select(["key", "url"]).take(pa.array(range(rest.num_rows)))
+                held.append((keys.combine_chunks().to_batches()[0], at))  # a copy, without the pages
         if held:
-            yield flush()
+            yield from flush()
 
-    ordered = dealt.sortWithinPartitions("host", "mix").select("key", "url", "page", "host")
-    out = ordered.mapInArrow(run, f"key {kind}, url string, text string, n_chars long")
+    ordered = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "mix")
+    out = ordered.select("key", "url", "page", "host", "part", "mix").mapInArrow(run, f"key {kind}, url string, text string, n_chars long")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")

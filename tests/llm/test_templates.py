@@ -85,3 +85,26 @@ def test_an_article_that_mentions_its_comments_stays():
     for kind in ('class="post comments-open"', 'id="post-7-replies"', 'class="entry has-related"'):
         assert extract_group([f"<article {kind}><p>Body</p></article>"]) == ["Body"], kind
     assert extract_group(['<article><p>Body</p></article><article class="comment even"><p>First</p></article>']) == ["Body"]
+
+
+def test_copies_of_pages_without_an_article_keep_their_text():
+    page = "<div class=menu>Menu</div><div><p>Copied text</p></div>"
+    assert extract_group([page] * 128) == ["Copied text"] * 128
+    same = [f"<title>{i}</title><div><p>Copied text</p></div><div><b>!</b></div>" for i in range(4)]
+    assert extract_group(same) == ["Copied text"] * 4
+
+
+def test_the_text_of_a_page_does_not_depend_on_partitions(spark):
+    one = [f"<div>Welcome</div><section><p>Body {i}</p></section>" for i in range(50)]
+    rows = [(i, "http://a.org/", one[i % 50]) for i in range(150)] + [(200 + i, "http://b.org/", one[0]) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (1, 3, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({r.page_id: r.text for r in extract_main_text(df.repartition(n), group_pages=12).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    assert all(found[0][i] == f"Body {i % 50}" for i in range(150))
