@@ -4,10 +4,12 @@ The pages of a host are cut into groups of bounded size. In a group every tag is
 token, told apart by the containers it stands in. Tokens with the same vector of
 occurrences over the pages form an equivalence class; a class is valid if its tokens
 keep one order in all pages and do not interleave with the classes around it. The
-valid classes that occur at most once a page make up the skeleton of the template,
-and classes that repeat nest inside its slots. What lies between skeleton tokens is
-a slot; a slot gets a role from its containers and from how its text varies between
-pages, and the text of the main slots is extracted.
+valid classes that occur at most once a page make up the skeleton of the template;
+tokens that repeat within a page make no slots of their own. What lies between skeleton
+tokens is a slot; a slot gets a role from its containers and from how its text varies
+between pages, and the text of the main slots is extracted. Where pages have an article
+element, element names and class words say what is in it, and slots only take out of it
+what stands on many different pages.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from quillwork.session import materialise
 
 GROUP_PAGES = 128  # different pages, about, whose template is deduced together
 SUPPORT = 0.5  # share of pages a skeleton class occurs in
+NOTICE_PAGES = 10  # different pages on which a slot of the article has one text, if that is a notice
 
 # Names of HTML elements and of usual page parts.
 INLINE = frozenset(
@@ -270,24 +273,40 @@ def _extract(pages: list[str]) -> list[str]:
     parsed = [pieces_of(p) for p in pages]
     order = {token: k for k, token in enumerate(skeleton(parsed))}
     slots = [slots_of(page, order) for page in parsed]
-    # text of each slot by page, and whether a main container or a side container holds it
+    # text of each slot by page, and of its part in the article, and whether a main container or a side container holds it
     main: Counter = Counter()
     seen: dict[int, Counter] = defaultdict(Counter)
+    told: dict[int, Counter] = defaultdict(Counter)
+    own_told: list[dict[int, str]] = []
     for page, own in zip(parsed, slots, strict=True):
         texts: dict[int, list[str]] = defaultdict(list)
+        article: dict[int, list[str]] = defaultdict(list)
         for piece, slot in zip(page, own, strict=True):
             if piece.text and not piece.text.isspace() and not _aside(piece.path):
                 texts[slot].append(piece.text)
-                main[slot] += _in_article(piece.path)
+                if _in_article(piece.path):
+                    main[slot] += 1
+                    article[slot].append(" ".join(piece.text.split()))
         for slot, parts in texts.items():
             seen[slot]["\0".join(parts)] += 1
+        own_told.append({slot: "\0".join(parts) for slot, parts in article.items()})
+        for slot, said in own_told[-1].items():
+            told[slot][said] += 1
     main_slots = {slot for slot, n in main.items() if n}
     # without an article element: slots whose text differs between pages
     other = {s for s, texts in seen.items() if len(parsed) == 1 or sum(texts.values()) < 2 or len(texts) > 1}
+    # inside articles: one text on many different pages, and on most of those that have the slot
+    notices = {
+        (slot, said) for slot, texts in told.items() for said, n in texts.items()
+        if n >= NOTICE_PAGES and n > SUPPORT * sum(texts.values())
+    }
     out = []
-    for page, own in zip(parsed, slots, strict=True):
+    for page, own, said in zip(parsed, slots, own_told, strict=True):
         marked = any(piece.token[:1] == "+" for piece in page)
-        wanted = main_slots if marked else other
+        # an article that is nothing but notices stays
+        wanted = main_slots - {slot for slot in said if (slot, said[slot]) in notices} if marked else other
+        if marked and not wanted & said.keys():
+            wanted = main_slots
         if not marked:
             # where nothing varies, the slot with most text
             sizes = Counter()

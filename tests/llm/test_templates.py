@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import re
 
+from quillwork.llm import templates
 from quillwork.llm.templates import extract_group, extract_main_text, pieces_of, skeleton
 
 SHELL = """<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><script>if (a<b) x="</p>";</script></head><body>
@@ -108,3 +109,15 @@ def test_the_text_of_a_page_does_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
     assert all(found[0][i] == f"Body {i % 50}" for i in range(150))
+
+
+def test_slots_take_notices_out_of_articles(monkeypatch):
+    pages = [f"<article><h1>T {i}</h1><p>Body {i}</p><div>Buy our book</div><section><p>More {i}</p></section></article>" for i in range(20)]
+    expected = [f"T {i}\nBody {i}\nMore {i}" for i in range(20)]
+    assert extract_group(pages) == expected
+    # a text of few pages stays, and an article that is only that
+    assert "Buy our book" in extract_group(pages[:5])[0]
+    same = [f"<title>{i}</title><i>{i}</i><article><p>All the same</p></article>" for i in range(20)]
+    assert extract_group(same) == ["All the same"] * 20
+    monkeypatch.setattr(templates, "skeleton", lambda pages: [])
+    assert extract_group(pages) != expected
