@@ -26,15 +26,34 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows that repeat an id count as one. Rows without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates; rows that repeat an id and its text count as one.
+
+    Different texts under one id are documents of their own. Rows without an id stay.
+    """
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    named = docs.where("doc_id is not null").withColumn("__node", F.struct("doc_id", digest.alias("digest")))
+    kept = minhash.near_duplicates(named.select("__node", "text"), "__node").where("kept").select("__node").distinct()
+    once = named.join(kept, "__node", "left_semi").dropDuplicates(["__node"])
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 100-byte strings that an earlier document, or an earlier place, has."""
-    cut = suffixes.drop_repeats(docs)
+    """Documents without the 100-byte strings that an earlier document, or an earlier place, has.
+
+    Of different texts under one id, one stands in the id's place and the others come after all ids.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").select("doc_id", text.alias("h")).distinct().groupBy("doc_id")
+    several = several.agg(F.min("h").alias("__least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = materialise(several.withColumnRenamed("doc_id", "__id"))
+    if several.isEmpty():
+        cut = suffixes.drop_repeats(docs)
+    else:
+        late = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2) + F.lit(1 << 62)
+        keyed = docs.join(several, F.col("doc_id") == F.col("__id"), "left")
+        keyed = keyed.withColumn("__key", F.when(text != F.col("__least"), late).otherwise(F.col("doc_id").cast("long")))
+        keyed = materialise(keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "__key"))
+        cut = suffixes.drop_repeats(keyed, "__key").drop("__key")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -76,3 +76,17 @@ def test_no_documents(spark, documents):
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_different_texts_under_one_id_stay(spark, documents):
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2] + " " + texts[1]), (3, texts[2] + " " + texts[1] + " end"), (1, texts[3])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], documents.schema)
+    kept = drop_near_duplicates(spark, docs, DIR)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({*rows} - {rows[4]})
+    cut = sorted((r.doc_id, r.text) for r in cut_repeats(spark, kept, DIR).collect())
+    # of what two of them have, one copy stays: here the one in document 2, as the other comes after all ids
+    assert [d for d, _ in cut] == [1, 1, 2]
+    words = [w for _, t in cut for w in t.split()]
+    assert {w for t in texts for w in t.split()} <= set(words)
+    assert sum(len(t) for _, t in cut) < sum(len(t) for t in texts) + 20
