@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, hnsw, lm, minhash, mixing, paragraphs, quality, rules, suffixes, templates
+from quillwork.llm import bpe, hnsw, lm, minhash, mixing, paragraphs, periods, quality, rules, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -201,3 +201,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without passages that an earlier one has, and which ones those are."""
     cut = paragraphs.without_passages(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "first_docs")
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodically repeated words of every document, the strongest one, and what stays without repeats."""
+    return periods.run_digests(table(spark, sf_dir, "documents"), arrange=periods.tail_repeated)
