@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, hnsw, lm, minhash, mixing, paragraphs, periods, quality, rules, suffixes, templates
+from quillwork.llm import alignment, bpe, hnsw, lm, minhash, mixing, paragraphs, periods, quality, rules, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -207,3 +207,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of periodically repeated words of every document, the strongest one, and what stays without repeats."""
     return periods.run_digests(table(spark, sf_dir, "documents"), arrange=periods.tail_repeated)
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers over every document, with the links' corpus-wide counts."""
+    return alignment.cross_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
