@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import alignment, bpe, hnsw, lm, minhash, mixing, paragraphs, periods, quality, rules, suffixes, templates
+from quillwork.llm import alignment, bpe, hnsw, lm, minhash, mixing, paragraphs, periods, quality, rules, sharding, suffixes, templates
 
 TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
 
@@ -213,3 +213,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of two tokenizers over every document, with the links' corpus-wide counts."""
     return alignment.cross_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
+
+
+SHARDS = 16
+
+
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards have nearly equal bytes, equal texts share one."""
+    placed = sharding.even_shards(table(spark, sf_dir, "documents"), SHARDS)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)

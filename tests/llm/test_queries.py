@@ -23,5 +23,5 @@ def test_query_has_a_row_for_every_input_row(spark, name):
 
 def test_all_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES}
-    assert numbers == set(range(1, 13))
+    assert numbers == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE_SQL) <= set(oracle_sql())
