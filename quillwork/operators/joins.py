@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import basename
 from quillwork.operators.ordered import last, number_rows
-from quillwork.session import materialise
+from quillwork.operators.patterns import names_inside
 
 BLOCK_ROWS = 1_000
-PIECE = 4  # characters of the pieces that names are looked up by
 
 
 def parents_with_child_count(parents: DataFrame, children: DataFrame, on: str) -> DataFrame:
@@ -186,36 +185,16 @@ def orphan_docs(docs: DataFrame, links: DataFrame, keep: Sequence[str] = ENTRY_D
     return loose.join(linked, "__name", "left_anti").drop("__name")
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """Distinct substrings of `size` characters."""
-    starts = F.sequence(F.lit(1), F.char_length(text) - (size - 1))
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
-    return F.when(F.char_length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
-
-
 def missing_docs(names: DataFrame, docs: DataFrame, texts: Sequence[str]) -> DataFrame:
-    """Names (column `name`) found inside none of the `texts` of any document.
+    """Names (column `name`) found inside none of the `texts` of any document, whatever the case.
 
-    Substring search as an equi join on pieces of fixed length: a name is looked up
-    by the one of its pieces that the fewest texts have, and what meets there is
-    compared in full. Names of up to `PIECE` characters are pieces themselves.
+    One pass over the texts with an automaton of the names; see `patterns`. Empty and
+    null names are not wanted, a repeated name stays repeated.
     """
     wanted = names.filter("name <> ''").withColumn("__token", F.lower("name"))
-    tokens = wanted.select("__token").distinct()
-    column = F.explode(F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])).alias("__text")
-    bodies = materialise(docs.select(column).filter("__text <> ''").distinct().withColumn("__id", F.xxhash64("__text")))
-    pieces = bodies.select("__id", F.explode(_pieces(F.col("__text"), PIECE)).alias("__piece"))
-    counts = materialise(pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n")))
-    long = tokens.filter(F.char_length("__token") > PIECE)
-    own = long.select("__token", F.explode(_pieces(F.col("__token"), PIECE)).alias("__piece"))
-    own = own.join(counts, "__piece", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
-    rarest = own.groupBy("__token").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
-    met = rarest.join(pieces, "__piece").select("__token", "__id").join(bodies, "__id")
-    found = met.filter(F.contains("__text", "__token")).select("__token")
-    for size in range(1, PIECE + 1):
-        short = bodies.select(F.explode(_pieces(F.col("__text"), size)).alias("__token")).distinct()
-        found = found.union(tokens.filter(F.char_length("__token") == size).join(short, "__token", "left_semi"))
-    return wanted.join(found.distinct(), "__token", "left_anti").drop("__token")
+    bodies = docs.select(*[F.lower(F.col(t)).alias(f"__t{i}") for i, t in enumerate(texts)])
+    found = names_inside(wanted.select(F.col("__token").alias("token")), bodies)
+    return wanted.join(found.withColumnRenamed("token", "__token"), "__token", "left_anti").drop("__token")
 
 
 def detect_changed(current: DataFrame, probed: DataFrame, key: str = "book_code") -> DataFrame:
