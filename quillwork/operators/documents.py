@@ -18,6 +18,7 @@ from quillwork.functions.text import (
     strip,
 )
 from quillwork.operators.ordered import Ordered, last, last_before, number_rows, total
+from quillwork.operators.stacks import open_headings
 from quillwork.session import materialise
 
 DOC = "document_id"
@@ -103,47 +104,45 @@ def running_header_detection(elements: DataFrame) -> DataFrame:
 # ---- heading tree -----------------------------------------------------------
 
 
-def heading_tree(
-    elements: Ordered, id_col: str = "id", root: int = 0, levels: Sequence[int] | None = None
-) -> Ordered:
+def heading_tree(elements: Ordered, id_col: str = "id", root: int = 0) -> Ordered:
     """Add `ancestors`, `parent_id`, `depth` and `path` to every element.
 
-    The parent of a heading is the nearest heading before it with a smaller
-    level; other elements hang under the latest heading. Both follow from the
-    latest heading of each level: it is an ancestor when its level is smaller
-    than the element's and no heading of a smaller level came after it. One
-    window carries all levels, so there is no recursion and no self join.
-    Ids must rise with position.
+    The parent of a heading is the nearest heading before it with a smaller level;
+    other elements hang under the latest heading. The ancestors of all headings come
+    from `open_headings`; elements then carry the latest heading's forward, in one
+    window over both. Any number of levels will do.
     """
     heading = F.col("element_type") == "heading"
-    level = F.when(heading, F.coalesce(F.nullif(F.col("level"), F.lit(0)), F.lit(1)))
-    rows = elements.columns(__level=level.cast("long"))
-    if levels is None:
-        known = rows.df.filter("__level is not null").select("__level").distinct().collect()
-        levels = sorted(r[0] for r in known)
-    here, own = F.col(id_col), F.col("__level")
-    if levels:
-        rows = rows.scan(**{f"__h{v}": last_before(F.when(own == v, here)) for v in levels})
-
-    latest, chain = [], []
-    for v in levels:
-        candidate = F.col(f"__h{v}")
-        open_above = F.lit(True)
-        if latest:
-            newest = F.greatest(*latest) if len(latest) > 1 else latest[0]
-            open_above = F.coalesce(candidate > newest, F.lit(True))
-        inside = F.coalesce(own > v, F.lit(True))
-        chain.append(F.when(candidate.isNotNull() & inside & open_above, candidate))
-        latest.append(candidate)
-    above = F.array_compact(F.array(F.lit(root).cast("long"), *chain))
-    path = F.concat(
-        F.lit("/"), F.array_join(F.array_append(F.col("ancestors"), here).cast("array<string>"), "/")
+    level = F.coalesce(F.nullif(F.col("level"), F.lit(0)), F.lit(1)).cast("long")
+    keys, pos = list(elements.keys), elements.pos
+    headings = elements.with_df(
+        elements.df.filter(heading).select(*keys, pos, F.col(id_col).cast("long").alias("__id"), level.alias("__level"))
     )
-    rows = rows.columns(ancestors=above)
-    rows = rows.columns(
-        parent_id=F.element_at("ancestors", -1), depth=F.size("ancestors"), path=path
+    above = open_headings(headings)
+    # a heading's record stands right before the heading itself
+    place = (F.col(pos) * 2).cast("long")
+    columns = elements.df.columns
+    marks = above.select(
+        *keys, place.alias("__p"), F.struct("__id", "__above").alias("__open"), F.lit(None).cast(elements.df.schema).alias("__row")
+    )
+    rows = elements.df.select(
+        *keys, (place + 1).alias("__p"), F.lit(None).cast(marks.schema["__open"].dataType).alias("__open"), F.struct(*columns).alias("__row")
+    )
+    both = Ordered(marks.unionByName(rows), elements.keys, "__p", 2 * elements.largest)
+    found = both.scan(__latest=last(F.col("__open"))).df.filter("__row is not null").select("__row.*", "__latest")
+    latest, trunk = F.col("__latest"), F.array(F.lit(root).cast("long"))
+    under = F.concat(trunk, latest["__above"])
+    own = F.when(heading, under).when(latest.isNotNull(), F.array_append(under, latest["__id"])).otherwise(trunk)
+    found = found.withColumn("ancestors", own)
+    steps = F.array_append(F.col("ancestors"), F.col(id_col)).cast("array<string>")
+    found = found.withColumns(
+        {
+            "parent_id": F.element_at("ancestors", -1),
+            "depth": F.size("ancestors"),
+            "path": F.concat(F.lit("/"), F.array_join(steps, "/")),
+        }
     )
-    return rows.with_df(rows.df.drop("__level", *[f"__h{v}" for v in levels]))
+    return elements.with_df(found.drop("__latest"))
 
 
 def heading_parents(elements: Ordered, id_col: str = "id", root: int = 0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillwork.functions.text import basename
 from quillwork.operators.ordered import last, number_rows
 from quillwork.operators.patterns import names_inside
+from quillwork.session import materialise
 
 BLOCK_ROWS = 1_000
 
@@ -227,32 +228,54 @@ def grant_all(permissions: DataFrame, role_id) -> DataFrame:
     return permissions.select(F.lit(role_id).alias("role_id"), *permissions.columns)
 
 
+FARTHEST = 1 << 52  # cells from zero, beyond which all cells count as one
+LEVEL_BITS = 3  # a level's intervals are so many times doubled from the level below
+
+
+def _cell(c: Column, height: float) -> Column:
+    """Whole number of the band that a coordinate lies in; keeps the order, NaN last as in comparisons."""
+    at = F.floor(F.least(F.greatest(c / F.lit(height), F.lit(-float(FARTHEST))), F.lit(float(FARTHEST))))
+    return F.when(F.isnan(c.cast("double")), F.lit(FARTHEST)).otherwise(at.cast("long"))
+
+
 def points_outside_boxes(
     blocks: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float = 64.0
 ) -> DataFrame:
     """Blocks whose centre lies in no box of the same page; edges count as inside.
 
-    Boxes are spread over the horizontal bands they touch and a centre falls in
-    one band, so that the join is on (page, band) and only neighbours meet.
+    Bands of height `cell` are the leaves of dyadic intervals. A box is filed under the
+    intervals of one level that cover it, the lowest whose intervals are as high as the
+    box: two at most, whatever its height. A centre is in one interval of every level
+    that boxes use, so each level is an equi join on (page, interval) of the centres
+    that are still free, and only boxes about as high as the interval meet there.
+    Boxes without an extent or with a null edge hold nothing; a block with a null edge
+    is in no box.
     """
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2
-    band = lambda c: F.floor(c / F.lit(cell)).cast("long")
-    points = blocks.withColumns({"__x": middle("x0", "x1"), "__y": middle("y0", "y1")})
-    points = points.withColumn("__band", band(F.col("__y")))
-    spread = boxes.select(
-        *on,
-        *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")],
-        F.explode(F.sequence(band(F.col("y0")), band(F.col("y1")))).alias("__band"),
-    )
+    edges = ("x0", "y0", "x1", "y1")
+    filed = boxes.select(*on, *[F.col(c).alias(f"__{c}") for c in edges]).where("__x0 <= __x1 and __y0 <= __y1")
+    low, high = _cell(F.col("__y0"), cell), _cell(F.col("__y1"), cell)
+    # the small addition makes up for a logarithm that is rounded down
+    level = F.ceil((F.log2(high - low + 1) + 0.01) / LEVEL_BITS) * LEVEL_BITS
+    level = F.when(high > low, level).otherwise(0).cast("int")
+    filed = filed.withColumns({"__low": low, "__high": high, "__level": level})
+    covering = F.array_distinct(F.array(F.expr("shiftright(__low, __level)"), F.expr("shiftright(__high, __level)")))
+    filed = materialise(filed.withColumn("__band", F.explode(covering)).drop("__low", "__high"))
+    # one row for each level, of which there are few
+    levels = sorted(r[0] for r in filed.select("__level").distinct().collect())
+
+    left = blocks.withColumns({"__x": middle("x0", "x1"), "__y": middle("y0", "y1")})
     within = F.col("__x").between(F.col("__x0"), F.col("__x1")) & F.col("__y").between(
         F.col("__y0"), F.col("__y1")
     )
-    p, b = points.alias("p"), spread.alias("b")
-    same = [F.col(f"p.{c}") == F.col(f"b.{c}") for c in [*on, "__band"]]
-    condition = within
-    for equal in same:
-        condition = equal & condition
-    return p.join(b, condition, "left_anti").drop("__x", "__y", "__band")
+    for at in levels:
+        p = left.withColumn("__at", F.shiftright(_cell(F.col("__y"), cell), at)).alias("p")
+        b = filed.where(F.col("__level") == at).alias("b")
+        condition = F.col("p.__at") == F.col("b.__band")
+        for c in on:
+            condition = condition & (F.col(f"p.{c}") == F.col(f"b.{c}"))
+        left = p.join(b, condition & within, "left_anti").drop("__at")
+    return left.drop("__x", "__y")
 
 
 def selected_members(df: DataFrame, listed: DataFrame, key: str, parent: str, parent_id) -> DataFrame:

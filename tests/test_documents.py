@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillwork.functions.text import SENTENCE_END
 from quillwork.operators.documents import (
@@ -15,7 +18,9 @@ from quillwork.operators.documents import (
     merge_paragraphs,
     running_header_detection,
 )
+from quillwork.operators.joins import points_outside_boxes
 from quillwork.operators.ordered import Ordered
+from quillwork.operators.stacks import merge, push
 from quillwork.plans.documents import assemble_document, map_document
 
 SCHEMA = "document_id long, order_index long, id long, page long, element_type string, level long, text string"
@@ -204,3 +209,66 @@ def test_a_cycle_of_parents_is_an_error(spark):
     nodes = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, None)], "document_id long, id long, parent_id long")
     with pytest.raises(ValueError, match="cycle"):
         materialise_paths(nodes)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(-3, 12), max_size=9), max_size=7))
+def test_stacks_merge(stretches):
+    whole, merged, n = ([], []), ([], []), 0
+    for levels in stretches:
+        own = ([], [])
+        for level in levels:
+            push(whole, level, n)
+            push(own, level, n)
+            n += 1
+        merged = merge(merged, own)
+        assert merged == whole
+
+
+def test_heading_tree_of_many_levels(spark, sizes):
+    """Ten thousand levels, downwards in the end, and documents with negative and missing levels."""
+    many = 10_000 if sizes == "whole" else 200
+    rng = random.Random(5)
+    rows = [(1, i, i + 1, 1, "heading", i + 1, "h") for i in range(60)]
+    rows += [(1, 60 + i, 61 + i, 1, "heading", rng.randrange(1, many) if i % 3 else many - i // 3, "h") for i in range(2 * many // 3)]
+    rows += [(2, i, i + 1, 1, "heading" if i % 2 else "paragraph", rng.choice([None, 0, -2, 3, 5]), "t") for i in range(40)]
+    seq = Ordered.of(spark.createDataFrame(rows, SCHEMA), ["document_id"], "order_index")
+    got = {(r.document_id, r.id): (r.parent_id, list(r.ancestors), r.depth) for r in heading_tree(seq).df.collect()}
+    assert len(got) == len(rows)
+    for doc, elements in _by_document(rows).items():
+        above = [(0, 0)]
+        for _, _, ident, _, kind, level, _ in elements:
+            if kind == "heading":
+                while len(above) > 1 and above[-1][0] >= (level or 1):
+                    above.pop()
+            trail = [i for _, i in above]
+            assert got[doc, ident] == (trail[-1], trail, len(trail))
+            if kind == "heading":
+                above.append((level or 1, ident))
+    assert heading_tree(seq.filter(F.lit(False))).df.isEmpty()
+
+
+@pytest.mark.parametrize("cell", [64.0, 0.5])
+def test_points_and_boxes_of_any_height(spark, cell):
+    rng = random.Random(9)
+    inf = float("inf")
+    boxes = [(1, x, y, x + rng.uniform(0, 90), y + h) for h in (0, 1, 30, 64, 500, 10_000) for _ in range(8)
+             for x, y in [(rng.uniform(-200, 200), rng.uniform(-900, 9_000))]]
+    boxes += [(2, 0.0, -1e9, 5.0, 1e9), (3, 0.0, -inf, 5.0, inf), (4, 0.0, 5.0, 9.0, 4.0), (5, 0.0, None, 9.0, 9.0), (6, 0.0, 1e18, 2.0, 1e19)]
+    points = [(rng.choice([1, 1, 2, 3, 4, 5, 6]), *(2 * [rng.uniform(-200, 200)]), *(2 * [rng.uniform(-900, 9_000)])) for _ in range(900)]
+    points = [(p, x, y, x2, y2) for p, x, x2, y, y2 in points]
+    points += [(2, 1.0, 1e9, 1.0, 1e9), (2, 1.0, 1e9 + 1, 1.0, 1e9 + 1), (3, 1.0, 1e300, 1.0, 1e300), (1, None, 1.0, 2.0, 3.0)]
+    points += [(6, 1.0, 2e18, 1.0, 2e18), (6, 1.0, 1e17, 1.0, 1e17), (1, 0.0, boxes[3][2], 0.0, boxes[3][2])]
+    schema = "page int, x0 double, y0 double, x1 double, y1 double"
+    got = points_outside_boxes(spark.createDataFrame(points, schema), spark.createDataFrame(boxes, schema), ["page"], cell)
+
+    def inside(p, b):
+        if None in p or None in b or p[0] != b[0]:
+            return False
+        x, y = (p[1] + p[3]) / 2, (p[2] + p[4]) / 2
+        return b[1] <= x <= b[3] and b[2] <= y <= b[4]
+
+    want = [p for p in points if not any(inside(p, b) for b in boxes)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert 200 < len(want) < len(points) - 50
+    assert points_outside_boxes(spark.createDataFrame(points, schema), spark.createDataFrame([], schema), ["page"]).count() == len(points)
