@@ -150,7 +150,8 @@ def _placed(sized: DataFrame, pack) -> DataFrame:
     numbered = number_rows(groups, ["total"], [F.col("h"), F.col("crc"), F.col("size")], "number", SLICED).df
     within = (F.col("number") >= F.col("first")) & (F.col("number") < F.col("end"))
     placed = numbered.join(runs, "total").where(within).select("h", "crc", "size", "shard")
-    return sized.join(placed, ["h", "crc", "size"])
+    # written, as dealing out by ranges reads its rows twice
+    return materialise(sized.join(placed, ["h", "crc", "size"]))
 
 
 def _slots(placed: DataFrame, key: str) -> DataFrame:
