@@ -5,8 +5,6 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from quillwork.functions.text import (
 )
 from quillwork.functions.vectors import BLANK_STD, BLURRED_VAR, DUPLICATE_MAD, vector_mad
 from quillwork.operators.filters import subsample_even
-from quillwork.operators.folds import fold_keep
+from quillwork.operators.folds import GapRule, TextRule, fold_keep
 from quillwork.operators.ordered import Ordered, lag, last, number_rows, total
 from quillwork.session import materialise
 
@@ -131,27 +129,6 @@ def build_question(runs: Ordered) -> DataFrame:
 # ---- folds against the last kept row ---------------------------------------
 
 
-def _vectors(column: pa.ChunkedArray) -> list:
-    """Arrow lists -> numpy rows, None where missing."""
-    return [None if v is None else np.asarray(v, "float64") for v in column.to_pylist()]
-
-
-def _mad_fold(limit: float):
-    def gap(a, b) -> float:
-        return 1.0 if a is None or b is None else float(np.abs(a - b).mean())
-
-    def fold(values: list, entry: list) -> np.ndarray:
-        keep = np.zeros(len(values), bool)
-        base = np.asarray(entry[0], "float64") if entry else None
-        for i, value in enumerate(values):
-            if base is not None and gap(value, base) <= limit:
-                continue
-            keep[i], base = True, value
-        return keep
-
-    return fold
-
-
 def flag_near_duplicates(
     rows: Ordered, vector: str = "signature", limit: float = DUPLICATE_MAD, flag: str = "is_duplicate"
 ) -> DataFrame:
@@ -159,9 +136,7 @@ def flag_near_duplicates(
 
     A missing vector is always kept and leaves no baseline for the next row.
     """
-    kept = fold_keep(
-        rows, vector, _mad_fold(limit), "__kept", usable=lambda v: v is not None, decode=_vectors
-    )
+    kept = fold_keep(rows, vector, GapRule(limit), "__kept")
     return kept.withColumn(flag, ~F.col("__kept")).drop("__kept")
 
 
@@ -193,19 +168,6 @@ def _similar(a: str, b: str, limit: float) -> bool:
     return sequence_ratio(a, b) >= limit
 
 
-def _text_fold(limit: float, collapse_empty: bool):
-    def fold(values: list, entry: list) -> np.ndarray:
-        keep = np.zeros(len(values), bool)
-        base = entry[0] if entry else None
-        for i, value in enumerate(values):
-            apart = base is None or (not collapse_empty and not value and not base)
-            if apart or not _similar(value, base, limit):
-                keep[i], base = True, value
-        return keep
-
-    return fold
-
-
 def keep_on_text_change(
     rows: Ordered,
     text: str = "ocr_text",
@@ -225,7 +187,8 @@ def keep_on_text_change(
         kept = ~norm.eqNullSafe(F.col("__before"))
         kept = kept if collapse_empty else kept | (norm == "")
         return marked.filter(kept).drop("__norm", "__before")
-    folded = fold_keep(rows, "__norm", _text_fold(limit, collapse_empty), "__kept")
+    rule = TextRule(lambda a, b: _similar(a, b, limit), collapse_empty)
+    folded = fold_keep(rows, "__norm", rule, "__kept")
     return folded.filter("__kept").drop("__norm", "__kept")
 
 

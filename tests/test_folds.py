@@ -6,8 +6,14 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillwork.operators import folds, pointers
+from quillwork.operators.folds import GapRule
 from quillwork.operators.ordered import Ordered
 from quillwork.operators.sequence import (
     flag_near_duplicates,
@@ -16,6 +22,7 @@ from quillwork.operators.sequence import (
     quality_filters,
     scene_changes,
 )
+from quillwork.session import FOLD_ROWS, materialise
 
 VECTORS = "k string, pos long, signature array<double>, sharpness double, pixel_std double"
 
@@ -149,3 +156,70 @@ def test_result_does_not_depend_on_partitioning(spark):
         seq = Ordered.of(df.orderBy(F.rand(n)).repartition(n), ["k"], "pos")
         results.append(sorted((r.k, r.pos) for r in flag_near_duplicates(seq).filter("is_duplicate").collect()))
     assert results[0] == results[1] == results[2]
+
+
+def _kept(rows, limit):
+    return {(g[0][0], g[0][1]) for groups in _groups(rows, limit).values() for g in groups}
+
+
+def _drift(seed: int):
+    """Keys whose folds never meet, or only late: slow drifts, with still scenes, noise and gaps between."""
+    rng = random.Random(seed)
+    rows = [("slow", i, [0.005 * i], 0.0, 9.0) for i in range(400)]
+    value = 0.0
+    for i in range(500):
+        value += 0.0 if 120 <= i < 330 else 0.005
+        rows.append(("still", i, [value, value], 0.0, 9.0))
+    for i in range(300):
+        vector = None if i in (90, 91, 250) else [0.005 * i + (rng.uniform(-0.001, 0.001) if i > 150 else 0.0)]
+        rows.append(("noisy", i, vector, 0.0, 9.0))
+    rows += [("short", i, [0.1 * i], 0.0, 9.0) for i in range(4)]
+    rows += [("same", i, [0.5], 0.0, 9.0) for i in range(200)]
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_slow_drift_is_settled_by_pointers(spark, monkeypatch, rounds):
+    monkeypatch.setattr(folds, "ROUNDS", rounds)
+    tables = []
+    monkeypatch.setattr(pointers, "materialise", lambda df: tables.append(1) or materialise(df))
+    rows = _drift(1)
+    seq = Ordered.of(spark.createDataFrame(rows, VECTORS), ["k"], "pos")
+    spark.conf.set(FOLD_ROWS, "10")
+    try:
+        got = {(r.k, r.pos) for r in flag_near_duplicates(seq).filter("not is_duplicate").collect()}
+    finally:
+        spark.conf.unset(FOLD_ROWS)
+    assert got == _kept(rows, 0.012)
+    # 50 chunks: some tables for each of their six doublings, not one for each chunk
+    assert 0 < len(tables) < 45
+
+
+def test_slow_change_of_text_by_pointers(spark, monkeypatch):
+    monkeypatch.setattr(folds, "ROUNDS", 0)
+    rng = random.Random(3)
+    letters, texts = list("abcdefghijklmnopqrstuvwxyz"), []
+    for i in range(160):
+        if i % 2 == 0 and not 60 <= i < 110:
+            letters[rng.randrange(26)] = rng.choice("0123456789")
+        texts.append("" if i in (30, 31, 140) else "".join(letters))
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "k string, pos long, ocr_text string")
+    seq = Ordered.of(df, ["k"], "pos")
+    spark.conf.set(FOLD_ROWS, "8")
+    try:
+        for collapse in (True, False):
+            got = sorted(r.pos for r in keep_on_text_change(seq, collapse_empty=collapse).collect())
+            assert got == _text_change(texts, 0.85, collapse)
+    finally:
+        spark.conf.unset(FOLD_ROWS)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.integers(0, 6), min_size=2, max_size=2), max_size=25))
+def test_successors_of_vectors(vectors):
+    rule = GapRule(1.0)
+    values = rule.decode(pa.array(vectors, pa.list_(pa.float64())))
+    plain = [None if v is None else np.array(v, float) for v in vectors]
+    for i, after in enumerate(rule.successors(values).tolist()):
+        kept = (j for j in range(i + 1, len(plain)) if plain[i] is None or plain[j] is None or np.abs(plain[i] - plain[j]).mean() > 1)
+        assert after == next(kept, len(plain))
