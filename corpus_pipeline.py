@@ -21,8 +21,35 @@ LANGUAGE_WEIGHTS = {"en": 0.55, "fr": 0.18, "de": 0.17, "es": 0.10}  # shares of
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    scored = quality.score_quality(docs, model, name="__score")
-    return scored.where(F.col("__score") >= REJECT_BELOW).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = _free_name(docs, "score")
+    scored = quality.score_quality(docs, model, name=score)
+    return scored.where(F.col(score) >= REJECT_BELOW).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a long that tells different texts under one id apart, called `name`; null without an id.
+
+    It is the id itself for one text of an id, and a number above 2^62 for its others, of which there are few.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").select("doc_id", text.alias("h")).distinct().groupBy("doc_id")
+    several = several.agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1")
+    several = materialise(several.select(F.col("doc_id").alias("id"), "least"))
+    if several.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    late = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2) + F.lit(1 << 62)
+    several = several.select(F.col("id").alias(f"{name}_id"), F.col("least").alias(f"{name}_least"))
+    keyed = docs.join(several, F.col("doc_id") == F.col(f"{name}_id"), "left")
+    number = F.when(text != F.col(f"{name}_least"), late).otherwise(F.col("doc_id").cast("long"))
+    return materialise(keyed.withColumn(name, number).drop(f"{name}_id", f"{name}_least"))
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    """`name`, longer where `docs` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +57,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Different texts under one id are documents of their own. Rows without an id stay.
     """
-    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
-    named = docs.where("doc_id is not null").withColumn("__node", F.struct("doc_id", digest.alias("digest")))
-    kept = minhash.near_duplicates(named.select("__node", "text"), "__node").where("kept").select("__node").distinct()
-    once = named.join(kept, "__node", "left_semi").dropDuplicates(["__node"])
+    node = _free_name(docs, "node")
+    named = _numbered(docs.where("doc_id is not null"), node)
+    kept = minhash.near_duplicates(named.select(node, "text"), node).where("kept").select(node).distinct()
+    once = named.join(kept, node, "left_semi").dropDuplicates([node])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
@@ -42,18 +69,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of different texts under one id, one stands in the id's place and the others come after all ids.
     """
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = docs.where("doc_id is not null").select("doc_id", text.alias("h")).distinct().groupBy("doc_id")
-    several = several.agg(F.min("h").alias("__least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    several = materialise(several.withColumnRenamed("doc_id", "__id"))
-    if several.isEmpty():
-        cut = suffixes.drop_repeats(docs)
-    else:
-        late = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2) + F.lit(1 << 62)
-        keyed = docs.join(several, F.col("doc_id") == F.col("__id"), "left")
-        keyed = keyed.withColumn("__key", F.when(text != F.col("__least"), late).otherwise(F.col("doc_id").cast("long")))
-        keyed = materialise(keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "__key"))
-        cut = suffixes.drop_repeats(keyed, "__key").drop("__key")
+    key = _free_name(docs, "key")
+    cut = suffixes.drop_repeats(_numbered(docs, key), key).drop(key)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
