@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import query
+from quillwork.functions.aggregates import register_aggregates
 from quillwork.functions.text import clean_lines
 from quillwork.operators.inference import batch_infer, explode_lines, register_functions, sequence_ratio, session_status
 from quillwork.operators.ordered import lag
@@ -93,6 +94,25 @@ def _(t):
     )
 
 
+@query(
+    "k5_first_seen_lines_sql",
+    """SELECT source, string_agg(line, chr(10) ORDER BY doc_id, line_no) AS text, count(*) AS n FROM (
+      SELECT source, doc_id, line_no, trim(line) AS line,
+        row_number() OVER (PARTITION BY source, lower(trim(line)) ORDER BY doc_id, line_no) AS turn
+      FROM lines JOIN documents USING (doc_id) WHERE trim(line) <> '') WHERE turn = 1 GROUP BY source""",
+)
+def _(t):
+    """In two steps, so that no task gathers the texts of a source."""
+    register_aggregates(t.spark)
+    t.documents.select("source", "doc_id", "text").createOrReplaceTempView("k5_documents")
+    return t.spark.sql(
+        """SELECT source, array_join(lines, chr(10)) AS text, CAST(size(lines) AS BIGINT) AS n FROM (
+          SELECT source, first_seen_merge(part) AS lines FROM (
+            SELECT source, first_seen_part(doc_id, text) AS part FROM k5_documents GROUP BY source, doc_id DIV 100)
+          GROUP BY source)"""
+    )
+
+
 @query("k6_sequence_ratio")
 def _(t):
     rows = t.frames.scan(before=lag(F.col("ocr_text"))).df.filter("before is not null")

@@ -6,21 +6,34 @@ from pyspark.sql import functions as F
 
 from queries.base import query
 from quillwork.operators import filters as ops
+from quillwork.operators.paging import PageIndex
 
 
 @query(
     "g1_page",
     """SELECT book_code, class_level, title, (SELECT count(*) FROM books WHERE downloaded) AS total
-    FROM books WHERE downloaded ORDER BY class_level, subject, title, book_code LIMIT 50 OFFSET 100""",
+    FROM books WHERE downloaded ORDER BY class_level, subject, title, book_code LIMIT 50 OFFSET 10""",
 )
 def _(t):
     books = t.books.filter("downloaded")
     order = [F.col("class_level"), F.col("subject"), F.col("title")]
-    return ops.page(books, order, "book_code", limit=50, offset=100).select(
+    return ops.page(books, order, "book_code", limit=50, offset=10).select(
         "book_code", "class_level", "title", "total"
     )
 
 
+@query(
+    "g1_page_deep",
+    """SELECT l_orderkey, l_linenumber, l_shipdate, n AS total FROM (
+      SELECT *, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) - 1 AS place, count(*) OVER () AS n
+      FROM lineitem) WHERE place >= n * 9 // 10 AND place < n * 9 // 10 + 200""",
+)
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    index = PageIndex.of(rows, [F.desc("l_shipdate")], ["l_orderkey", "l_linenumber"])
+    return index.page(200, index.total * 9 // 10)
+
+
 @query("g2_newest", "SELECT id, status FROM jobs ORDER BY id DESC LIMIT 20")
 def _(t):
     return ops.newest(t.jobs, 20).select("id", "status")

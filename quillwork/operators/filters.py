@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import strip
 from quillwork.operators.ordered import number_rows
+from quillwork.operators.paging import PAGE_LIMIT as PAGE_LIMIT
+from quillwork.operators.paging import PageIndex, checked, total_order
 
-PAGE_LIMIT = 200  # largest page that may be asked for
+SHALLOW = 10_000  # rows before a page that are gathered with it
 
 
 def _all(conditions: Iterable[Column]) -> Column:
@@ -126,16 +128,19 @@ def uniqueness_check(
 
 
 def page(
-    df: DataFrame, order: Sequence[Column], key: str, limit: int = 50, offset: int = 0
+    df: DataFrame, order: Sequence[Column], key: str | Sequence[str], limit: int = 50, offset: int = 0
 ) -> DataFrame:
     """One page in a total order (`key` breaks ties) with the count before paging.
 
-    A limit outside 1 to `PAGE_LIMIT`, or a negative offset, is an error.
+    The rows before the page are gathered with it, so a deep page is read from a
+    `PageIndex`: both give the same rows. A limit outside 1 to `PAGE_LIMIT`, or a
+    negative offset, is an error.
     """
-    if not 1 <= limit <= PAGE_LIMIT or offset < 0:
-        raise ValueError(f"limit must be 1 to {PAGE_LIMIT} and offset 0 or more, not {limit} and {offset}")
+    checked(limit, offset)
+    if offset > SHALLOW:
+        return PageIndex.of(df, order, key).page(limit, offset)
     found = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*order, key).offset(offset).limit(limit)
+    rows = df.orderBy(*total_order(order, key)).offset(offset).limit(limit)
     return rows.withColumn("total", found)
 
 

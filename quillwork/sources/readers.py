@@ -250,11 +250,31 @@ def parse_commit_log(lines: DataFrame, order: Column, limit: int | None = None)
     return parsed.limit(limit) if limit else parsed
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value) of the lines of a file, or of the files of a folder by their names.
+
+    Large files are read in pieces by many tasks. A piece numbers its own lines, and the
+    lines of the pieces before it, of which only the counts are gathered, come on top.
+    """
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
+        "value",
+    )
+    piece = ["__file", "__block"]
+    counts = lines.groupBy(*piece).count()
+    # one row for each piece of a file; an order over all of them
+    earlier = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*piece, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__start"))
+    local = F.row_number().over(Window.partitionBy(*piece).orderBy("__at")) - 1
+    placed = lines.withColumn("__local", local).join(starts, piece)
+    return placed.select((F.col("__start") + F.col("__local")).alias("seq"), "value")
+
+
 def scan_commit_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A log file, written newest first."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    return parse_commit_log(lines, F.asc("seq"), limit)
+    """A log written newest first: a file, or a folder of files in the order of their names."""
+    return parse_commit_log(numbered_lines(spark, path), F.asc("seq"), limit)
 
 
 def scan_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -263,16 +283,6 @@ def scan_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def scan_jdbc(
-    spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str
-) -> DataFrame:
-    """A relational table read in `parts` key ranges; the driver jar is the user's."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    return reader.options(
-        partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts
-    ).load()
-
-
 def normalise_search_results(
     df: DataFrame, entries: str = "entries", canonical: str = "https://www.youtube.com/watch?v="
 ) -> DataFrame:
