@@ -21,11 +21,11 @@ def _(t):
 @query(
     "j2_stream_keep_on_change",
     """SELECT user_id, ts, event_id, event_type FROM events
-    QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type
-      AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type""",
 )
 def _(t):
-    return ops.drain(ops.stream_keep_on_change(_events(t), "user_id", "ts", "event_id", "event_type"))
+    columns = ("user_id", "ts", "event_id", "event_type")
+    return ops.drain(ops.stream_keep_on_change(_events(t), *columns), rest=ops.rest_of_changes(*columns))
 
 
 @query(
@@ -40,33 +40,32 @@ def _(t):
 @query(
     "j4_stream_status_counts",
     """SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n
-    FROM (SELECT date_trunc('day', ts) AS s, event_type FROM events) GROUP BY s, event_type
-    HAVING s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    FROM (SELECT date_trunc('day', ts) AS s, event_type FROM events) GROUP BY s, event_type""",
 )
 def _(t):
-    return ops.drain(ops.stream_status_counts(_events(t), "ts", "event_type", "1 day"))
+    return ops.drain(ops.stream_status_counts(_events(t), "ts", "event_type", "1 day"), rest=ops.rest_of_counts("event_type"))
 
 
 @query(
     "j4_stream_sliding_counts",
     """SELECT s AS window_start, s + INTERVAL 2 DAY AS window_end, event_type, count(*) AS n FROM (
       SELECT event_type, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS s FROM events)
-    GROUP BY ALL HAVING window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    GROUP BY ALL""",
 )
 def _(t):
-    return ops.drain(ops.stream_status_counts(_events(t), "ts", "event_type", "2 days", "1 day"))
+    return ops.drain(ops.stream_status_counts(_events(t), "ts", "event_type", "2 days", "1 day"), rest=ops.rest_of_counts("event_type"))
 
 
 @query(
     "j4_stream_session_counts",
     """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n FROM (
       SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
-        SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 2 HOUR)::INTEGER AS fresh0,
+        SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR)::INTEGER AS fresh0,
           coalesce(fresh0, 1) AS fresh FROM events))
-    GROUP BY user_id, g HAVING session_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    GROUP BY user_id, g""",
 )
 def _(t):
-    return ops.drain(ops.stream_session_counts(_events(t), "ts", "user_id", "2 hours"))
+    return ops.drain(ops.stream_session_counts(_events(t), "ts", "user_id", "2 hours"), rest=ops.rest_of_sessions("user_id"))
 
 
 @query(

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillwork.operators.upkeep import upsert_catalog
-from quillwork.session import scratch
+from quillwork.session import materialise, scratch
 from quillwork.sources.readers import corpus_columns
 
 
@@ -41,15 +40,32 @@ def stream_corpus(spark: SparkSession, path: str, types: Sequence[str]) -> DataF
     return corpus_columns(reader.option("recursiveFileLookup", True).load(path), types)
 
 
-def drain(stream: DataFrame, mode: str = "append", home: str | None = None) -> DataFrame:
-    """Run over all new input, through a file sink, and read all results so far."""
+def drain(
+    stream: DataFrame, mode: str = "append", home: str | None = None, rest: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Run over all new input, through a file sink, and read all results so far.
+
+    With `rest`, the results end with the input: what the state still holds back for
+    rows that might come is read from the state, not taken out of it, and `rest` makes
+    results of it. A later run over new input goes on from the state as it is.
+    """
     spark = stream.sparkSession
     home = home or scratch(spark, "stream")
     out, state = f"{home}/sink", f"{home}/state"
     writer = stream.writeStream.format("parquet").outputMode(mode)
     query = writer.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    done = spark.read.schema(stream.schema).parquet(out)
+    if rest is None or not _finished(spark, f"{state}/commits/*"):
+        return done
+    return done.unionByName(rest(spark.read.format("statestore").option("path", state)).select(*stream.columns))
+
+
+def _finished(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match `pattern`, on any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [f.getPath().toString() for f in found]
 
 
 def drain_batches(
@@ -64,63 +80,110 @@ def drain_batches(
 # ---- keep on change ---------------------------------------------------------
 
 
+class _Changes(StatefulProcessor):
+    """Rows of a key wait in a list until a timer says that the watermark has passed the first of them."""
+
+    def __init__(self, key: str, tie: T.DataType, value: T.DataType) -> None:
+        self.key = key
+        self.row = T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", tie), T.StructField("value", value)])
+        self.last = T.StructType([T.StructField("known", T.BooleanType()), T.StructField("value", value)])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.row)
+        self.kept = handle.getValueState("kept", self.last)
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
+
+    def _wake(self, at: int) -> None:
+        """A timer behind the row at `at`, unless an earlier one is set."""
+        due = at // 1000 + 1
+        before = self.timer.get()
+        if before is not None and before[0] <= due:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [(r["at"], r["tie"], r["value"]) for r in rows if r["at"] is not None and r["at"] >= mark]
+        if fresh:
+            self.held.appendList(fresh)
+            self._wake(min(r[0] for r in fresh))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[0], r[1] is not None, r[1]))
+        ready = [r for r in rows if r[0] < mark]
+        rest = rows[len(ready) :]
+        kept = self.kept.get() if self.kept.exists() else (False, None)
+        known, value = kept
+        out = []
+        for at, tie, new in ready:
+            if not known or new != value:
+                known, value = True, new
+                out.append(Row(**{"key": key[0], "at": at, "tie": tie, "value": new}))
+        if ready:
+            self.kept.update((known, value))
+        self.held.clear()
+        self.timer.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(rest[0][0])
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_keep_on_change(
     stream: DataFrame, key: str, ts: str, tie: str, value: str, delay: str = "1 hour"
 ) -> DataFrame:
     """Rows whose value differs from the last *emitted* one of their key.
 
-    Input may be out of order within `delay`: rows wait in state until the
-    watermark passes them and are then judged in (ts, tie) order; rows later
-    than the watermark are dropped. Emits (key, ts, tie, value).
+    Input may be out of order within `delay`: rows wait in a list state until a timer
+    tells that the watermark has passed them and are then judged in (ts, tie) order;
+    rows later than the watermark, or without a time, are dropped. Emits (key, ts, tie,
+    value). `rest_of_changes` completes the results where the input ends.
 
-    Every decision hangs on the one before, so a key is judged in one place. Its
-    state is a window of `delay`, not its history, and what arrives at once is
-    bounded by the files per batch.
+    Every decision hangs on the one before, so a key is judged in one place. Its state
+    is a window of `delay`, not its history, to which a batch only appends.
     """
-    out = T.StructType([stream.schema[c] for c in (key, ts, tie, value)])
-    state_schema = T.StructType(
-        [
-            T.StructField("known", T.BooleanType()),
-            T.StructField("kept", stream.schema[value].dataType),
-            T.StructField("at", T.ArrayType(T.LongType())),
-            T.StructField("tie", T.ArrayType(stream.schema[tie].dataType)),
-            T.StructField("value", T.ArrayType(stream.schema[value].dataType)),
-        ]
+    kinds = [stream.schema[c].dataType for c in (key, tie, value)]
+    rows = stream.withWatermark(ts, delay).select(
+        F.col(key).alias("key"), ts, F.unix_micros(ts).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value")
     )
-
-    def judge(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.getCurrentWatermarkMs() * 1000
-        known, kept, *held = state.get if state.exists else (False, None, [], [], [])
-        rows = list(zip(*held))
-        if not state.hasTimedOut:
-            for pdf in batches:
-                micros = pdf[ts].astype("datetime64[us]").astype("int64")
-                # pandas turns a null number into NaN, which differs from itself
-                fresh = zip(micros, pdf[tie], pdf[value].astype(object).where(pdf[value].notna(), None))
-                rows += [r for r in fresh if r[0] >= mark]
-        rows.sort(key=lambda r: r[:2])
-        emitted = []
-        while len(emitted) < len(rows) and rows[len(emitted)][0] < mark:
-            emitted.append(rows[len(emitted)])
-        rest, changed = rows[len(emitted) :], []
-        for row in emitted:
-            if not known or row[2] != kept:
-                known, kept = True, row[2]
-                changed.append((group[0], *row))
-        at, ties, values = (list(c) for c in zip(*rest)) if rest else ([], [], [])
-        state.update((known, kept, at, ties, values))
-        if rest:
-            state.setTimeoutTimestamp(max(at[0] // 1000, mark // 1000) + 1)
-        pdf = pd.DataFrame(changed, columns=out.names)
-        pdf[ts] = pd.to_datetime(pdf[ts], unit="us")
-        yield pdf
-
-    rows = stream.select(key, ts, tie, value).withWatermark(ts, delay)
-    return rows.groupBy(key).applyInPandasWithState(
-        judge, out, state_schema, "append", "EventTimeTimeout"
+    out = T.StructType([T.StructField("key", kinds[0]), T.StructField("at", T.LongType()),
+                        T.StructField("tie", kinds[1]), T.StructField("value", kinds[2])])
+    judge = _Changes(key, kinds[1], kinds[2])
+    changed = rows.groupBy("key").transformWithState(judge, out, "append", "EventTime")
+    return changed.select(
+        F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("tie").alias(tie), F.col("value").alias(value)
     )
 
 
+def rest_of_changes(key: str, ts: str, tie: str, value: str) -> Callable:
+    """For `drain`: the changes among the rows that `stream_keep_on_change` still holds."""
+
+    def rest(state) -> DataFrame:
+        held = state.option("stateVarName", "held").option("flattenCollectionTypes", "true").load()
+        held = held.select("key.key", "list_element.*", F.lit(True).alias("held"))
+        kept = state.option("stateVarName", "kept").load().where("value.known")
+        kept = kept.select("key.key", F.lit(None).cast("long").alias("at"), F.lit(None).cast(held.schema["tie"].dataType).alias("tie"),
+                           "value.value", F.lit(False).alias("held"))
+        # a row equal to the one before it is never emitted, so the last emitted value is that of the row before
+        order = Window.partitionBy("key").orderBy(F.asc_nulls_first("at"), F.asc_nulls_first("tie"))
+        rows = held.unionByName(kept).withColumn("before", F.lag(F.struct("value")).over(order))
+        changed = F.col("before").isNull() | ~F.col("value").eqNullSafe(F.col("before.value"))
+        return rows.where(F.col("held") & changed).select(
+            F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("tie").alias(tie), F.col("value").alias(value)
+        )
+
+    return rest
+
+
 # ---- stateless and windowed -------------------------------------------------
 
 
@@ -140,6 +203,20 @@ def stream_status_counts(
     )
 
 
+def rest_of_counts(status: str) -> Callable:
+    """For `drain`: counts of the windows that `stream_status_counts` has not completed."""
+
+    def rest(state) -> DataFrame:
+        rows = state.load().select("key.*", "value.*")
+        window, _, count = rows.columns
+        return rows.select(
+            F.col(f"{window}.start").alias("window_start"), F.col(f"{window}.end").alias("window_end"),
+            F.col(status), F.col(count).alias("n"),
+        )
+
+    return rest
+
+
 def stream_session_counts(
     stream: DataFrame, ts: str, key: str, gap: str, delay: str = "1 hour"
 ) -> DataFrame:
@@ -151,40 +228,110 @@ def stream_session_counts(
     )
 
 
+def rest_of_sessions(key: str) -> Callable:
+    """For `drain`: the sessions that `stream_session_counts` holds open."""
+
+    def rest(state) -> DataFrame:
+        rows = state.load().select("value.*")
+        window, count = rows.columns[0], rows.columns[-1]
+        return rows.select(
+            F.col(key), F.col(f"{window}.start").alias("session_start"), F.col(f"{window}.end").alias("session_end"),
+            F.col(count).alias("n"),
+        )
+
+    return rest
+
+
+# ---- upserts ----------------------------------------------------------------
+
+
+class BucketTable:
+    """A table of versions in the folder `root`: rows in buckets by their key, a manifest for each version.
+
+    A manifest says in which version each bucket was written last. A new version writes
+    only the buckets it touches and a manifest, so its bytes follow the change and not the
+    table. The last two versions can be read; buckets that neither has are removed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root, schema, key, buckets
+
+    def versions(self) -> list[int]:
+        """Numbers of the finished versions."""
+        found = _finished(self.spark, f"{self.root}/manifest/v=*/_SUCCESS")
+        return sorted(int(f.split("/v=")[-1].split("/")[0]) for f in found)
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """Bucket -> version that wrote it; one entry for each bucket that has rows."""
+        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.root}/manifest/v={version}")
+        return {r.bucket: r.version for r in rows.collect()}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast(self.schema[self.key].dataType)), F.lit(self.buckets)).cast("int")
+
+    def _path(self, version: int, bucket: int) -> str:
+        return f"{self.root}/data/v={version}/bucket={bucket}"
+
+    def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """A version, the last one without a number; only some buckets of it if asked for."""
+        held = self.manifest(self.versions()[-1] if version is None else version)
+        paths = [self._path(v, b) for b, v in sorted(held.items()) if buckets is None or b in buckets]
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, version: int, rows: DataFrame, before: int | None = None) -> None:
+        """A version that has `rows` in place of what their buckets held in `before`; written again, it is the same."""
+        held = {} if before is None else self.manifest(before)
+        dealt = rows.select(*self.schema.names).withColumn("bucket", self.bucket()).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={version}")
+        written = _finished(self.spark, f"{self.root}/data/v={version}/bucket=*")
+        held.update((int(f.rsplit("=", 1)[1]), version) for f in written)
+        listed = self.spark.createDataFrame(sorted(held.items()), "bucket int, version long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Remove what is in neither of the last two versions; the one before the last may have to be built on again."""
+        kept = self.versions()[-2:]
+        held = {(v, b) for version in kept for b, v in self.manifest(version).items()}
+        gone = [f"{self.root}/manifest/v={v}" for v in self.versions() if v < kept[0]]
+        for path in _finished(self.spark, f"{self.root}/data/v=*/bucket=*"):
+            version, bucket = (int(x.split("=")[1]) for x in path.split("/")[-2:])
+            if version < kept[-1] and (version, bucket) not in held:
+                gone.append(path)
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stream_upsert(
     stream: DataFrame, target: DataFrame, key: str, order: str, overwrite: Sequence[str], defaults,
-    home: str | None = None,
+    home: str | None = None, buckets: int = 64,
 ) -> DataFrame:
-    """Upsert every micro-batch into a table of versions, one folder per batch.
+    """Upsert every micro-batch into a `BucketTable`, one version per batch. Returns the last version.
 
-    A batch reads the version before it and writes its own, named by the batch
-    id, so that a batch run twice gives the same table. Returns the last version.
-    With a `home` that holds versions already, `target` is not read again.
+    A batch reads and writes only the buckets of its keys. It builds on the version before
+    its own number, so that a batch run twice gives the same table. With a `home` that
+    holds versions already, `target` is not read again; `buckets` must not change.
     """
     spark = stream.sparkSession
     home = home or scratch(spark, "stream")
-    root = f"{home}/versions"
-    if not _versions(spark, root):
-        target.write.mode("overwrite").parquet(f"{root}/v=-1")
+    table = BucketTable(spark, f"{home}/table", target.schema, key, buckets)
+    if not table.versions():
+        table.write(-1, target)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = max(v for v in _versions(spark, root) if v < batch_id)
-        current = batch.sparkSession.read.schema(target.schema).parquet(f"{root}/v={before}")
+        own = BucketTable(batch.sparkSession, table.root, table.schema, key, buckets)
+        before = max(v for v in own.versions() if v < batch_id)
         newest = F.max_by(F.struct(*batch.columns), order).alias("__row")
-        latest = batch.groupBy(key).agg(newest).select("__row.*")
-        merged = upsert_catalog(current, latest, key, overwrite, defaults)
-        merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        latest = materialise(batch.groupBy(key).agg(newest).select("__row.*"))
+        # at most one row for each bucket
+        touched = [r[0] for r in latest.select(own.bucket()).distinct().collect()]
+        merged = upsert_catalog(own.read(before, touched), latest, key, overwrite, defaults)
+        own.write(batch_id, merged, before)
 
     drain_batches(stream, each, home=home)
-    return spark.read.schema(target.schema).parquet(f"{root}/v={max(_versions(spark, root))}")
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the finished versions under `root`."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(path(f"{root}/v=*/_SUCCESS")) or []
-    return [int(f.getPath().getParent().getName().removeprefix("v=")) for f in found]
+    return table.read()
 
 
 def stream_notifications(stream: DataFrame, status: str, terminal: dict[str, str]) -> DataFrame:
