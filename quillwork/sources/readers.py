@@ -195,9 +195,10 @@ def scan_markdown_docs(
     path: str,
     exclude_names: Sequence[str] = ("INDEX.md",),
     exclude_trees: Sequence[str] = (),
+    pattern: str = "*.md",
 ) -> DataFrame:
-    """(path, relative, text) of all Markdown files but the excluded ones."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
+    """(path, relative, text) of all Markdown files but the excluded ones; `pattern` is what their names look like."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     root = path.rstrip("/").removeprefix("file:")
     relative = F.substring_index(F.col("path"), root + "/", -1)
     docs = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
