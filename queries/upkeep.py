@@ -8,7 +8,7 @@ from queries.base import query, rounded
 from queries.joins import COST
 from quillwork.operators import upkeep as ops
 from quillwork.operators.inference import run_ledger
-from quillwork.plans.research import render_report_json, report_fields, report_lines
+from quillwork.plans import report
 from quillwork.sources import writers
 
 
@@ -70,20 +70,30 @@ def _(t):
     return writers.table_rows(t.questions)
 
 
-def _report(t):
+def _session(t) -> report.Session:
     """Half of the sessions have a consensus, a quarter one with a timeline."""
-    first = F.min_by(F.struct("value", "source_label"), F.struct("document_id", "pos")).alias("f")
-    primary = t.facts.groupBy("session_id").agg(first).select(
-        "session_id", F.col("f.value").alias("summary"),
-        F.array("f.source_label").alias("recommendations"), F.array(F.lit("own step")).alias("timeline"),
+    facts = t.facts.withColumn("confidence", F.lit(0.5))
+    first = F.min_by("value", "pos").alias("summary")
+    rows = facts.groupBy("session_id", "document_id", "source_label").agg(first)
+    none = F.array().cast("array<string>")
+    sources = rows.select(
+        "session_id", "document_id", F.col("document_id").alias("index"), F.col("source_label").alias("title"),
+        F.lit("").alias("url"), "source_label", "summary", F.array("source_label").alias("recommendations"),
+        none.alias("warnings"), none.alias("mistakes"), F.array(F.lit('{"step":"1","label":"own step"}')).alias("timeline"),
     )
-    consensus = primary.filter("session_id % 2 = 0").select(
-        "session_id", F.concat(F.lit("agreed "), F.col("session_id").cast("string")).alias("executive_summary"),
-        F.lit("{}").alias("recommendation"), F.array(F.lit("conflict")).alias("conflicts"),
-        F.when(F.col("session_id") % 4 == 0, F.array(F.lit("joint step")))
-        .otherwise(F.array().cast("array<string>")).alias("timeline"),
+    n = F.col("session_id").cast("string")
+    times = F.when(F.col("session_id") % 4 == 0, ', "timeline": [{"label": "joint step"}]').otherwise("")
+    content = F.concat(
+        F.lit('{"executive_summary": "agreed '), n, F.lit('", "recommendation": {}, "conflicting_advice": [{"topic": "t"}]'), times, F.lit("}")
+    )
+    named = facts.select("session_id").distinct()
+    consensus = named.where("session_id % 2 = 0").select("session_id", F.lit(0).cast("long").alias("part"), content.alias("content"))
+    sessions = named.withColumns({c: F.lit(c) for c in report.SESSION_FIELDS})
+    entities = facts.select(
+        "session_id", "document_id", "pos", "source_label", F.col("source_label").alias("name"), F.lit("source").alias("type"),
+        "category", "confidence",
     )
-    return report_fields(consensus, primary)
+    return report.Session(sessions, sources, facts, entities, consensus)
 
 
 @query(
@@ -97,38 +107,67 @@ def _report(t):
       FROM facts GROUP BY ALL)""",
 )
 def _(t):
-    report = F.col("report")
-    get = lambda p: F.get_json_object(report, p)
-    return render_report_json(_report(t)).select(
-        "session_id", get("$.executive_summary").alias("summary"), get("$.timeline[0]").alias("step"),
-        F.json_array_length(get("$.conflicts")).cast("long").alias("conflicts"),
-        F.get_json_object(get("$.recommendation"), "$.steps[0]").alias("advice"),
+    get = F.get_json_object
+    return report.report_fields(_session(t)).select(
+        "session_id", F.col("executive_summary").alias("summary"), get("timeline", "$[0].label").alias("step"),
+        F.json_array_length("conflicts").cast("long").alias("conflicts"), get("recommendation", "$.steps[0]").alias("advice"),
     )
 
 
+@query(
+    "b4_report_json_lines",
+    """WITH heads AS (SELECT DISTINCT session_id FROM facts),
+    f AS (SELECT session_id, document_id, pos, source_label, to_json({'category': category, 'subcategory': subcategory, 'value': value,
+        'confidence': 0.5::DOUBLE, 'source_document': source_label})::VARCHAR AS body,
+        min(document_id * 1000000 + pos) OVER (PARTITION BY session_id) = document_id * 1000000 + pos AS first FROM facts),
+    e AS (SELECT session_id, document_id, pos, to_json({'entity_name': source_label, 'entity_type': 'source', 'category': category,
+        'confidence': 0.5::DOUBLE, 'source_document': source_label})::VARCHAR AS body,
+        min(document_id * 1000000 + pos) OVER (PARTITION BY session_id) = document_id * 1000000 + pos AS first FROM facts)
+    SELECT session_id, 4 AS section, document_id, pos, CASE WHEN first THEN '' ELSE ',' END || body AS line FROM f
+    UNION ALL SELECT session_id, 5, document_id, pos, CASE WHEN first THEN '' ELSE ',' END || body FROM e
+    UNION ALL SELECT session_id, 4, -1, 0, '"facts": [' FROM heads
+    UNION ALL SELECT session_id, 4, 4611686018427387904, 0, '],' FROM heads
+    UNION ALL SELECT session_id, 5, -1, 0, '"entities": [' FROM heads
+    UNION ALL SELECT session_id, 5, 4611686018427387904, 0, ']' FROM heads
+    UNION ALL SELECT session_id, 6, 0, 0, '}' FROM heads
+    UNION ALL SELECT session_id, 1, 0, 0, '"consensus": null,' FROM heads WHERE session_id % 2 = 1""",
+)
+def _(t):
+    return report.json_report(_session(t)).where("section > 3 or section = 1 and session_id % 2 = 1")
+
+
 @query(
     "b5_render_report_markdown",
-    """WITH heads AS (SELECT DISTINCT session_id FROM facts), fixed AS (
-      SELECT * FROM (VALUES (7, 0, '## Sources'), (7, 1, ''), (8, 0, '## Extracted Facts'), (8, 1, ''),
-        (8, 2, '| Category | Subcategory | Value | Confidence | Source |'), (8, 3, '|---|---|---|---|---|'),
-        (9, 0, '## Entities'), (9, 1, ''), (9, 2, '| Entity | Type | Category | Confidence |'),
-        (9, 3, '|---|---|---|---|')) v(section, pos, line))
-    SELECT session_id, section, (-1)::BIGINT AS document_id, pos::BIGINT AS pos, line FROM heads, fixed
-    UNION ALL SELECT DISTINCT session_id, 7, document_id, 0, '### ' || source_label FROM facts
+    """WITH heads AS (SELECT DISTINCT session_id FROM facts), docs AS (
+      SELECT session_id, document_id, source_label, arg_min(value, pos) AS summary FROM facts GROUP BY ALL), fixed AS (
+      SELECT * FROM (VALUES (1, -1, 0, '## Executive Summary'), (1, -1, 1, ''), (6, -1, 0, '## Timeline'), (6, -1, 1, ''),
+        (7, -1, 0, '## Sources'), (7, -1, 1, ''), (8, -1, 0, '## Extracted Facts'), (8, -1, 1, ''),
+        (8, -1, 2, '| Category | Subcategory | Value | Confidence | Source |'), (8, -1, 3, '|---|---|---|---|---|'),
+        (9, -1, 0, '## Entities'), (9, -1, 1, ''), (9, -1, 2, '| Entity | Type | Category | Confidence |'),
+        (9, -1, 3, '|---|---|---|---|'), (1, 4611686018427387904, 0, ''), (6, 4611686018427387904, 0, ''),
+        (8, 4611686018427387904, 0, ''), (9, 4611686018427387904, 0, ''),
+        (0, 0, 0, '# Knowledge Research Report - input_value'), (0, 0, 1, ''), (0, 0, 3, '')) v(section, document_id, pos, line))
+    SELECT session_id, section, document_id, pos::BIGINT AS pos, line FROM heads, fixed
+    UNION ALL SELECT session_id, section, document_id, pos, line FROM heads, (VALUES (2, -1, 0, '## Consensus'), (2, -1, 1, ''),
+        (2, 4611686018427387904, 0, ''), (4, -1, 0, '## Conflicting Advice'), (4, -1, 1, ''), (4, 0, 0, '- **t**:  ()'),
+        (4, 4611686018427387904, 0, '')) v(section, document_id, pos, line) WHERE session_id % 2 = 0
+    UNION ALL SELECT session_id, section, document_id, pos, line FROM heads, (VALUES (5, -1, 0, '## Recommendation'), (5, -1, 1, ''),
+        (5, 4611686018427387904, 0, '')) v(section, document_id, pos, line) WHERE session_id % 2 = 1
+    UNION ALL SELECT session_id, 5, 0, 0, '1. ' || arg_min(source_label, document_id) FROM docs WHERE session_id % 2 = 1 GROUP BY session_id
+    UNION ALL SELECT session_id, 1, 0, 0, CASE WHEN session_id % 2 = 0 THEN 'agreed ' || session_id::VARCHAR
+      ELSE arg_min(summary, document_id) END FROM docs GROUP BY session_id
+    UNION ALL SELECT session_id, 6, 0, 0, CASE WHEN session_id % 4 = 0 THEN '. **joint step** - ' ELSE '1. **own step** - ' END FROM heads
+    UNION ALL SELECT session_id, 0, 0, 2, '*Mode: mode | Sources: ' || count(*)::VARCHAR
+      || ' | Model: ai_model | Pipeline: pipeline_version | Generated: generated_at*' FROM docs GROUP BY session_id
+    UNION ALL SELECT session_id, 7, document_id, i, [ '### Source ' || document_id::VARCHAR || ': ' || source_label, '', '', '', summary, ''][i + 1]
+      FROM docs, generate_series(0, 5) g(i)
     UNION ALL SELECT session_id, 8, document_id, pos, '| ' || category || ' | ' || subcategory || ' | ' || value
       || ' | 0.5 | ' || source_label || ' |' FROM facts
     UNION ALL SELECT session_id, 9, document_id, pos, '| ' || source_label || ' | source | ' || category
       || ' | 0.5 |' FROM facts""",
 )
 def _(t):
-    facts = t.facts.withColumn("confidence", F.lit(0.5))
-    entities = facts.select(
-        "session_id", "document_id", "pos", F.col("source_label").alias("name"), F.lit("source").alias("type"),
-        "category", "confidence",
-    )
-    sources = facts.select("session_id", "document_id", "source_label").distinct()
-    lines = report_lines(sources, facts, entities)
-    return lines.withColumn("pos", F.col("pos").cast("long"))
+    return report.markdown_report(_session(t))
 
 
 @query(

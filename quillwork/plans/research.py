@@ -14,12 +14,13 @@ from quillwork.operators.aggregates import conflicting_claims, cross_source_supp
 from quillwork.operators.inference import batch_infer, run_ledger, session_status
 from quillwork.operators.ordered import number_rows, total
 from quillwork.operators.sets import merge_text_channels
+from quillwork.plans.report import Session, analysed_sources, json_report, markdown_report
 from quillwork.session import materialise
-from quillwork.sources.writers import markdown_table_rows
 
 # Layout of the prompts.
 ANALYZE_VERSION = "1.0"
 CONSENSUS_VERSION = "1.0"
+PIPELINE_VERSION = "1.0"
 FACT_TEXTS = ("category", "subcategory", "value", "evidence", "stage")
 ENTITY_TEXTS = ("name", "type", "category", "evidence")
 PART_STRIDE = 1_000_000  # positions of the facts of one part of a source
@@ -97,24 +98,35 @@ class Research:
     ledger: DataFrame
     status: DataFrame
     report: DataFrame
+    report_json: DataFrame
 
 
 def research_session(
-    sources: DataFrame, make_client: Callable, model: str, backoff: float = 2.0, topic: Column | None = None
+    sources: DataFrame,
+    make_client: Callable,
+    model: str,
+    backoff: float = 2.0,
+    topic: Column | None = None,
+    sessions: DataFrame | None = None,
 ) -> Research:
-    """Sources (session_id, document_id, title, document_type, channels...) to a report.
+    """Sources (session_id, document_id, title, document_type, channels..., url if known) to a report.
 
     The model is called once for every part of a source, and once for every part of
     the consensus of a session with two or more analysed sources; answers are stored
-    before anything is derived from them. A source whose call fails leaves an error
-    row; the session fails only when all of its sources do.
+    before anything is derived from them. A part whose call fails leaves an error row. A
+    source counts as analysed if any of its parts was answered; the session fails only
+    when none of its sources is. `sessions` has the fields that head a report
+    (`report.SESSION_FIELDS`), by default made of `topic` and `model`.
     """
+    if "url" not in sources.columns:
+        sources = sources.withColumn("url", F.lit(""))
     merged = merge_text_channels(sources).filter("error is null")
     numbered = number_rows(merged, ["session_id"], [F.col("document_id")], "__n").df
-    label = F.concat(F.lit("Source "), (F.col("__n") + 1).cast("string"), F.lit(": "), "title")
+    numbered = numbered.withColumn("index", F.col("__n") + 1)
+    label = F.concat(F.lit("Source "), F.col("index").cast("string"), F.lit(": "), "title")
     parts = text_parts(numbered.withColumn("source_label", label), "merged_text")
     ready = parts.select(
-        "session_id", "document_id", "part", "title", "source_label",
+        "session_id", "document_id", "part", "index", "title", F.coalesce("url", F.lit("")).alias("url"), "source_label",
         F.lit(model).alias("model"), F.lit("analyze").alias("system_prompt"),
         analyze_prompt(F.col("title"), F.col("document_type"), F.col("merged_text")).alias("user_prompt"),
     )
@@ -123,18 +135,24 @@ def research_session(
     good = answers.filter("status = 'SUCCESS'")
     facts = coerce_records(good, "facts", FACT_TEXTS)
     entities = coerce_records(good, "entities", ENTITY_TEXTS)
-    analysed = good.filter("part = 0").withColumn("summary", text_field(lenient_json(F.col("content")), "summary"))
-    several = analysed.groupBy("session_id").agg(F.count_distinct("document_id").alias("n")).filter("n > 1")
+    analysed = materialise(analysed_sources(answers))
+    several = analysed.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     summaries = analysed.join(several.select("session_id"), "session_id", "left_semi")
     summaries = summaries.select("session_id", "document_id", "source_label", "summary")
+    topic = F.lit("") if topic is None else topic
     compared = consensus_prompt(
-        facts.join(several.select("session_id"), "session_id", "left_semi"), summaries,
-        F.lit("") if topic is None else topic,
+        facts.join(several.select("session_id"), "session_id", "left_semi"), summaries, topic
     ).select(
         "session_id", F.lit(None).cast(answers.schema["document_id"].dataType).alias("document_id"), "part",
         F.lit(model).alias("model"), F.lit("consensus").alias("system_prompt"), "user_prompt",
     )
     consensus = materialise(batch_infer(compared, make_client, prompts, backoff=backoff))
+    if sessions is None:
+        fixed = {"mode": F.lit("topic"), "input_value": topic, "source_type": F.lit("mixed"), "ai_provider": F.lit(""),
+                 "ai_model": F.lit(model), "pipeline_version": F.lit(PIPELINE_VERSION), "generated_at": F.lit("")}
+        sessions = sources.select("session_id").distinct().withColumns(fixed)
+    agreed = consensus.filter("status = 'SUCCESS'").select("session_id", "part", "content")
+    session = Session(sessions, analysed, facts, entities, agreed)
     ledger = run_ledger(answers, "ANALYZING", "analyze_document", ANALYZE_VERSION).unionByName(
         run_ledger(consensus, "COMPARING", "consensus", CONSENSUS_VERSION)
     )
@@ -147,130 +165,6 @@ def research_session(
         consensus=consensus,
         ledger=ledger,
         status=session_status(answers, "session_id"),
-        report=consensus_lines(consensus.filter("status = 'SUCCESS'")).unionByName(
-            report_lines(good.filter("part = 0"), facts, entities)
-        ),
+        report=markdown_report(session),
+        report_json=json_report(session),
     )
-
-
-def consensus_lines(consensus: DataFrame) -> DataFrame:
-    """Report lines of what a consensus says: summary, practices, differences, conflicts, recommendation, timeline."""
-    parsed = lenient_json(F.col("content"))
-    item = F.col("__o")
-    words = lambda v, path: F.array_join(
-        F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>")), ", "
-    )
-    timing = F.when(text_field(item, "timing") != "", F.concat(F.lit(" ("), text_field(item, "timing"), F.lit(")"))).otherwise("")
-    sections = [
-        (2, "## Consensus", "common_practices", F.concat(
-            F.lit("- **"), text_field(item, "practice"), F.lit("** (confidence "), text_field(item, "confidence"),
-            F.lit("; "), words(item, "$.supported_by"), F.lit(")"))),
-        (3, "### Differences Between Sources", "differences", F.concat(F.lit("- **"), text_field(item, "aspect"), F.lit("**"))),
-        (4, "## Conflicting Advice", "conflicting_advice", F.concat(
-            F.lit("- **"), text_field(item, "topic"), F.lit("**: "), text_field(item, "conflict"),
-            F.lit(" ("), words(item, "$.sources"), F.lit(")"))),
-        (6, "## Timeline", "timeline", F.concat(
-            text_field(item, "step"), F.lit(". **"), text_field(item, "label"), F.lit("**"), timing,
-            F.lit(" - "), text_field(item, "detail"))),
-    ]
-    summary = text_field(parsed, "executive_summary")
-    first = F.array(F.lit("## Executive Summary"), F.lit(""), F.when(summary != "", summary).otherwise("_No summary produced._"))
-    steps = F.coalesce(F.try_variant_get(parsed, "$.recommendation.steps", "array<string>"), F.array().cast("array<string>"))
-    advice = F.concat(
-        F.array(F.lit("## Recommendation"), F.lit(""), F.coalesce(F.try_variant_get(parsed, "$.recommendation.summary", "string"), F.lit(""))),
-        F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)),
-    )
-    key = F.col("part").cast("long").alias("document_id")
-
-    def flat(section: int, lines: Column, rows: DataFrame) -> DataFrame:
-        found = rows.select("session_id", F.lit(section).alias("section"), key, F.posexplode(lines).alias("pos", "line"))
-        return found.withColumn("pos", F.col("pos").cast("long"))
-
-    out = flat(1, first, consensus).unionByName(
-        flat(5, advice, consensus.filter((F.size(steps) > 0) | F.try_variant_get(parsed, "$.recommendation.summary", "string").isNotNull()))
-    )
-    for section, heading, path, line in sections:
-        items = consensus.select("session_id", "part", F.posexplode(object_items(parsed, f"$.{path}")).alias("at", "__o"))
-        rows = items.select("session_id", F.lit(section).alias("section"), key, (F.col("at") + 1).cast("long").alias("pos"), line.alias("line"))
-        heads = items.select("session_id", "part").distinct().select(
-            "session_id", F.lit(section).alias("section"), key, F.lit(0).cast("long").alias("pos"), F.lit(heading).alias("line")
-        )
-        out = out.unionByName(heads).unionByName(rows)
-        if path == "differences":
-            places = items.select(
-                "session_id", F.lit(section).alias("section"), key, (F.col("at") + 1).cast("long").alias("pos"),
-                F.explode(object_items(item, "$.positions")).alias("__p"),
-            )
-            said = F.concat(F.lit("  - "), text_field(F.col("__p"), "source"), F.lit(": "), text_field(F.col("__p"), "position"))
-            out = out.unionByName(places.withColumn("line", said).drop("__p"))
-    return out
-
-
-def report_fields(consensus: DataFrame, primary: DataFrame) -> DataFrame:
-    """Summary, recommendation, conflicts and timeline of a session report.
-
-    A consensus provides them where there is one (its timeline only if not
-    empty), else the first source does, which knows of no conflicts.
-    """
-    c = consensus.select(
-        "session_id", F.lit(True).alias("__c"), F.col("executive_summary").alias("__cs"),
-        F.col("recommendation").alias("__cr"), F.col("conflicts").alias("__cc"),
-        F.col("timeline").alias("__ct"),
-    )
-    joined = primary.join(c, "session_id", "left")
-    has = F.col("__c").isNotNull()
-    steps = F.to_json(
-        F.struct(
-            F.lit("").alias("summary"), F.col("recommendations").alias("steps"), F.lit("").alias("rationale")
-        )
-    )
-    return joined.select(
-        "session_id",
-        F.when(has, F.coalesce("__cs", F.lit(""))).otherwise(F.col("summary")).alias("executive_summary"),
-        F.when(has, F.col("__cr")).otherwise(steps).alias("recommendation"),
-        F.when(has, F.col("__cc")).otherwise(F.array().cast("array<string>")).alias("conflicts"),
-        F.when(has & (F.size("__ct") > 0), F.col("__ct")).otherwise(F.col("timeline")).alias("timeline"),
-    )
-
-
-def render_report_json(fields: DataFrame) -> DataFrame:
-    """Report fields of a session as one JSON document."""
-    body = F.to_json(F.struct(*[c for c in fields.columns if c != "session_id"]))
-    return fields.select("session_id", body.alias("report"))
-
-
-def report_lines(documents: DataFrame, facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Markdown report as ordered lines (session_id, section, pos, line).
-
-    Lines stay rows, so a session may hold any number of facts; writing them
-    sorted by (section, pos) gives the file.
-    """
-    rule = lambda n: "|" + "---|" * n
-    fixed = [
-        (7, "## Sources", None),
-        (8, "## Extracted Facts", "| Category | Subcategory | Value | Confidence | Source |"),
-        (9, "## Entities", "| Entity | Type | Category | Confidence |"),
-    ]
-
-    def lines(df: DataFrame, section: int, pos: Column, line: Column) -> DataFrame:
-        return df.select(
-            "session_id", F.lit(section).alias("section"), F.col("document_id"), pos.alias("pos"), line.alias("line")
-        )
-
-    source = lines(documents, 7, F.lit(0), F.concat(F.lit("### "), "source_label"))
-    fact = markdown_table_rows(facts, ["category", "subcategory", "value", "confidence", "source_label"])
-    entity = markdown_table_rows(entities, ["name", "type", "category", "confidence"])
-    parts = {7: source, 8: lines(facts, 8, F.col("pos"), fact), 9: lines(entities, 9, F.col("pos"), entity)}
-    out = None
-    for section, heading, columns in fixed:
-        wide = [] if columns is None else [columns, rule(columns.count("|") - 1)]
-        head = F.posexplode(F.array(*[F.lit(x) for x in [heading, "", *wide]]))
-        heads = parts[section].select("session_id").distinct().select("session_id", head.alias("i", "line"))
-        heads = heads.select(
-            "session_id", F.lit(section).alias("section"), F.lit(-1).cast("long").alias("document_id"),
-            F.col("i").cast("long").alias("pos"), "line",
-        )
-        typed = {"document_id": F.col("document_id").cast("long"), "pos": F.col("pos").cast("long")}
-        both = heads.unionByName(parts[section].withColumns(typed))
-        out = both if out is None else out.unionByName(both)
-    return out
