@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm.bpe import byte_symbols
+from quillwork.llm.bpe import byte_symbols, vocabulary
 from quillwork.session import materialise
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -49,15 +49,6 @@ _UNSETTLED = re.compile("[^\u0000-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 _SEGMENT = re.compile(" *[^ ]+| +")
 
 
-def vocabulary(name: str) -> str:
-    """A path as it is; the name of an installed vocabulary file gives its place on this machine."""
-    if "/" in name:
-        return name
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _flat(ids: list) -> tuple[pa.Array, np.ndarray]:
     return pa.array(np.concatenate([np.empty(0, np.int32), *ids])), np.array([len(i) for i in ids], np.int64)
 

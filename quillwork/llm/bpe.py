@@ -173,9 +173,18 @@ class WordBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+def vocabulary(name: str) -> str:
+    """A path as it is; the name of an installed vocabulary file gives its place on this machine."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return WordBpe(vocabulary(path))
 
 
 BATCH_CHARS = 4_000_000  # characters encoded together
@@ -196,7 +205,7 @@ def _by_size(texts: list[str | None]) -> Iterator[list[str]]:
 def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, `ids` and `decoded` of every row. Null is the empty text, which has no ids.
 
-    `path` must exist on every executor. Rows are independent: repeated rows give
+    `path` must exist on every executor, or name an installed vocabulary file. Rows are independent: repeated rows give
     repeated results and a null key stays null. Other columns are left out.
     """
 

@@ -11,19 +11,20 @@ between iterations and no row leaves its partition.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm.sampling import keyed_sample
+from quillwork.llm.sampling import free_names, keyed_sample
 from quillwork.session import materialise
 
 BUCKETS = 4_096  # words share a weight by hash
 TRAIN_ROWS = 20_000  # most labelled rows that are taken for training
 EVIDENCE = 10.0  # a long text counts as so many words at most, so that memberships stay soft
-MOST_DOMAINS = 64  # more domains are an error: the weights are broadcast
+SENT_DOMAINS = 64  # the weights of so many domains are sent to all tasks; those of more are joined
 STEPS = 40
 TOLERANCE = 1e-4
 
@@ -64,19 +65,19 @@ def fit_domains(labelled: DataFrame, domain: str = "domain", text: str = "text",
     """Naive Bayes on at most `rows` labelled texts, those with the smallest hashes.
 
     Rows with a null domain are not used. The weights table has `BUCKETS` rows at
-    most; a bucket that no labelled text has says nothing.
+    most; a bucket that no labelled text has says nothing. Without labelled rows the
+    model has no domains.
     """
     sample = labelled.where(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("d"), F.col(text).alias("text"))
     total = sample.count()
     if total > rows:
         sample = sample.where(F.pmod(F.xxhash64("text", "d"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
     sample = materialise(sample)
-    sizes = sample.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").limit(MOST_DOMAINS + 1).collect()
-    if len(sizes) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    # no more domains than rows in the sample
+    sizes = sample.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()
     domains = tuple(r["d"] for r in sizes)
     if not domains:
-        raise ValueError("no labelled rows")
+        return DomainModel((), (), df_of_no_buckets(sample))
     priors = tuple(log(r["n"] / sum(x["n"] for x in sizes)) for r in sizes)
     counts = word_rows(sample, "d").where("bucket is not null").groupBy("bucket").agg(
         *[F.sum((F.col("d") == d).cast("long")).alias(f"c{k}") for k, d in enumerate(domains)]
@@ -87,21 +88,35 @@ def fit_domains(labelled: DataFrame, domain: str = "domain", text: str = "text",
     return DomainModel(domains, priors, materialise(counts.select("bucket", *spread)))
 
 
+def df_of_no_buckets(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "bucket int")
+
+
+def known_weights(weights: dict[str, float], model: DomainModel) -> dict[str, float]:
+    """The weights of the model's domains; a warning names the others, whose shares go to these."""
+    missing = sorted(set(weights) - set(model.domains))
+    if missing:
+        warnings.warn(f"no labelled rows for {', '.join(missing)}", stacklevel=2)
+    return {d: w for d, w in weights.items() if d in model.domains}
+
+
 def posteriors(df: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tokens, p): number of words and membership in every domain, in the model's order.
 
     One row per key; rows that repeat a key are taken together. A null key is left
-    out. A text without words, or null, has the priors.
+    out. A text without words, or null, has the priors. A model without domains gives
+    empty memberships.
     """
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id is not null")
     k = range(len(model.domains))
-    # a table of BUCKETS rows: its size does not depend on the data
-    scored = word_rows(rows, "id").join(F.broadcast(model.weights), "bucket", "left")
+    # a table of BUCKETS rows and a column for each domain: its size does not depend on the texts
+    weights = F.broadcast(model.weights) if len(k) <= SENT_DOMAINS else model.weights
+    scored = word_rows(rows, "id").join(weights, "bucket", "left")
     sums = scored.groupBy("id").agg(F.count("bucket").alias("tokens"), *[F.sum(f"w{i}").alias(f"w{i}") for i in k])
     # the mean over the words is scaled to the evidence
     n = F.col("tokens")
     scale = F.least(n.cast("double"), F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
-    logits = F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0.0)) * scale + F.lit(model.priors[i]) for i in k])
+    logits = F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0.0)) * scale + F.lit(model.priors[i]) for i in k]).cast("array<double>")
     rows = sums.select("id", n.cast("long").alias("tokens"), logits.alias("z"))
     rows = rows.select("id", "tokens", F.transform("z", lambda z: F.exp(z - F.array_max("z"))).alias("e"))
     norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
@@ -182,8 +197,12 @@ def mix_to_targets(
 
     A domain of the model that `weights` does not name has target 0; an unknown name
     is an error. `total` is the number of tokens aimed at, by default as many as
-    `df` has; with `low=1` it should leave room for all. No rows give no rates.
+    `df` has; with `low=1` it should leave room for all. No rows give no rates. With a
+    model without domains, or no weights, there is nothing to aim at: every rate is 1, or `low`.
     """
+    if not model.domains or not weights:
+        members = materialise(posteriors(df, model, key, text))
+        return Mixture(members.withColumn("rate", F.lit(max(1.0, low))), model.domains, [], [])
     unknown = set(weights) - set(model.domains)
     if unknown or min(weights.values(), default=0) < 0 or not sum(weights.values()):
         raise ValueError(f"weights must be nonnegative shares of known domains, not {weights}")
@@ -208,8 +227,9 @@ def copies_of(key: Column, rate: Column) -> Column:
 
 def apply_mixture(df: DataFrame, mixture: Mixture, key: str = "doc_id") -> DataFrame:
     """The rows of `df`, each as often as its rate says; columns as in `df`. Rows with a null key stay once."""
-    counts = mixture.rates.select(F.col(key).alias("__key"), copies_of(F.col(key), F.col("rate")).alias("__copies"))
-    joined = df.join(counts, df[key] == counts["__key"], "left")
-    times = F.coalesce(F.col("__copies"), F.lit(1))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("__copy") < times)
+    own, copies, copy = free_names(df, "key", "copies", "copy")
+    counts = mixture.rates.select(F.col(f"`{key}`").alias(own), copies_of(F.col(f"`{key}`"), F.col("rate")).alias(copies))
+    joined = df.join(counts, F.col(f"`{key}`") == F.col(own), "left")
+    times = F.coalesce(F.col(copies), F.lit(1))
+    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(0), times))).where(F.col(copy) < times)
     return repeated.select(*[F.col(f"`{c}`") for c in df.columns])

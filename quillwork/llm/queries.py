@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm import alignment, bpe, hnsw, lm, minhash, mixing, paragraphs, periods, quality, rules, sharding, suffixes, templates
 
-TOKENIZERS = "/opt/tokenizers"  # folder of vocabulary files on every executor
+WORD_VOCABULARY = "word_bpe_49k.json"  # an installed vocabulary file, or a path on every executor
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,7 +79,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens, and digests of the ids and of the decoded text, of every document."""
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 @query(
@@ -144,9 +144,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.concat_ws("/", "lang", "quality")
     labelled = mixing.labelled_sample(documents, labels).select("text", domain.alias("domain"))
     model = mixing.fit_domains(labelled)
-    weights = {d: w for d, w in MIX_WEIGHTS.items() if d in model.domains}
-    mixture = mixing.mix_to_targets(documents, model, weights)
-    most_likely = F.element_at(F.lit(list(model.domains)), F.array_position("p", F.array_max("p")).cast("int"))
+    mixture = mixing.mix_to_targets(documents, model, mixing.known_weights(MIX_WEIGHTS, model))
+    most_likely = F.lit(None).cast("string")
+    if model.domains:
+        most_likely = F.element_at(F.lit(list(model.domains)), F.array_position("p", F.array_max("p")).cast("int"))
     return mixture.rates.select(
         "doc_id", "tokens", most_likely.alias("domain"), "p", "rate", mixing.copies_of(F.col("doc_id"), F.col("rate")).alias("copies")
     )

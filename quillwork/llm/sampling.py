@@ -1,4 +1,4 @@
-"""Bounded samples that do not depend on the order of rows or partitions."""
+"""Bounded samples that do not depend on the order of rows or partitions, and names for helper columns."""
 
 from __future__ import annotations
 
@@ -19,3 +19,12 @@ def keyed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     if total > 4 * rows:
         df = df.where(place < int(2 * rows / total * _RANGE))
     return df.orderBy(place, key).limit(rows)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as keep them apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from quillwork.llm.mixing import apply_mixture, domain_totals, fit_domains, fit_rates, mix_to_targets, posteriors
+from quillwork.llm import mixing
+from quillwork.llm.mixing import apply_mixture, domain_totals, fit_domains, fit_rates, known_weights, mix_to_targets, posteriors
 
 VOCAB = {"a": ["sun", "moon", "star"], "b": ["ash", "oak", "elm"], "c": ["one", "two", "six"]}
 
@@ -77,3 +78,71 @@ def test_hard_rows(spark, tables):
     assert mix_to_targets(df.limit(0), model, {"b": 1.0}).rates.count() == 0
     with pytest.raises(ValueError):
         mix_to_targets(df, model, {"nowhere": 1.0})
+
+
+def test_without_labels_every_rate_is_one(spark, tables):
+    documents, _ = tables
+    model = fit_domains(documents.where("false"), "d")
+    assert model.domains == ()
+    with pytest.warns(UserWarning, match="no labelled rows for a, b"):
+        weights = known_weights({"a": 0.5, "b": 0.5}, model)
+    mixture = mix_to_targets(documents, model, weights)
+    rows = mixture.rates.collect()
+    assert len(rows) == 400 and {(r.rate, tuple(r.p)) for r in rows} == {(1.0, ())} and min(r.tokens for r in rows) >= 5
+    assert sorted(apply_mixture(documents, mixture).collect()) == sorted(documents.collect())
+    assert mix_to_targets(documents.limit(0), model, {}).rates.count() == 0
+
+
+@pytest.mark.parametrize("sent", [64, 100])
+def test_more_domains_than_are_sent(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "SENT_DOMAINS", sent)
+    rows = [(d * 10 + i, f"w{d} w{d} x{i}", f"d{d:02}") for d in range(70) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string")
+    model = fit_domains(df, "d")
+    assert len(model.domains) == 70
+    got = {r.doc_id: r.p for r in posteriors(df, model).collect()}
+    # two words may share a bucket
+    assert sum(model.domains[p.index(max(p))] == f"d{key // 10:02}" for key, p in got.items()) >= 0.9 * len(got) == 252
+
+
+def test_clashing_column_names(spark, tables):
+    documents, model = tables
+    clash = documents.selectExpr("doc_id", "text", "d AS _key", "rate AS _copies", "1 AS _copy", "2 AS __key")
+    mixture = mix_to_targets(clash, model, {"a": 0.3, "b": 0.3, "c": 0.4})
+    got = apply_mixture(clash, mixture)
+    assert got.columns == clash.columns and got.count() == apply_mixture(documents, mixture).count()
+
+
+@pytest.fixture
+def tables_without(spark, tmp_path):
+    """The smallest tables, with empty labels or empty documents."""
+
+    def make(*empty: str) -> str:
+        folder = tmp_path / "-".join(empty)
+        for name in ("documents", "labels"):
+            df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+            (df.limit(0) if name in empty else df).write.parquet(str(folder / f"{name}.parquet"))
+        return str(folder)
+
+    return make
+
+
+@pytest.mark.filterwarnings("ignore:no labelled rows")
+def test_query_on_empty_tables(spark, tables_without):
+    from quillwork.llm.queries import QUERIES
+
+    rows = QUERIES["op8_mixing"](spark, tables_without("labels")).collect()
+    assert len(rows) > 100 and {(r.rate, r.copies, r.domain) for r in rows} == {(1.0, 1, None)}
+    assert QUERIES["op8_mixing"](spark, tables_without("documents", "labels")).count() == 0
+    assert QUERIES["op8_mixing"](spark, tables_without("documents")).count() == 0
+
+
+def test_query_names_the_likeliest_domain(spark):
+    from quillwork.llm.queries import QUERIES
+
+    rows = QUERIES["op8_mixing"](spark, "/root/testdata/sf0.001").collect()
+    kinds = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    domains = sorted({r.domain for r in rows})
+    for r in rows:
+        assert 0 <= r.copies - int(r.rate) <= 1 and abs(sum(r.p) - 1) < 1e-9
+    assert sum(r.domain.split("/")[0] == kinds[r.doc_id] for r in rows) > 0.8 * len(rows) and len(domains) > 2
