@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import bpe, minhash, mixing, quality, suffixes
-from quillwork.llm.queries import TOKENIZERS, held_out, table
+from quillwork.llm.queries import WORD_VOCABULARY, held_out, table
 from quillwork.session import materialise
 
 REJECT_BELOW = 0.5  # probability of good quality
@@ -85,7 +85,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if labelled.isEmpty():
         return docs
     model = mixing.fit_domains(labelled)
-    weights = {d: w for d, w in LANGUAGE_WEIGHTS.items() if d in model.domains}
+    weights = mixing.known_weights(LANGUAGE_WEIGHTS, model)
     if not weights:
         return docs
     return mixing.apply_mixture(docs, mixing.mix_to_targets(docs, model, weights, low=1.0))
@@ -93,7 +93,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of the ids and of the decoded text."""
-    return bpe.encode_digests(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=True)
+    return bpe.encode_digests(docs, WORD_VOCABULARY, ids=True)
 
 
 STAGES = [
