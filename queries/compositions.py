@@ -16,7 +16,7 @@ from quillwork.operators.aggregates import counts_per
 from quillwork.operators.documents import heading_tree, running_header_detection
 from quillwork.plans.catalog import refresh_catalog, sync_catalog
 from quillwork.plans.documents import assemble_document, layout_to_elements, map_document
-from quillwork.plans.frames import SelectOptions, analyze_frames, classify_frames, score_frames, select_frames
+from quillwork.plans.frames import SelectOptions, analyze_frames, analyze_job, classify_frames, score_frames, select_frames
 from quillwork.plans.governance import commit_summary, corpus_health, doc_index
 from quillwork.plans.research import consensus_prompt, research_session
 
@@ -50,6 +50,38 @@ def _(t):
     return scored.select("label", "pos", "question_score", "is_question", "is_duplicate")
 
 
+SCORED = """SELECT *, least(greatest(0.35::DOUBLE * least((pos % 80) / 60.0::DOUBLE, 1.0::DOUBLE)
+      + 0.45::DOUBLE * least(greatest(((vec_id % 100) / 100.0::DOUBLE - 0.30::DOUBLE) / 0.50::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)
+      + 0.20::DOUBLE * (1.0::DOUBLE - least((vec_id % 40) / 100.0::DOUBLE * 2.2::DOUBLE, 1.0::DOUBLE)), 0.0::DOUBLE), 1.0::DOUBLE) AS s
+    FROM fold"""
+
+
+@query(
+    "l1_analyze_job",
+    f"""{KEPT}, scored AS (SELECT *, {rounded("s", 4)} >= 0.55 AS asks, pos // 3 % 26 AS letter FROM ({SCORED})),
+    picked AS (SELECT *, coalesce(letter <> lag(letter) OVER (PARTITION BY label ORDER BY pos), true)::INTEGER AS fresh
+      FROM scored WHERE asks AND kept AND letter % 13 <> 5)
+    SELECT label, count(*) AS frames_total, count(*) FILTER (kept) AS frames_unique,
+      count(*) FILTER (kept AND asks) AS frames_question,
+      coalesce((SELECT sum(fresh) FROM picked p WHERE p.label = scored.label), 0)::BIGINT AS questions_created
+    FROM scored GROUP BY label""",
+)
+def _(t):
+    """From image features to questions; the reader sees the letter of a slide, and nothing on some."""
+    rows = t.signatures.columns(
+        text_boxes=F.col("pos") % 80, uniformity=F.col("vec_id") % 100 / 100.0, saturation=F.col("vec_id") % 40 / 100.0,
+        ocr_text=F.lit(""), ocr_confidence=F.lit(0.0), ocr_done=F.lit(False),
+    )
+
+    def read(df):
+        letter = F.floor(F.col("pos") / 3) % 26
+        seen = F.when(letter % 13 != 5, F.repeat(F.char(97 + letter), F.lit(10))).otherwise("  ")
+        return df.withColumns({"ocr_text": seen, "ocr_confidence": F.lit(0.5)})
+
+    _, summary, _ = analyze_job(rows, read=read, limit=SIGNATURE_LIMIT)
+    return summary.select("label", *[F.col(c).cast("long").alias(c) for c in ("frames_total", "frames_unique", "frames_question", "questions_created")])
+
+
 @query(
     "l2_classify_frames",
     """SELECT job_id, count(*) AS frames, count(*) FILTER (trim(ocr_text) <> '') AS classified

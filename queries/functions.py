@@ -358,10 +358,21 @@ def _(t):
     return gray.select("vec_id", F.round(vec.pixel_std(F.col("gray"), 8), 6).alias("pixel_std"))
 
 
-@query("i25_sharpness_and_uniformity")
+@query(
+    "i25_sharpness_and_uniformity",
+    """WITH p AS (
+      SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 200 + 128), 0), 255)::INTEGER) AS g FROM embeddings),
+    c AS (SELECT vec_id, g, i // 8 AS y, i % 8 AS x, g[i + 1] AS v FROM p, generate_series(0, 63) t(i)),
+    l AS (SELECT vec_id, round(var_pop((g[abs(y - 1) * 8 + x + 1] + g[(7 - abs(6 - y)) * 8 + x + 1] + g[y * 8 + abs(x - 1) + 1]
+        + g[y * 8 + 7 - abs(6 - x) + 1] - 4 * v)::DOUBLE), 6) AS sharpness FROM c GROUP BY vec_id),
+    m AS (SELECT vec_id, arg_max(v, n * 1000 - v) AS mode FROM (SELECT vec_id, v, count(*) AS n FROM c GROUP BY ALL) GROUP BY vec_id)
+    SELECT vec_id, any_value(sharpness) AS sharpness, count(*) FILTER (abs(v - mode) <= 18) / 64.0::DOUBLE AS uniformity
+    FROM c JOIN l USING (vec_id) JOIN m USING (vec_id) GROUP BY vec_id""",
+)
 def _(t):
     gray = t.embeddings.select("vec_id", _gray(F.col("embedding").cast("array<double>")).alias("gray"))
-    return gray.select("vec_id", vec.image_features(F.col("gray"), 8).alias("f")).select("vec_id", "f.*")
+    found = gray.select("vec_id", vec.image_features(F.col("gray"), 8).alias("f"))
+    return found.select("vec_id", F.round("f.sharpness", 6).alias("sharpness"), "f.uniformity")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -107,6 +108,36 @@ def analyze_frames(
     return fresh, summary
 
 
+def analyze_job(
+    frames: Ordered,
+    questions: DataFrame | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+    limit: float = DUPLICATE_MAD,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, summary per job, scored frames) from frames as they were extracted.
+
+    Frames are scored and flagged first. `read` gives the text of frames: it gets the
+    rows of question frames that are no duplicates and whose `ocr_done` is not true, and
+    returns them with `ocr_text` and `ocr_confidence`; no other frame is read. Without it
+    the frames' own text counts. Runs of question frames then become questions, which
+    replace the automatic ones of `questions`; a job without frames is left as it is.
+    """
+    scored = score_frames(frames, limit)
+    scored = scored.with_df(materialise(scored.df))
+    wanted = F.col("is_question") & ~F.col("is_duplicate")
+    picked = scored.filter(wanted)
+    if read is not None:
+        done = F.coalesce(F.col("ocr_done"), F.lit(False))
+        fresh = read(picked.df.filter(~done)).select(*picked.df.columns)
+        # read once: the answers are needed for the runs and for the scored frames
+        texts = materialise(fresh.withColumn("ocr_done", F.lit(True)).select(*picked.df.columns))
+        picked = picked.with_df(picked.df.filter(done).unionByName(texts))
+        scored = scored.with_df(scored.df.filter(~(wanted & ~done)).unionByName(texts))
+    made, _ = analyze_frames(picked, questions)
+    summary = analysis_summary(scored.df, build_question(merge_similar_runs(picked)), list(scored.keys))
+    return made, summary, scored.df
+
+
 def classify_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tagged frames that are no duplicates, counts per job)."""
     tagged = classify_content(frames.filter(~F.col("is_duplicate")), "ocr_text", "classification")
