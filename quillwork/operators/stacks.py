@@ -12,6 +12,7 @@ A stack is no longer than the number of levels, however long the stretch.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +79,23 @@ def open_headings(headings: Ordered) -> DataFrame:
         above = pa.array(_walk(table, stack), lists)
         return table.select([*keys, pos, "__id"]).append_column("__above", above)
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys one after the other, many small ones in a batch."""
+        now, stack = None, ([], [])
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("__level", "__id"))
+            above = []
+            for key, level, heading in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), *columns, strict=True):
+                if key != now:
+                    now, stack = key, ([], [])
+                above.append(stack[1][: bisect_left(stack[0], level)])
+                push(stack, level, heading)
+            kept = [batch.column(c) for c in [*keys, pos, "__id"]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(above, lists)], names=[*keys, pos, "__id", "__above"])
+
     limit = row_limit(df.sparkSession, GROUP_ROWS)
     if headings.largest <= limit:
-        return df.groupBy(*keys).applyInArrow(lambda table: opened(table, ([], [])), out)
+        return df.repartition(*keys).sortWithinPartitions(*keys, pos).mapInArrow(stream, out)
 
     chunks, on = headings.chunked(limit), [*keys, CHUNK]
     stacks = T.StructType([*(chunks.schema[c] for c in on), T.StructField("levels", T.ArrayType(T.LongType())),
