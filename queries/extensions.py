@@ -102,14 +102,19 @@ def _(t):
       FROM lines JOIN documents USING (doc_id) WHERE trim(line) <> '') WHERE turn = 1 GROUP BY source""",
 )
 def _(t):
-    """In two steps, so that no task gathers the texts of a source."""
+    """In steps, so that no Python worker holds more than the lines of a hundred documents."""
     register_aggregates(t.spark)
     t.documents.select("source", "doc_id", "text").createOrReplaceTempView("k5_documents")
     return t.spark.sql(
-        """SELECT source, array_join(lines, chr(10)) AS text, CAST(size(lines) AS BIGINT) AS n FROM (
-          SELECT source, first_seen_merge(part) AS lines FROM (
-            SELECT source, first_seen_part(doc_id, text) AS part FROM k5_documents GROUP BY source, doc_id DIV 100)
-          GROUP BY source)"""
+        """WITH parts AS (
+          SELECT source, explode(first_seen_part(doc_id, text)) AS x FROM k5_documents GROUP BY source, doc_id DIV 100),
+        firsts AS (SELECT source, min(x) AS x FROM parts GROUP BY source, lower(x.line)),
+        pieces AS (
+          SELECT source, x.at DIV 100 AS piece, count(*) AS n,
+            array_join(transform(array_sort(collect_list(x)), x -> x.line), chr(10)) AS text
+          FROM firsts GROUP BY source, x.at DIV 100)
+        SELECT source, array_join(transform(array_sort(collect_list(struct(piece, text))), p -> p.text), chr(10)) AS text,
+          sum(n) AS n FROM pieces GROUP BY source"""
     )
 
 

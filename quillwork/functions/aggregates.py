@@ -7,7 +7,11 @@ a group too large for that is aggregated in two steps, whose result is the same:
     SELECT k, first_seen_merge(part) FROM (
         SELECT k, first_seen_part(at, text) AS part FROM t GROUP BY k, at DIV 100000) GROUP BY k
 
-The middle of that grows with the distinct lines of a group, not with its texts.
+The middle of that grows with the distinct lines of a group, not with its texts. A group whose
+distinct lines are too many for a Python worker leaves Python after the parts, whose lines go on as rows:
+
+    SELECT k, min(x) FROM (
+        SELECT k, explode(first_seen_part(at, text)) AS x FROM t GROUP BY k, at DIV 100) GROUP BY k, lower(x.line)
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from uuid import uuid4
 import pytest
 from pyspark.sql import functions as F
 
+from queries import queries as registered
 from quillwork.functions.aggregates import register_aggregates
 from quillwork.operators.filters import page
 from quillwork.operators.paging import PageIndex
@@ -115,3 +116,11 @@ def test_first_seen_lines_in_sql(spark):
         "SELECT k, first_seen_merge(p) AS v FROM (SELECT k, first_seen_part(at, text) AS p FROM texts GROUP BY k, at DIV 2) GROUP BY k"
     ).collect()
     assert {r.k: list(r.v) for r in whole} == want == {r.k: list(r.v) for r in parts}
+
+
+def test_first_seen_query_merges_outside_python(spark, tmp_path):
+    rows = [(1, "s", "Beta\nalpha"), (250, "s", "ALPHA\nGamma"), (251, "s", None), (2, "blank", " \n"), (3, "none", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registered()["k5_first_seen_lines_sql"](spark, str(tmp_path))
+    assert "first_seen_merge" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in found.collect()] == [("s", "Beta\nalpha\nGamma", 3)]
