@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,32 +51,53 @@ def corpus_columns(files: DataFrame, types: Sequence[str]) -> DataFrame:
     )
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+HELD_BYTES = 8 << 20
+HELD_ROWS = 1_000
+
+
+def _pdfs(path: str, title: str, content: bytes | None) -> list[tuple]:
+    """Rows of one file: the PDFs of an archive, or the PDF it is."""
+    data = io.BytesIO(content)
+    try:
+        if zipfile.is_zipfile(data):
+            with zipfile.ZipFile(data) as archive:
+                names = [n for n in archive.namelist() if n.lower().endswith(".pdf")]
+                latest = {n.rsplit("/", 1)[-1]: n for n in names}
+                return [(path, title, s, archive.read(n), None) for s, n in latest.items()]
+        return [(path, title, path.rsplit("/", 1)[-1], content, None)] if path.lower().endswith(".pdf") else []
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError) as exc:
+        return [(path, title, None, None, str(exc))]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One archive at a time is read; its rows wait for others until they are `HELD_BYTES`."""
+    kind = pa.schema([(n, pa.binary() if n == "content" else pa.string()) for n in ("path", "book", "name", "content", "error")])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+
+    out, held = [], 0
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            out, data = [], io.BytesIO(row.content)
-            try:
-                if zipfile.is_zipfile(data):
-                    with zipfile.ZipFile(data) as archive:
-                        names = [n for n in archive.namelist() if n.lower().endswith(".pdf")]
-                        latest = {n.rsplit("/", 1)[-1]: n for n in names}
-                        out += [(row.path, row.title, s, archive.read(n), None) for s, n in latest.items()]
-                elif row.path.lower().endswith(".pdf"):
-                    out.append((row.path, row.title, row.path.rsplit("/", 1)[-1], row.content, None))
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError) as exc:
-                out = [(row.path, row.title, None, None, str(exc))]
-            # one archive at a time is held
-            yield pd.DataFrame(out, columns=["path", "book", "name", "content", "error"])
+        for i in range(batch.num_rows):
+            for row in _pdfs(*(column[i].as_py() for column in batch.columns)):
+                out.append(row)
+                held += len(row[3] or b"")
+                if held >= HELD_BYTES or len(out) >= HELD_ROWS:
+                    yield batch_of(out)
+                    out, held = [], 0
+    if out:
+        yield batch_of(out)
 
 
 def explode_archive(files: DataFrame) -> DataFrame:
     """(path, title, content) -> one row per PDF in the archive, or the PDF itself.
 
     Members with the same base name overwrite each other, the last one stays. An
-    archive that cannot be read gives one row with its `error`.
+    archive that cannot be read gives one row with its `error`. Files come to Python in
+    batches cut by their bytes (`configure`), and go back likewise.
     """
     schema = "path string, book string, name string, content binary, error string"
-    members = files.select("path", "title", "content").mapInPandas(_members, schema)
+    members = files.select("path", "title", "content").mapInArrow(_members, schema)
     title = F.concat_ws(" — ", "book", stem(F.col("name")))
     return members.select(
         "path", "name", title.alias("title"), F.length("content").alias("size"),

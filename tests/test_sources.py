@@ -7,11 +7,13 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillwork.operators.joins import broken_links, local_links, missing_docs, orphan_docs
 from quillwork.functions.text import markdown_links
 from quillwork.plans.governance import adr_index, build_doc_index, corpus_health
+from quillwork.session import configure
 from quillwork.sources import readers, writers
 
 
@@ -37,6 +39,26 @@ def test_archives(spark):
     assert got == {("Book — one", b"22"), ("Book — two", b"3"), ("Solo — c", b"%PDF")}
 
 
+def test_large_archives_go_back_in_pieces(spark):
+    def archive(n):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for i in range(n):
+                z.writestr(f"{i}.pdf", bytes(3 << 20))
+        return buffer.getvalue()
+
+    rows = [("a.zip", "A", archive(7)), ("b.zip", "B", b"PK broken"), *((f"{i}.pdf", "C", b"%PDF") for i in range(2_500)), ("n.pdf", "D", None)]
+    fields = ("path", "title", "content")
+    batch = pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True)) for r in rows])
+    found = list(readers._members(iter([batch])))
+    assert max(b.nbytes for b in found) < 16 << 20 and max(b.num_rows for b in found) <= 1_000
+    assert len(found) < 10 and sum(b.num_rows for b in found) == 2_508
+    configure(spark)
+    wide = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = wide.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 32 << 20
+
+
 def test_catalog_script(spark):
     script = "\n".join(
         [
