@@ -9,6 +9,7 @@ from queries.joins import COST
 from quillwork.operators import upkeep as ops
 from quillwork.operators.inference import run_ledger
 from quillwork.plans import report
+from quillwork.session import materialise
 from quillwork.sources import writers
 
 
@@ -72,7 +73,8 @@ def _(t):
 
 def _session(t) -> report.Session:
     """Half of the sessions have a consensus, a quarter one with a timeline."""
-    facts = t.facts.withColumn("confidence", F.lit(0.5))
+    # every section reads them again
+    facts = materialise(t.facts.withColumn("confidence", F.lit(0.5)))
     first = F.min_by("value", "pos").alias("summary")
     rows = facts.groupBy("session_id", "document_id", "source_label").agg(first)
     none = F.array().cast("array<string>")
@@ -86,14 +88,14 @@ def _session(t) -> report.Session:
     content = F.concat(
         F.lit('{"executive_summary": "agreed '), n, F.lit('", "recommendation": {}, "conflicting_advice": [{"topic": "t"}]'), times, F.lit("}")
     )
-    named = facts.select("session_id").distinct()
+    named = materialise(facts.select("session_id").distinct())
     consensus = named.where("session_id % 2 = 0").select("session_id", F.lit(0).cast("long").alias("part"), content.alias("content"))
     sessions = named.withColumns({c: F.lit(c) for c in report.SESSION_FIELDS})
     entities = facts.select(
         "session_id", "document_id", "pos", "source_label", F.col("source_label").alias("name"), F.lit("source").alias("type"),
         "category", "confidence",
     )
-    return report.Session(sessions, sources, facts, entities, consensus)
+    return report.Session(sessions, materialise(sources), facts, entities, consensus)
 
 
 @query(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.json import lenient_json, object_items, text_field
 from quillwork.operators.ordered import number_rows
+from quillwork.session import materialise
 from quillwork.sources.writers import markdown_table_rows
 
 # Order and headings of the sections.
@@ -269,7 +270,8 @@ def json_report(session: Session) -> DataFrame:
     """
     fields = report_fields(session)
     parts = session.consensus.groupBy("session_id").agg(F.count(F.lit(1)).alias("parts"))
-    named = session.sessions.join(fields, "session_id").join(parts, "session_id", "left")
+    # one row for each session, which every section asks for
+    named = materialise(session.sessions.join(fields, "session_id").join(parts, "session_id", "left"))
     before = [*[_json(F.col(c)).alias(c) for c in ("session_id", *SESSION_FIELDS)], _json(F.col("executive_summary")).alias("executive_summary")]
     lines = F.array(
         F.lit("{"), *[F.concat(F.lit(f'"{name}": '), c, F.lit(",")) for name, c in zip(("session_id", *SESSION_FIELDS, "executive_summary"), before, strict=True)]

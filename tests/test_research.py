@@ -247,6 +247,20 @@ def test_a_consensus_of_several_parts(spark):
     assert "## Executive Summary\n\ns0\ns1\n" in text and text.count("- **water**") == 2 and "7. **L** - " in text
 
 
+def test_json_report_reads_its_sources_twice(spark, tmp_path):
+    columns = "session_id long, document_id long, index long, title string, url string, source_label string, summary string, "
+    columns += ", ".join(f"{c} array<string>" for c in ("recommendations", "warnings", "mistakes", "timeline"))
+    spark.createDataFrame([(1, 1, 1, "t", "", "S", "own", ["do"], [], [], [])], columns).write.parquet(str(tmp_path / "sources"))
+    sources = spark.read.parquet(str(tmp_path / "sources"))
+    none = spark.createDataFrame([], "session_id long, document_id long, pos long, source_label string, category string, subcategory string, value string, confidence double, name string, type string")
+    sessions = spark.createDataFrame([(1, *HEAD.values())], "session_id long, " + ", ".join(f"{c} string" for c in HEAD))
+    consensus = spark.createDataFrame([], "session_id long, part long, content string")
+    lines = json_report(Session(sessions, sources, none, none, consensus))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("Relation [" in line and "mistakes#" in line for line in plan) <= 2  # their place, and themselves
+    assert json.loads(_text(lines, 1))["documents"][0]["summary"] == "own"
+
+
 def test_nothing_is_cut_from_long_texts(spark):
     df = spark.createDataFrame([(1, "ab" * 25), (2, ""), (3, "x" * 20)], "id long, t string")
     rows = text_parts(df, "t", 20).orderBy("id", "part").collect()
