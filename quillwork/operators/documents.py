@@ -121,15 +121,17 @@ def heading_tree(elements: Ordered, id_col: str = "id", root: int = 0) -> Ordere
     above = open_headings(headings)
     # a heading's record stands right before the heading itself
     place = (F.col(pos) * 2).cast("long")
-    columns = elements.df.columns
+    kept = [f for f in elements.df.schema.fields if f.name not in keys]
     marks = above.select(
-        *keys, place.alias("__p"), F.struct("__id", "__above").alias("__open"), F.lit(None).cast(elements.df.schema).alias("__row")
-    )
+        *keys, place.alias("__p"), F.struct("__id", "__above").alias("__open"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept],
+    )
+    # columns stay columns, so that those nobody asks for are not sorted along
     rows = elements.df.select(
-        *keys, (place + 1).alias("__p"), F.lit(None).cast(marks.schema["__open"].dataType).alias("__open"), F.struct(*columns).alias("__row")
+        *keys, (place + 1).alias("__p"), F.lit(None).cast(marks.schema["__open"].dataType).alias("__open"), *[f.name for f in kept]
     )
     both = Ordered(marks.unionByName(rows), elements.keys, "__p", 2 * elements.largest)
-    found = both.scan(__latest=last(F.col("__open"))).df.filter("__row is not null").select("__row.*", "__latest")
+    found = both.scan(__latest=last(F.col("__open"))).df.filter("__open is null").select(*elements.df.columns, "__latest")
     latest, trunk = F.col("__latest"), F.array(F.lit(root).cast("long"))
     under = F.concat(trunk, latest["__above"])
     own = F.when(heading, under).when(latest.isNotNull(), F.array_append(under, latest["__id"])).otherwise(trunk)

@@ -91,20 +91,24 @@ def asof_page_join(
     """Add `section_id`: the last bookmark on or before the element's page, else root.
 
     Bookmarks (key, page, order_index, id) and elements are merged into one
-    sequence, and the latest bookmark is carried forward.
+    sequence, and the latest bookmark is carried forward. Columns stay columns, so
+    that those nobody asks for are not sorted along.
     """
+    kept = [f for f in elements.schema.fields if f.name not in (key, "section_id")]
     marks = bookmarks.select(
-        key, "page", F.lit(0).alias("__kind"), F.col("order_index").alias("__o"),
-        F.col("id").alias("__mark"), F.lit(None).cast(elements.schema).alias("__row"),
+        key, F.col("page").alias("__page"), F.lit(0).alias("__kind"), F.col("order_index").alias("__o"),
+        F.col("id").alias("__mark"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept],
     )
     rows = elements.select(
-        key, "page", F.lit(1).alias("__kind"), F.col("order_index").alias("__o"),
-        F.lit(None).cast("long").alias("__mark"), F.struct(*elements.columns).alias("__row"),
+        key, F.col("page").alias("__page"), F.lit(1).alias("__kind"), F.col("order_index").alias("__o"),
+        F.lit(None).cast("long").alias("__mark"), *[f.name for f in kept],
     )
-    order = [F.col("page"), F.col("__kind"), F.col("__o")]
+    order = [F.col("__page"), F.col("__kind"), F.col("__o")]
     merged = number_rows(marks.unionByName(rows), [key], order, "__p")
     found = merged.scan(section_id=last(F.col("__mark"))).df.filter("__kind = 1")
-    return found.select("__row.*", F.coalesce("section_id", F.lit(root)).alias("section_id"))
+    same = F.col(key).cast(elements.schema[key].dataType).alias(key)
+    names = [same if c == key else c for c in elements.columns if c != "section_id"]
+    return found.select(*names, F.coalesce("section_id", F.lit(root)).alias("section_id"))
 
 
 def insert_missing(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -59,11 +59,14 @@ def map_document(elements: Ordered, titles: DataFrame, bookmarks: DataFrame | No
     Documents with headings are structured by them, others by bookmarks, and the
     rest stay flat. Ids are positions plus one; the root of a document is 0.
     """
+    # read for the headings, the rows below them and the documents without any
+    elements = elements.with_df(materialise(elements.df))
     rows = elements.columns(id=F.col(elements.pos) + 1)
     tree = heading_tree(rows).df.withColumns(leaf_columns())
     columns = [DOC, "id", "parent_id", "node_type", "title", "content", "level", "depth", "page", "path"]
     nodes = tree.select(*columns)
     if bookmarks is not None:
+        bookmarks = materialise(bookmarks)
         headed = elements.df.filter(F.col("element_type") == "heading").select(DOC)
         bare = titles.select(DOC).join(headed, DOC, "left_anti")
         by_mark = _bookmark_nodes(rows, bare, bookmarks, columns)

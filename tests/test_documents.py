@@ -18,7 +18,7 @@ from quillwork.operators.documents import (
     merge_paragraphs,
     running_header_detection,
 )
-from quillwork.operators.joins import points_outside_boxes
+from quillwork.operators.joins import asof_page_join, points_outside_boxes
 from quillwork.operators.ordered import Ordered
 from quillwork.operators.stacks import merge, push
 from quillwork.plans.documents import assemble_document, map_document
@@ -272,3 +272,19 @@ def test_points_and_boxes_of_any_height(spark, cell):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert 200 < len(want) < len(points) - 50
     assert points_outside_boxes(spark.createDataFrame(points, schema), spark.createDataFrame([], schema), ["page"]).count() == len(points)
+
+
+def test_columns_nobody_asks_for_are_not_sorted_along(spark, tmp_path):
+    path = str(tmp_path / "elements")
+    rows = [(1, i, i // 2, "heading" if i % 3 == 0 else "paragraph", 1, f"text {i}") for i in range(9)]
+    names = "document_id long, order_index long, page long, element_type string, level long, text string"
+    spark.createDataFrame(rows, names).write.parquet(path)
+    elements = spark.read.parquet(path)
+    marks = elements.filter("element_type = 'heading'").select("document_id", "order_index", "page", F.col("order_index").alias("id"))
+    placed = asof_page_join(elements, marks).select("order_index", "section_id")
+    tree = heading_tree(Ordered.of(elements.withColumn("id", F.col("order_index") + 1), ["document_id"], "order_index")).df.select("id", "depth")
+    for df in (placed, tree):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Relation [" not in line and "text#" in line]
+    assert sorted(map(tuple, placed.collect())) == [(i, [0, 0, 3, 3, 3, 3, 6, 6, 6][i]) for i in range(9)]
+    assert sorted(map(tuple, tree.collect())) == [(i + 1, 1 if i % 3 == 0 else 2) for i in range(9)]
