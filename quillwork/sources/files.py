@@ -17,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -37,6 +38,24 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
 
 
+def _opened(path: str):
+    """The same for a path as Spark writes it, with nothing escaped."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return _open(quote(path, safe=":/@"))
+
+
+def can_open(path: str) -> bool:
+    """Whether a path as Spark writes it is in a store that `_opened` knows."""
+    try:
+        _opened(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def _listed(path: str, types: Sequence[str]) -> list[tuple[int, str, int]]:
     """(time of change in nanoseconds, path, size) of the accepted, non-empty files under `path`."""
     from pyarrow import fs
@@ -80,6 +99,13 @@ def _described(system, path: str) -> dict:
     return {"path": path, "name": name, "stem": stem if dot and stem else name, "size": size, "checksum": digest.hexdigest()[:32]}
 
 
+def file_checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length) -> (path, length, checksum), one file after the other in pieces."""
+    for batch in batches:
+        found = [_described(*_opened(path))["checksum"] for path in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "checksum"])
+
+
 def _read(root: str, partition: Files) -> Iterator[pa.RecordBatch]:
     system, _ = _open(root)
     kind = pa.schema([(n, pa.int64() if n == "size" else pa.string()) for n in ("path", "name", "stem", "size", "checksum")])

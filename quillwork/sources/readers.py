@@ -21,6 +21,7 @@ from quillwork.functions.text import (
     suffix,
     trailing_digits,
 )
+from quillwork.sources.files import can_open, file_checksums
 
 # Accepted file types.
 DOCUMENT_TYPES = (".pdf",)
@@ -29,24 +30,41 @@ VIDEO_TYPES = (
 )
 
 
+WHOLE_BYTES = 64 << 20  # a larger file is never one value
+
+
 def scan_binary_corpus(
-    spark: SparkSession, path: str, types: Sequence[str] = DOCUMENT_TYPES
+    spark: SparkSession, path: str, types: Sequence[str] = DOCUMENT_TYPES, whole: int = WHOLE_BYTES
 ) -> DataFrame:
-    """Non-empty files of the accepted types with name, stem, size and checksum."""
+    """Non-empty files of the accepted types with name, stem, size and checksum.
+
+    Files of more than `whole` bytes are hashed in pieces and have no content. In a store
+    that only Spark can open every file is one value, at most 2 GB of it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return corpus_columns(files, types)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not can_open(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()):
+        return corpus_columns(files, types)
+    small = corpus_columns(files.filter(F.col("length") <= whole), types)
+    large = files.filter(F.col("length") > whole).filter(_accepted(types)).select("path", "length")
+    hashed = large.mapInArrow(file_checksums, "path string, length long, checksum string")
+    return small.unionByName(corpus_columns(hashed.withColumn("content", F.lit(None).cast("binary")), types))
+
+
+def _accepted(types: Sequence[str]) -> Column:
+    return suffix(F.col("path")).isin([t.lower() for t in types]) & (F.col("length") > 0)
 
 
 def corpus_columns(files: DataFrame, types: Sequence[str]) -> DataFrame:
-    """The same over any `binaryFile` DataFrame, batch or streaming."""
+    """The same over any `binaryFile` DataFrame, batch or streaming; a `checksum` it has stays."""
     p = F.col("path")
-    accepted = suffix(p).isin([t.lower() for t in types]) & (F.col("length") > 0)
-    return files.filter(accepted).select(
+    checksum = F.col("checksum") if "checksum" in files.columns else F.substring(F.sha2("content", 256), 1, 32)
+    return files.filter(_accepted(types)).select(
         "path",
         basename(p).alias("name"),
         stem(p).alias("stem"),
         F.col("length").alias("size"),
-        F.substring(F.sha2("content", 256), 1, 32).alias("checksum"),
+        checksum.alias("checksum"),
         "content",
     )
 

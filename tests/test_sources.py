@@ -28,6 +28,20 @@ def test_binary_corpus(spark, tmp_path):
     assert rows[0].checksum == hashlib.sha256(b"one").hexdigest()[:32]
 
 
+def test_files_larger_than_a_value(spark, tmp_path):
+    size, digest = (2 << 30) + 5, hashlib.sha256()
+    with open(tmp_path / "a b%20.pdf", "wb") as f:  # a hole: no disk is taken
+        f.truncate(size)
+    (tmp_path / "c.pdf").write_bytes(b"one")
+    for _ in range(2 << 7):
+        digest.update(bytes(8 << 20))
+    digest.update(bytes(5))
+    rows = readers.scan_binary_corpus(spark, str(tmp_path)).orderBy("name").collect()
+    assert [(r.name, r.size, r.checksum, r.content) for r in rows] == [
+        ("a b%20.pdf", size, digest.hexdigest()[:32], None), ("c.pdf", 3, hashlib.sha256(b"one").hexdigest()[:32], b"one"),
+    ]
+
+
 def test_archives(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
