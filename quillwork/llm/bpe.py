@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE_PATTERN = r"\s+"
 
-CACHED_WORDS = 200_000  # pieces a worker remembers; when full it starts over
+CACHED_WORDS = 200_000  # pieces and words after which a worker keeps only those still in use, for as many more
 FLAT_WORDS = 50_000  # words merged in one flat array
 
 
@@ -54,6 +54,7 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.names = {i: str(i) for i in self.tokens}
         size = max(self.tokens) + 1
         self.size = np.int64(size)
         symbols = byte_symbols()
@@ -74,10 +75,23 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
+        """Keep what was used since the last time for one more turn."""
+        self.old = self.cache
         self.cache = {self.named[s]: (1, str(i), s) for s, i in self.special.items()}
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of every word; the words are non-empty byte strings."""
+    def unknown(self, pieces: set[str]) -> list[str]:
+        """The pieces that are not remembered; those of the last turn are taken over."""
+        missing = []
+        for piece in pieces:
+            if piece not in self.cache:
+                if piece in self.old:
+                    self.cache[piece] = self.old[piece]
+                else:
+                    missing.append(piece)
+        return missing
+
+    def merge(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """Token ids of all words in a row, and where each word ends; the words are non-empty byte strings."""
         lengths = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(lengths)
@@ -117,22 +131,26 @@ class WordBpe:
         words_done = np.concatenate([w for w, _ in done]) if done else np.empty(0, np.int64)
         ids = np.concatenate([s for _, s in done]) if done else np.empty(0, np.int32)
         order = np.argsort(words_done, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(words_done, minlength=len(words)))[:-1])
+        return ids[order].tolist(), np.cumsum(np.bincount(words_done, minlength=len(words))).tolist()
 
     def learn(self, pieces: set[str]) -> None:
         """Encode white-space free pieces that are not remembered yet."""
-        new = [p for p in pieces if p not in self.cache]
-        if not new:
-            return
+        new = self.unknown(pieces)
         split = [self.words.findall(p) for p in new]
-        words = list({w for ws in split for w in ws})
-        encoded: dict[str, np.ndarray] = {}
+        # a word by itself is a piece, too
+        words = self.unknown({w for ws in split for w in ws})
         for i in range(0, len(words), FLAT_WORDS):
             part = words[i : i + FLAT_WORDS]
-            encoded.update(zip(part, self.merge([w.encode() for w in part]), strict=True))
+            ids, ends = self.merge([w.encode() for w in part])
+            names, tokens = list(map(self.names.__getitem__, ids)), list(map(self.tokens.__getitem__, ids))
+            start = 0
+            for word, end in zip(part, ends, strict=True):
+                self.cache[word] = (end - start, " ".join(names[start:end]), " ".join(tokens[start:end]))
+                start = end
         for piece, ws in zip(new, split, strict=True):
-            ids = [i for w in ws for i in encoded[w].tolist()]
-            self.cache[piece] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
+            if piece not in self.cache:
+                found = [self.cache[w] for w in ws]
+                self.cache[piece] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
 
     def pieces(self, text: str) -> list[str]:
         """Normalised text cut at white space, which no word crosses."""

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quillwork.llm import bpe
 from quillwork.llm.bpe import encode_digests, encode_documents, load
 
 PATH = "/opt/tokenizers/word_bpe_49k.json"
@@ -66,3 +67,15 @@ def test_rows(spark, theirs):
     assert whole[2].ids == [] and whole[2].decoded == ""
     assert len(whole[3].ids) == 30_000
     assert encode_digests(df.limit(0), PATH).count() == 0
+
+
+def test_words_in_use_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    coder = bpe.WordBpe(bpe.vocabulary("word_bpe_49k.json"))
+    merged, merge = [], coder.merge
+    monkeypatch.setattr(coder, "merge", lambda words: merged.extend(words) or merge(words))
+    texts = ["often, often red", "often green", "often blue, grey 17", "often red"]
+    found = [next(coder.encode_batch([t])) for t in texts]
+    assert merged.count(b"often") == 1 and merged.count(b",") == 1
+    fresh = bpe.WordBpe(bpe.vocabulary("word_bpe_49k.json"))
+    assert found == list(fresh.encode_batch(texts))
