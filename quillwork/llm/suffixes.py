@@ -34,7 +34,9 @@ from quillwork.session import materialise
 LENGTH = 100  # bytes that have to repeat
 GRAM = 32  # bytes of an anchor
 LANE = 2_048  # different stretches of an anchor that share a suffix array; more are dealt out by window
-LANE_BYTES = 3_000_000  # text of suffix arrays that are built side by side
+LANE_BYTES = 1_500_000  # text of suffix arrays that are built side by side
+LOOK_BYTES = 250_000  # bytes of stretches whose surroundings of anchors are compared together
+AROUND = 9  # places of the anchor in a window that are looked at together, before suffixes are ordered
 
 
 def lyndon_groups(text: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,29 +283,92 @@ def repeats_in_lanes(groups: list[list[tuple[int, int, int, bytes]]]) -> list[tu
     return list(zip(key[own[cut]].tolist(), begin.tolist(), end.tolist(), strict=True))
 
 
+def may_repeat(
+    data: np.ndarray, ends: np.ndarray, lane: np.ndarray, anchor: np.ndarray, n: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first window, windows) of the part of each stretch that another one of its lane may have, too.
+
+    `data` holds the bytes of all stretches one after the other, `ends` where each stops.
+    Equal windows have their anchor at the same place, so windows that hold it between
+    a and b bytes from their start are equal only if what is around the anchor in all
+    of them is. Stretches that have nothing of that in common with another have no repeat.
+    """
+    size = data.size
+    starts = np.r_[0, ends[:-1]]
+    up, down = _POWERS.upto(size + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_EXACT[data] * up[:size])])
+        grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: size - GRAM + 1])
+        owner = np.repeat(np.arange(ends.size), ends - starts)
+        place = np.flatnonzero(grams == anchor[owner[: grams.size]])
+        # the leftmost that ends inside
+        place = place[place + GRAM <= ends[owner[place]]]
+        own, at = np.unique(owner[place], return_index=True)
+        at = place[at]
+        most = at - starts[own]  # bytes before the anchor in the first window, and in the last
+        least = most - n[own] + 1
+        a = np.arange(0, LENGTH - GRAM + 1, AROUND)
+        b = np.minimum(a + AROUND, LENGTH - GRAM + 1) - 1
+        row, k = np.nonzero((a <= most[:, None]) & (b >= least[:, None]))
+        low, high = at[row] - a[k], at[row] + LENGTH - b[k]
+        around = (sums[high] - sums[low]) * down[low]
+        key = mix(around ^ mix(lane[own[row]].astype(np.uint64) * np.uint64(a.size) + k.astype(np.uint64)))
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = times[back] > 1
+    row, k = row[shared], k[shared]
+    head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: row.size])
+    last = np.r_[head[1:], row.size][: head.size] - 1
+    row, most, least = row[head], np.minimum(most[row[head]], b[k[last]]), np.maximum(least[row[head]], a[k[head]])
+    return own[row], at[row] - most - starts[own[row]], most - least + 1
+
+
 def _lane_spans(df: DataFrame) -> DataFrame:
     """(id, low, high) from (anchor, rows), `rows` a bounded list of different stretches."""
 
     def flush(groups):
-        spans = repeats_in_lanes(groups)
+        # texts of like length are built side by side
+        spans = repeats_in_lanes(sorted(groups, key=lambda g: sum(len(r[3]) for r in g)))
         kinds = (pa.int64(), pa.int32(), pa.int32())
         columns = zip(*spans, strict=True) if spans else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            # texts of like length are built side by side
-            groups = [[(r["id"], r["low"], r["n"], r["bytes"]) for r in rows] for rows in batch.column(0).to_pylist()]
-            groups.sort(key=lambda g: sum(len(r[3]) for r in g))
-            held, size = [], 0
-            for group in groups:
-                held.append(group)
-                size += sum(len(r[3]) for r in group)
-                if size >= LANE_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-            if held:
-                yield flush(held)
+            if not batch.num_rows:
+                continue
+            anchors = np.asarray(batch.column(0)).view(np.uint64)
+            count = np.asarray(batch.column(1).value_lengths())
+            key, low, n, body = batch.column(1).flatten().flatten()
+            key, low, n = np.asarray(key), np.asarray(low), np.asarray(n)
+            body = body.cast(pa.large_binary())
+            _, ends, data = body.buffers()
+            ends, data = np.frombuffer(ends, np.int64)[body.offset : body.offset + len(body) + 1], np.frombuffer(data, np.uint8)
+            lane = np.repeat(np.arange(count.size), count)
+            first = np.r_[0, np.cumsum(count)]  # of the stretches of a lane
+            at = 0
+            while at < count.size:
+                stop = int(np.searchsorted(ends[first], ends[first[at]] + LOOK_BYTES, side="right")) - 1
+                stop = min(max(stop, at + 1), count.size)
+                a, b = first[at], first[stop]
+                own = slice(a, b)
+                raw = data[ends[a] : ends[b]]
+                found = may_repeat(raw, ends[a + 1 : b + 1] - ends[a], lane[own], anchors[lane[own]], n[own])
+                before = -1
+                for i, skip, windows in zip((found[0] + a).tolist(), *(c.tolist() for c in found[1:]), strict=True):
+                    if lane[i] != before:
+                        if size >= LANE_BYTES:
+                            yield flush(held)
+                            held, size = [], 0
+                        held.append([])
+                        before = lane[i]
+                    begin = ends[i] + skip
+                    piece = data[begin : begin + windows + LENGTH - 1].tobytes()
+                    held[-1].append((int(key[i]), int(low[i]) + skip, windows, piece))
+                    size += len(piece)
+                at = stop
+        if held:
+            yield flush(held)
 
     return df.mapInArrow(run, "id long, low int, high int")
 
@@ -364,7 +429,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     lanes = bodies.where("not hot").groupBy("anchor").agg(
         F.collect_list(F.struct("id", "low", "n", "bytes")).alias("rows")
     )  # LANE rows at most
-    ordered = _lane_spans(lanes.select("rows"))
+    ordered = _lane_spans(lanes.select("anchor", "rows"))
     windows = materialise(_windows(bodies.where("hot")))
     earliest = windows.groupBy("one", "two").agg(F.min(F.struct("id", "start")).alias("least"), F.count("*").alias("times"))
     dealt = windows.join(earliest.where("times > 1"), ["one", "two"]).where(F.struct("id", "start") != F.col("least"))

@@ -87,3 +87,34 @@ def test_suffix_arrays_of_many_texts():
 def test_cutting():
     assert cut_spans(b"0123456789", [(2, 4), (3, 5), (5, 6), (8, 99)]) == (b"0167", 6, 2)
     assert cut_spans(b"abc", []) == (b"abc", 0, 0)
+
+
+def test_only_what_may_repeat_is_ordered():
+    """Stretches that share an anchor and little around it reach no suffix array; no repeated window is lost."""
+    r = random.Random(6)
+    text = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    pieces, lanes = [], []
+    for lane in range(40):
+        anchor, around = text(suffixes.GRAM), (text(68), text(68))
+        for _ in range(r.randint(2, 6)):
+            left, right = r.randint(0, 68), r.randint(0, 68)
+            whole = text(68 - left) + around[0][68 - left :] + anchor + around[1][:right] + text(68 - right)
+            low = r.randint(0, 60)
+            pieces.append((lane, low, r.randint(1, 69 - low), whole, anchor))
+            lanes.append(lane)
+    n = np.array([p[2] for p in pieces])
+    bodies = [p[3][p[1] : p[1] + p[2] + LENGTH - 1] for p in pieces]
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    name = lambda a: suffixes.mix(
+        np.array([np.sum(suffixes._EXACT[np.frombuffer(a, np.uint8)] * suffixes._POWERS.upto(200)[0][: len(a)])], np.uint64)
+    )[0]
+    anchors = np.array([name(p[4]) for p in pieces], np.uint64)
+    found = suffixes.may_repeat(data, np.cumsum([len(b) for b in bodies]), np.array(lanes), anchors, n)
+    kept = {(i, w) for i, skip, count in zip(*(c.tolist() for c in found), strict=True) for w in range(skip, skip + count)}
+    met = {}
+    for i, body in enumerate(bodies):
+        for w in range(n[i]):
+            met.setdefault((lanes[i], body[w : w + LENGTH]), []).append((i, w))
+    repeated = {place for places in met.values() if len(places) > 1 for place in places}
+    assert repeated and repeated <= kept
+    assert len(kept) < n.sum() / 2
