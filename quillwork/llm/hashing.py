@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-CHUNK_BYTES = 2_000_000  # text bytes hashed together; a longer text is hashed alone
+CHUNK_BYTES = 500_000  # text bytes hashed together, at some 50 bytes of memory a byte; a longer text is hashed alone
 
 _RANDOM = np.random.default_rng(20_240_501)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
@@ -65,12 +65,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of pieces of about `CHUNK_BYTES`."""
+def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of pieces of about `size` bytes."""
     data, offsets = text_buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         end = min(max(end, row + 1), rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

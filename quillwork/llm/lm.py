@@ -22,6 +22,7 @@ from quillwork.session import materialise
 
 STRENGTH = 5.0  # how many counts the unigram distribution is worth in a context
 FLUSH = 1_000_000  # different pairs a task holds before it hands them on
+MERGED_BYTES = 2_000_000  # text whose pairs are merged into those held at a time
 UNITS = float(1 << 30)  # of a bit; whole numbers sum up to the same in any order
 
 
@@ -52,7 +53,7 @@ def pair_counts(df: DataFrame) -> DataFrame:
 
         for batch in batches:
             chosen = np.asarray(batch.column(1).fill_null(False))
-            for row, end, data, offsets in text_chunks(batch.column(0)):
+            for row, end, data, offsets in text_chunks(batch.column(0), MERGED_BYTES):
                 pair, before, word, text = _pairs(data, offsets)
                 held.append([pair, before, word, np.ones(pair.size, np.int64), chosen[row:end][text].astype(np.int64)])
                 held = [merged()]

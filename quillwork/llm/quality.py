@@ -32,6 +32,7 @@ REACH = 2  # neighbours on either side
 HIDDEN = 16
 TRAIN_ROWS = 20_000  # most labelled rows that are taken for training
 EPOCHS = 60
+POOLED_WORDS = 20_000  # words whose vectors are laid out together; a longer text's are at once
 SEED = 11
 
 _CLASS = np.zeros(256, np.uint8)  # other bytes, among them those of non-ASCII letters: 0
@@ -140,8 +141,13 @@ def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nda
     full = np.flatnonzero(np.diff(first) > 0)
     if full.size:
         both = np.concatenate([vectors, index_vectors().astype(np.float32)], axis=1)
-        count = np.diff(first)[full].astype(np.float32)
-        out[full, : 2 * WIDTH] = np.add.reduceat(both[bucket], first[full], axis=0) / count[:, None]
+        # the rows of all words at once would take more than a hundred times the text
+        piece = np.searchsorted(first[full], np.arange(0, bucket.size, POOLED_WORDS))
+        for a, b in zip(piece, np.r_[piece[1:], full.size], strict=True):
+            if a < b:
+                begin, part = first[full[a]], full[a:b]
+                sums = np.add.reduceat(both[bucket[begin : first[part[-1] + 1]]], first[part] - begin, axis=0)
+                out[part, : 2 * WIDTH] = sums / np.diff(first)[part].astype(np.float32)[:, None]
     return out
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +60,17 @@ def test_a_long_text_pools_like_its_parts():
     assert rows.shape == (3, 2 * WIDTH + SHARES)
     assert np.allclose(rows[0, : 2 * WIDTH], rows[1, : 2 * WIDTH], atol=1e-2)
     assert not rows[2].any()
+
+
+def test_pooling_takes_few_bytes_a_word():
+    """The vectors of all words of a piece of text are never laid out at once."""
+    texts = pa.array(["alpha beta gamma delta " * 500] * 50)
+    data, offsets = text_buffers(texts)
+    vectors = np.ones((1 << 13, WIDTH), np.float32)
+    whole = pooled(vectors, data, offsets)
+    tracemalloc.start()
+    rows = pooled(vectors, data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000 * 2 * WIDTH * 4
+    assert np.array_equal(rows, whole) and np.array_equal(rows[0], rows[49])
