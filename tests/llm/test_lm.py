@@ -79,3 +79,26 @@ def test_more_pairs_than_two_to_the_twentieth(spark):
         assert got[d].n_tokens == expected[d][0]
         assert got[d].ce_target == pytest.approx(expected[d][1], abs=1e-6)
         assert got[d].ce_background == pytest.approx(expected[d][2], abs=1e-6)
+
+
+def test_pairs_are_not_moved_one_by_one(spark):
+    """Pairs met once, the most a corpus can have, cost less room on their way than rows of their own would."""
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{r.randrange(20_000)}" for _ in range(4_000))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = moved()
+    assert cross_entropy_difference(df, spark.createDataFrame([(0,)], "doc_id long")).where("n_tokens = 4000").count() == 100
+    assert moved() - before < 30 * 400_000
+
+
+@pytest.mark.parametrize("size", [1, 3_000])
+def test_any_cut_into_blocks_and_buckets(spark, monkeypatch, size):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(0, 60)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = spark.createDataFrame([(i,) for i in range(0, 80, 3)], "doc_id long")
+    whole = sorted(cross_entropy_difference(df, keys).collect(), key=lambda x: x.doc_id)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", size)
+    assert sorted(cross_entropy_difference(df, keys).collect(), key=lambda x: x.doc_id) == whole
