@@ -34,7 +34,8 @@ from quillwork.session import materialise
 LENGTH = 100  # bytes that have to repeat
 GRAM = 32  # bytes of an anchor
 LANE = 2_048  # different stretches of an anchor that share a suffix array; more are dealt out by window
-LANE_BYTES = 1_500_000  # text of suffix arrays that are built side by side
+LANE_BYTES = 1_000_000  # text of suffix arrays that are built side by side
+PIECE_BYTES = 1_000_000  # stretches that a task hands on at once
 LOOK_BYTES = 250_000  # bytes of stretches whose surroundings of anchors are compared together
 AROUND = 9  # places of the anchor in a window that are looked at together, before suffixes are ordered
 
@@ -214,26 +215,39 @@ def packed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id long, body binary")
 
 
-def _bodies(df: DataFrame) -> DataFrame:
-    """(anchor, id, low, n, bytes) from (id, body, wanted), `wanted` a list of (anchor, low, n)."""
+def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, id, low, n, bytes) from (id, body, wanted), about `PIECE_BYTES` at a time, whatever comes in at once."""
+    unpack = zstandard.ZstdDecompressor()
+
+    def out(keys: list[int], at: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(anchor[at]), pa.array(keys, pa.int64()), pa.array(low[at]), pa.array(n[at])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], names=["anchor", "id", "low", "n", "bytes"])
+
+    for batch in batches:
+        wanted = batch.column(2)
+        first = np.cumsum([0, *wanted.value_lengths().to_pylist()])
+        anchor, low, n = (np.asarray(c) for c in wanted.flatten().flatten())
+        keys, at, pieces, size = [], [], [], 0
+        for i, key in enumerate(batch.column(0).to_pylist()):
+            body = batch.column(1)[i].as_py()
+            raw = unpack.decompress(body) if body else b""
+            for j in range(first[i], first[i + 1]):
+                piece = raw[low[j] : low[j] + n[j] + LENGTH - 1]
+                if len(piece) == n[j] + LENGTH - 1:
+                    keys.append(key)
+                    at.append(j)
+                    pieces.append(piece)
+                    size += len(piece)
+                if size >= PIECE_BYTES:
+                    yield out(keys, at, pieces)
+                    keys, at, pieces, size = [], [], [], 0
+        if at:
+            yield out(keys, at, pieces)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = [[], [], [], [], []]
-            for key, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = unpack.decompress(body) if len(body) else b""
-                for w in wanted:
-                    piece = raw[w["low"] : w["low"] + w["n"] + LENGTH - 1]
-                    if len(piece) == w["n"] + LENGTH - 1:
-                        for out, value in zip(rows, (w["anchor"], key, w["low"], w["n"], piece), strict=True):
-                            out.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=["anchor", "id", "low", "n", "bytes"]
-            )
 
-    return df.mapInArrow(run, "anchor long, id long, low int, n int, bytes binary")
+def _bodies(df: DataFrame) -> DataFrame:
+    """(anchor, id, low, n, bytes) from (id, body, wanted), `wanted` a list of (anchor, low, n)."""
+    return df.mapInArrow(cut_pieces, "anchor long, id long, low int, n int, bytes binary")
 
 
 def repeats_in_lanes(groups: list[list[tuple[int, int, int, bytes]]]) -> list[tuple[int, int, int]]:

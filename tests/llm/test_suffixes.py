@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from quillwork.llm import suffixes
 from quillwork.llm.suffixes import LENGTH, cut_spans, drop_repeats, repeat_digests, suffix_arrays
@@ -118,3 +120,21 @@ def test_only_what_may_repeat_is_ordered():
     repeated = {place for places in met.values() if len(places) > 1 for place in places}
     assert repeated and repeated <= kept
     assert len(kept) < n.sum() / 2
+
+
+def test_stretches_are_handed_on_in_small_batches():
+    """Many overlapping stretches of documents that come in one batch do not leave in one."""
+    r = random.Random(2)
+    texts = [bytes(r.choice(b"abcdefgh ") for _ in range(n)) for n in (99, 5_000, 20_000, 150, 9_000)]
+    wanted = [[{"anchor": a, "low": a % 7_000, "n": 1 + a % 69} for a in range(0, 9_000, 2)] for _ in texts]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("low", pa.int32()), ("n", pa.int32())]))
+    columns = [pa.array(range(5)), pa.array([zstandard.compress(t) for t in texts], pa.binary()), pa.array(wanted, kind)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["id", "body", "wanted"])
+    got = list(suffixes.cut_pieces(iter([batch, batch.slice(2, 1), batch.slice(0, 0)])))
+    assert sum(b.nbytes for b in got) > 2 * suffixes.PIECE_BYTES and max(b.nbytes for b in got) < 2 * suffixes.PIECE_BYTES
+    rows = [tuple(x.values()) for b in got for x in b.to_pylist()]
+    whole = [
+        (w["anchor"], i, w["low"], w["n"], texts[i][w["low"] : w["low"] + w["n"] + LENGTH - 1])
+        for i in [*range(5), 2] for w in wanted[i] if w["low"] + w["n"] + LENGTH - 1 <= len(texts[i])
+    ]
+    assert rows == whole
