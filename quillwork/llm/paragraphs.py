@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.components import components
 from quillwork.llm.hashing import (
-    SHINGLE, MinHasher, combine, mix, set_digest, shingle_hashes, signed, span_hashes, text_chunks, word_spans,
+    SHINGLE, MinHasher, combine, set_digests, shingle_hashes, signed, span_hashes, text_chunks, word_spans,
 )
 from quillwork.llm.minhash import SIMILARITY, near_links
 from quillwork.llm.suffixes import cut_spans, packed
@@ -134,8 +134,25 @@ def _signs(df: DataFrame, percent: int) -> DataFrame:
     return df.mapInArrow(run, "gram long, doc long")
 
 
+def _digests(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the set of shingles of every paragraph."""
+    out = [(np.empty(0, np.uint64), np.empty(0, np.uint64))]
+    for low in range(0, a.size, BLOCK):
+        x, n = a[low : low + BLOCK], (b - a)[low : low + BLOCK] - SHINGLE + 1
+        gram = grams[np.repeat(x - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        unit = np.repeat(np.arange(x.size), n)
+        order = np.lexsort((gram, unit))
+        gram, unit = gram[order], unit[order]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (unit[1:] != unit[:-1])]
+        out.append(set_digests(gram[new], np.searchsorted(unit[new], np.arange(x.size))))
+    return np.concatenate([one for one, _ in out]), np.concatenate([two for _, two in out])
+
+
 def banded(df: DataFrame, percent: int, recall: float) -> DataFrame:
-    """(bucket, doc, low, high) of (doc, body, shared): band keys of paragraphs with one of the shared shingles among their smallest."""
+    """(doc, low, high, one, two, buckets) of (doc, body, shared): paragraphs with one of the shared shingles among their smallest.
+
+    `one` and `two` name a paragraph's set of shingles, `buckets` are its band keys.
+    """
     bands = tune_bands(percent, recall)
     hasher = MinHasher(bands * ROWS, seed=23)
 
@@ -144,7 +161,7 @@ def banded(df: DataFrame, percent: int, recall: float) -> DataFrame:
         for batch in batches:
             for doc, body, shared in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw = np.frombuffer(unpack.decompress(body.as_py()), np.uint8)
-                _, a, b, starts, ends, hashes, first = paragraphs_of(raw, np.array([0, raw.size]))
+                _, a, b, starts, ends_of, hashes, first = paragraphs_of(raw, np.array([0, raw.size]))
                 grams = _shingle_ranges(hashes, first)
                 unit, gram = _smallest(grams, a, b, percent)
                 chosen = np.unique(unit[np.isin(gram, np.asarray(shared.values).view(np.uint64))])
@@ -158,21 +175,28 @@ def banded(df: DataFrame, percent: int, recall: float) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for k, (flip, odd) in enumerate(zip(hasher.flip, hasher.odd, strict=True)):
                         mins[:, k] = np.minimum.reduceat((padded ^ flip) * odd, pairs)[::2]
-                keys = np.concatenate([combine(mins[:, k * ROWS : (k + 1) * ROWS], k) for k in range(bands)])
-                places = [pa.array(np.tile(x.astype(np.int32), bands)) for x in (starts[a], ends[b - 1])]
-                docs = pa.array(np.full(keys.size, doc.as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), docs, *places], names=["bucket", "doc", "low", "high"])
+                keys = np.stack([combine(mins[:, k * ROWS : (k + 1) * ROWS], k) for k in range(bands)], axis=1)
+                ends = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(a.size, doc.as_py(), np.int64)),
+                        *[pa.array(x.astype(np.int32)) for x in (starts[a], ends_of[b - 1])],
+                        *[pa.array(signed(x)) for x in _digests(grams, a, b)],
+                        pa.ListArray.from_arrays(ends, pa.array(signed(keys.ravel()))),
+                    ],
+                    names=["doc", "low", "high", "one", "two", "buckets"],
+                )
 
-    return df.mapInArrow(run, "bucket long, doc long, low int, high int")
+    return df.mapInArrow(run, "doc long, low int, high int, one long, two long, buckets array<long>")
 
 
 def _wanted_sets(df: DataFrame) -> DataFrame:
-    """(doc, low, high, one, two, grams) of (doc, body, wanted), `wanted` the first and end bytes of paragraphs."""
+    """(doc, low, high, grams) of (doc, body, wanted), `wanted` the first and end bytes of paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [[], [], [], [], [], []]
+            rows = [[], [], [], []]
             for doc, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = np.frombuffer(unpack.decompress(body), np.uint8)
                 _, a, b, starts, ends, hashes, first = paragraphs_of(raw, np.array([0, raw.size]))
@@ -181,15 +205,14 @@ def _wanted_sets(df: DataFrame) -> DataFrame:
                 for x, y, low, high in zip(a.tolist(), b.tolist(), starts[a].tolist(), ends[b - 1].tolist(), strict=True):
                     if (low, high) in chosen:
                         own = np.unique(grams[x : y - SHINGLE + 1])
-                        one, two = signed(np.array(set_digest(own), np.uint64)).tolist()
-                        for out, v in zip(rows, (doc, low, high, one, two, signed(own)), strict=True):
+                        for out, v in zip(rows, (doc, low, high, signed(own)), strict=True):
                             out.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=["doc", "low", "high", "one", "two", "grams"]
+                [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=["doc", "low", "high", "grams"]
             )
 
-    return df.mapInArrow(run, "doc long, low int, high int, one long, two long, grams array<long>")
+    return df.mapInArrow(run, "doc long, low int, high int, grams array<long>")
 
 
 def repeated_passages(
@@ -210,22 +233,20 @@ def repeated_passages(
     # a document's own shingles, so as many as it is long
     bodies = packed(rows).dropDuplicates(["id"]).withColumnRenamed("id", "doc")
     bodies = materialise(bodies.join(hits, "doc").select("doc", "body", "shared"))
-    bands = materialise(banded(bodies, percent, recall))
+    units = materialise(banded(bodies, percent, recall))
+    place, same = ["doc", "low", "high"], ["one", "two"]
+    # paragraphs with equal sets are one, under the first of them, and have their bands once
+    ends = [F.min("doc").alias("a"), F.max("doc").alias("b")]
+    classes = materialise(units.groupBy(*same).agg(F.min(F.struct(*place)).alias("id"), *ends, F.first("buckets").alias("buckets")))
+    buckets = classes.select("id", "a", "b", F.explode("buckets").alias("bucket"))
     # a band of one document only joins nothing
-    shared = bands.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("bucket")
-    buckets = materialise(bands.join(shared, "bucket", "left_semi"))
-    place = ["doc", "low", "high"]
-    wanted = buckets.select(*place).distinct().groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
+    shared = buckets.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("bucket")
+    named = materialise(buckets.select("bucket", "id").join(shared, "bucket", "left_semi").distinct())
+    wanted = named.select("id.*").distinct().groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
     # as many as the document has paragraphs
-    found = materialise(_wanted_sets(bodies.join(wanted, "doc").select("doc", "body", "wanted")))
-    # paragraphs with equal sets are one, under the first of them
-    same = ["one", "two"]
-    classes = materialise(
-        found.groupBy(*same).agg(F.min(F.struct(*place)).alias("id"), F.first("grams").alias("grams"))
-    )
-    members = materialise(found.select(*place, *same).join(classes.select(*same, "id"), same))
-    named = buckets.join(members.select(*place, "id"), place).select("bucket", "id").distinct()
-    links = near_links(materialise(named), classes.select("id", "grams"), percent)
+    sets = _wanted_sets(bodies.join(wanted, "doc").select("doc", "body", "wanted"))
+    links = near_links(named, materialise(sets.select(F.struct(*place).alias("id"), "grams")), percent)
+    members = units.select(*place, *same).join(classes.select(*same, "id"), same)
     joined = materialise(components(links))
     clusters = members.join(joined.withColumnRenamed("node", "id"), "id", "left")
     clusters = materialise(clusters.select("doc", "low", "high", F.coalesce("component", "id").alias("cluster")))

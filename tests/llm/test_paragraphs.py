@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from quillwork.llm.hashing import text_buffers
+from quillwork.llm import paragraphs
+from quillwork.llm.hashing import set_digest, text_buffers
 from quillwork.llm.paragraphs import paragraphs_of, repeated_passages, tune_bands, without_passages
 
 VOCAB = [f"w{i}" for i in range(500)]
@@ -142,3 +143,14 @@ def test_planted_passages_at_any_place(spark):
         assert still <= 20, (doc, still)
         lost += still / len(words)
     assert lost / 60 < 0.2
+
+
+def test_paragraphs_are_named_by_their_sets(monkeypatch):
+    """Side by side as one by one, whatever is sorted together; so equal sets get their bands once."""
+    monkeypatch.setattr(paragraphs, "BLOCK", 7)
+    data, offsets = text_buffers(pa.array([t for _, t in corpus()] + ["same " * 40]))
+    _, a, b, _, _, hashes, first = paragraphs_of(data, offsets)
+    grams = paragraphs._shingle_ranges(hashes, first)
+    one, two = paragraphs._digests(grams, a, b)
+    whole = [set_digest(np.unique(grams[x : y - 4])) for x, y in zip(a, b, strict=True)]
+    assert len(whole) > len(set(whole)) > 7 and list(zip(one.tolist(), two.tolist(), strict=True)) == whole
