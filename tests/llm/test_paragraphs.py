@@ -154,3 +154,40 @@ def test_paragraphs_are_named_by_their_sets(monkeypatch):
     one, two = paragraphs._digests(grams, a, b)
     whole = [set_digest(np.unique(grams[x : y - 4])) for x, y in zip(a, b, strict=True)]
     assert len(whole) > len(set(whole)) > 7 and list(zip(one.tolist(), two.tolist(), strict=True)) == whole
+
+
+def test_sets_of_one_text_are_compared_by_their_places():
+    """With repeated shingles too; texts have nothing to do with each other, and what lies far apart is no longer to reduce."""
+    r = random.Random(12)
+    passage = prose(r, 60)
+    texts = [prose(r, 200), "", passage + " " + prose(r, 30) + " " + passage.replace("w1", "x1"), "a b c d e f g " * 30, passage]
+    data, offsets = text_buffers(pa.array(texts))
+    text, a, b, _, _, hashes, first = paragraphs_of(data, offsets)
+    grams = paragraphs._shingle_ranges(hashes, first)
+    sets = [frozenset(grams[x : y - 4].tolist()) for x, y in zip(a, b, strict=True)]
+    known = {s: i for i, s in reversed(list(enumerate(sets)))}
+    head = np.array(sorted(known.values()))
+    member = np.searchsorted(head, [known[s] for s in sets])
+    one_band = np.zeros((head.size, 1), np.uint64)
+    got = paragraphs._within_texts(grams, a[head], b[head], one_band, text, member, 75)
+    links = [
+        (member[i], member[j]) for i in range(a.size) for j in range(i)
+        if text[i] == text[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    ]
+    assert got.tolist() == paragraphs._least(head.size, *np.array(links).T).tolist()
+    assert 1 < len(set(got.tolist())) < head.size
+
+
+def test_only_texts_without_a_text_in_common_send_bands(spark, monkeypatch):
+    """Whole copies are compared in one text; bands of very many sets are dealt out, with the same result."""
+    sent = []
+    real = paragraphs._band_links
+    monkeypatch.setattr(paragraphs, "_band_links", lambda rows, percent: sent.append(rows.count()) or real(rows, percent))
+    text = prose(random.Random(4), 300)
+    copies = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").repartition(3)
+    got = without_passages(copies).collect()
+    assert sent == [0] and {x.doc_id: x.n_removed for x in got} == {i: len(text) if i else 0 for i in range(6)}
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    want = set(repeated_passages(df).collect())
+    monkeypatch.setattr(paragraphs, "MEMBERS", 2)
+    assert set(repeated_passages(df).collect()) == want and sent[1] > sent[2]
