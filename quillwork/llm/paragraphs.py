@@ -51,7 +51,7 @@ BLOCK = 100_000  # paragraphs whose shingles are sorted together
 BLOCK_BYTES = 2_000_000  # text that is looked at together; a longer text is a block of its own
 BUCKET_BYTES = 16_000_000  # text for which there is one more bucket of shingles
 PAIRS = 200_000  # pairs of sets that are compared together
-MEMBERS = 1_000  # sets of a band that are compared in one task; the pairs of more are dealt out
+MEMBERS = 5_000  # sets of a band that are compared in one task, 12 million pairs at most; the pairs of more are dealt out
 PART_ROWS = 20_000  # sets in bands for which there is one more part
 
 
