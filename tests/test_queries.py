@@ -25,5 +25,15 @@ def test_query(spark, con, name):
     assert verdict.startswith(("ok", "rows only")), verdict
 
 
+def test_unions_of_tables_dealt_out_by_a_key(spark, con):
+    name = "l5_map_document_by_bookmarks"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        verdict = compare(spark, con, name, QUERIES[name], SQL[name], SF_DIR)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert verdict.startswith("ok"), verdict
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
