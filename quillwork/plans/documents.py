@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.operators.documents import (
@@ -53,11 +53,14 @@ def layout_to_elements(
     return numbered.with_df(numbered.df.drop("turn", "source_order")), text_layer_flag(blocks)
 
 
-def map_document(elements: Ordered, titles: DataFrame, bookmarks: DataFrame | None = None) -> DataFrame:
+def map_document(
+    elements: Ordered, titles: DataFrame, bookmarks: DataFrame | None = None, untitled: Column | None = None
+) -> DataFrame:
     """Elements -> tree nodes (id, parent_id, node_type, title, depth, path).
 
     Documents with headings are structured by them, others by bookmarks, and the
     rest stay flat. Ids are positions plus one; the root of a document is 0.
+    `untitled`, over `titles`, names the roots of documents without a title.
     """
     # read for the headings, the rows below them and the documents without any
     elements = elements.with_df(materialise(elements.df))
@@ -71,7 +74,8 @@ def map_document(elements: Ordered, titles: DataFrame, bookmarks: DataFrame | No
         bare = titles.select(DOC).join(headed, DOC, "left_anti")
         by_mark = _bookmark_nodes(rows, bare, bookmarks, columns)
         nodes = nodes.join(bare, DOC, "left_anti").unionByName(by_mark)
-    name = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Document "), F.col(DOC)))
+    default = F.concat(F.lit("Document "), F.col(DOC)) if untitled is None else untitled
+    name = F.coalesce(F.nullif(F.col("title"), F.lit("")), default)
     roots = titles.select(
         DOC, F.lit(0).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"),
         F.lit("root").alias("node_type"), name.alias("title"),

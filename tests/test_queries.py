@@ -53,7 +53,7 @@ def odd_dir(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["i19_word_count", "i5_clean_lines"])
+@pytest.mark.parametrize("name", ["i19_word_count", "i5_clean_lines", "l5_map_document"])
 def test_texts_without_words(spark, odd_dir, name):
     verdict = compare(spark, connect(odd_dir), name, QUERIES[name], SQL[name], odd_dir)
     assert verdict.startswith("ok"), verdict
