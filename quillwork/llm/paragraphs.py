@@ -27,6 +27,7 @@ only sets that have, once for all equal ones, send their bands to other blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil, log
 
 import numpy as np
@@ -256,6 +257,21 @@ def _group_pairs(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = high
 
 
+def _stars(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the first place, then of one in the middle and of the last one, with all others of one value in `groups`."""
+    if not groups.size:
+        return
+    new = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    n = np.diff(np.r_[new, groups.size])
+    places = np.arange(groups.size)
+    for center in (new, new + n // 2, new + n - 1):
+        center = np.repeat(center, n)
+        for low in range(0, groups.size, PAIRS):
+            part = slice(low, low + PAIRS)
+            other = center[part] != places[part]
+            yield center[part][other], places[part][other]
+
+
 def _similar(names: np.ndarray, first: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of sets reach the similarity; set i is `names[first[i]:first[i + 1]]`, small numbers without repeats."""
     out = np.zeros(one.size, bool)
@@ -451,7 +467,11 @@ def _wanted_grams(df: DataFrame) -> DataFrame:
 
 
 def _band_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): roots of linked sets of (part, bucket, text, root, grams) that share a bucket and no text."""
+    """(a, b): roots of sets of (part, bucket, text, root, grams) and the smallest ones that links in the buckets connect them with.
+
+    Sets of one text are taken as compared. Every set is first compared with a few sets of its
+    bucket; after that only pairs that are not connected yet.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
@@ -459,14 +479,17 @@ def _band_links(rows: DataFrame, percent: int) -> DataFrame:
         grams = table.column("grams").combine_chunks()
         names = np.unique(np.asarray(grams.flatten()), return_inverse=True)[1]
         first = np.r_[0, np.cumsum(np.asarray(grams.value_lengths()))]
-        found = [np.empty((0, 2), np.int64)]
-        for i, j in _group_pairs(bucket):
-            apart = (text[i] != text[j]) & (root[i] != root[j])
+        roots, own = np.unique(root, return_inverse=True)
+        label = np.arange(roots.size)
+        for i, j in chain(_stars(bucket), _group_pairs(bucket)):
+            apart = (text[i] != text[j]) & (label[own[i]] != label[own[j]])
             i, j = i[apart], j[apart]
             near = _similar(names, first, i, j, percent)
-            found.append(np.stack([root[i[near]], root[j[near]]], axis=1))
-        found = np.unique(np.concatenate(found), axis=0)
-        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            if near.any():
+                one, two = np.r_[np.arange(roots.size), own[i[near]]], np.r_[label, own[j[near]]]
+                label = _least(roots.size, one, two)
+        moved = np.flatnonzero(label != np.arange(roots.size))
+        return pa.Table.from_arrays([pa.array(roots[moved]), pa.array(roots[label[moved]])], names=["a", "b"])
 
     return rows.groupBy("part").applyInArrow(run, "a long, b long")
 

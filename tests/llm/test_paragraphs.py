@@ -191,3 +191,23 @@ def test_only_texts_without_a_text_in_common_send_bands(spark, monkeypatch):
     want = set(repeated_passages(df).collect())
     monkeypatch.setattr(paragraphs, "MEMBERS", 2)
     assert set(repeated_passages(df).collect()) == want and sent[1] > sent[2]
+
+
+def test_links_of_a_band_grow_with_its_sets(spark):
+    """Chains and large groups of near sets: what they connect is connected, by fewer links than there are sets."""
+    r = random.Random(15)
+    base = [r.sample(range(10_000), 40) for _ in range(3)]
+    grams = [sorted({*base[0][: 40 - i % 4], *r.sample(range(10_000), i % 4)}) for i in range(120)]  # all near to each other
+    grams += [sorted(base[1][i % 30 :] + base[2][: i % 30]) for i in range(60)]  # near to the next ones only
+    rows = [(0, i % 2 if i < 120 else 2, i // 3, 1_000 + i // 2, g) for i, g in enumerate(grams)]
+    df = spark.createDataFrame(rows, "part int, bucket long, text long, root long, grams array<long>")
+    got = [tuple(x) for x in paragraphs._band_links(df, 75).collect()]
+    roots = sorted({x[3] for x in rows})
+    at = {x: i for i, x in enumerate(roots)}
+    links = [
+        (at[x[3]], at[y[3]]) for i, x in enumerate(rows) for y in rows[:i]
+        if x[1] == y[1] and x[2] != y[2] and 100 * len({*x[4]} & {*y[4]}) >= 75 * len({*x[4]} | {*y[4]})
+    ]
+    want = paragraphs._least(len(roots), *np.array(links).T).tolist()
+    assert paragraphs._least(len(roots), *np.array([(at[a], at[b]) for a, b in got]).T).tolist() == want
+    assert len(got) < len(roots) < len(links) / 10
