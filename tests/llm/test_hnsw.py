@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -55,6 +57,18 @@ def test_recall_of_large_and_dense_shards():
     assert hits >= 0.99 * truth.sum() and hits == sum(map(len, found))
 
 
+def test_wide_beams_hold_few_copies_of_vectors():
+    rng = np.random.default_rng(6)
+    center = rng.normal(size=64)
+    dense = np.concatenate([rng.normal(size=(300, 64)), center / np.linalg.norm(center) + 0.01 * rng.normal(size=(1_500, 64))])
+    graph = Graph(_units(dense))
+    tracemalloc.start()
+    found = graph.within(_units(dense[-200:]), 0.93, 1_400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(len(ids) == 1_500 for ids, _ in found) and peak < 150e6
+
+
 def test_hard_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
